@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.functions.scalar import num, sql_clip, sql_flag
+from tidebar.functions.scalar import num, sql_clip
+from tidebar.session import cut_lineage
 from tidebar.operators.timeline import (
     KEYS,
     Layout,
@@ -110,8 +111,10 @@ def smooth(df: DataFrame, bucket_seconds: int = 90 * 86400) -> DataFrame:
 
     Only bars with a directional blend (and the first bar) move the average; the others keep
     it.  The moving rows are renumbered and averaged on their own, and the result is carried
-    back onto all rows as of their time.  ``df`` has ``pos`` but no chunk columns.
+    back onto all rows as of their time.  ``df`` has ``pos`` but no chunk columns; it is read
+    by several branches, so it is written once first.
     """
+    df = cut_lineage(df, "blend")
     moving = df.filter(
         "pos = 0 OR (raw_signal <> 'HOLD' AND greatest(raw_long, raw_short) > raw_hold)"
     ).select(*KEYS, "ts", "raw_long", "raw_short")

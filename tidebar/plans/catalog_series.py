@@ -58,7 +58,7 @@ def series_queries() -> dict[str, Query]:
     q["bars_4h_by_user"] = lambda s, d: out(src.event_bars(s, d, "4h", "user_id"), OHLCV)
     q["bars_daily_orders"] = lambda s, d: out(src.order_bars(s, d), OHLCV)
     q["bars_daily_lineitem"] = lambda s, d: out(
-        src.lineitem_bars(s, d), "volume", "open high low close")
+        src.lineitem_bars(s, d), "volume", "open high low close", 9)
     q["bars_rolled_up_4h"] = lambda s, d: out(src.roll_up(src.event_bars(s, d), "4h"), OHLCV)
 
     def json_bars(shape: str) -> Query:
@@ -149,7 +149,8 @@ def series_queries() -> dict[str, Query]:
             return df.selectExpr(
                 "symbol", stamp(), *rounded("close", 2),
                 *rounded("htf1h_rsi htf1h_macd_hist htf1h_adx htf1h_bb_pct htf1h_rsi_zone"),
-                "htf1h_trend", "htf1h_macd_bull", "htf1h_trending", "htf1h_above_50ema")
+                *[f"cast({c} AS double) AS {c}" for c in (
+                    "htf1h_trend", "htf1h_macd_bull", "htf1h_trending", "htf1h_above_50ema")])
         return run
 
     q["features_context_1h"] = context_1h("open")

@@ -161,8 +161,8 @@ HTF1 = f"""CASE WHEN ema_9 > ema_21 THEN 1 ELSE -1 END AS htf1h_trend, rsi AS ht
   macd_hist AS htf1h_macd_hist, {flag('macd_hist > 0')} AS htf1h_macd_bull, adx AS htf1h_adx,
   {flag('adx > 25')} AS htf1h_trending, bb_pct AS htf1h_bb_pct, {flag('close > ema_50')} AS htf1h_above_50ema"""
 
-HTF1_OUT = (f"{r('htf1h_rsi htf1h_macd_hist htf1h_adx htf1h_bb_pct htf1h_rsi_zone')}, htf1h_trend, "
-            "htf1h_macd_bull, htf1h_trending, htf1h_above_50ema")
+HTF1_OUT = (f"{r('htf1h_rsi htf1h_macd_hist htf1h_adx htf1h_bb_pct htf1h_rsi_zone')}, CAST(htf1h_trend AS DOUBLE) AS htf1h_trend, "
+            "CAST(htf1h_macd_bull AS DOUBLE) AS htf1h_macd_bull, CAST(htf1h_trending AS DOUBLE) AS htf1h_trending, CAST(htf1h_above_50ema AS DOUBLE) AS htf1h_above_50ema")
 
 
 def htf(shift: str) -> str:
@@ -256,7 +256,7 @@ def series_sql() -> dict[str, str]:
         "bars_4h_by_user": f"WITH {bars('4h', 'user_id')} SELECT {KEY}, open, high, low, close, volume FROM bars",
         "bars_daily_orders": f"WITH {ORDER_BARS} SELECT {KEY}, open, high, low, close, volume FROM bars",
         "bars_daily_lineitem": f"""SELECT l_returnflag AS symbol, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS ts,
-  round(arg_min(p, seq), 5) + 0.0 AS open, round(max(p), 5) + 0.0 AS high, round(min(p), 5) + 0.0 AS low, round(arg_max(p, seq), 5) + 0.0 AS close, sum(l_quantity) AS volume
+  round(arg_min(p, seq), 9) + 0.0 AS open, round(max(p), 9) + 0.0 AS high, round(min(p), 9) + 0.0 AS low, round(arg_max(p, seq), 9) + 0.0 AS close, sum(l_quantity) AS volume
   FROM (SELECT *, l_extendedprice / l_quantity AS p, l_shipdate::VARCHAR || lpad(l_orderkey::VARCHAR, 20, '0') || lpad(l_linenumber::VARCHAR, 4, '0') AS seq FROM lineitem) GROUP BY 1, l_shipdate, 2""",
         "bars_rolled_up_4h": f"WITH {bars('4h')} SELECT {KEY}, open, high, low, close, volume FROM bars",
         "bars_from_json_lists": f"WITH {bars()} SELECT {KEY}, open, high, low, close, volume FROM bars",
@@ -266,8 +266,8 @@ def series_sql() -> dict[str, str]:
         "bars_upsert_keep_last": f"WITH {bars()} SELECT {KEY}, CASE WHEN ts >= TIMESTAMP '2024-01-20' THEN round(close + 1, 5) + 0.0 ELSE round(close, 5) + 0.0 END AS close, CASE WHEN ts >= TIMESTAMP '2024-01-20' THEN 0.0 ELSE volume END::DOUBLE AS volume FROM bars",
         "bars_keep_first": "SELECT event_type AS symbol, strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS ts, arg_min(value, event_id) AS close, min(event_id) AS event_id FROM events GROUP BY 1, time_bucket(INTERVAL 1 hour, ts)",
         "bars_work_list": f"""WITH {bars('1h', 'user_id')}, m AS (SELECT symbol, max(ts) AS last_ts, count(*) AS bars FROM bars GROUP BY 1),
-  a AS (SELECT TIMESTAMP '2024-02-01' AS asof) SELECT symbol, bars, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS last_ts, strftime(last_ts + INTERVAL 1 hour, '%Y-%m-%d %H:%M:%S') AS resume_ts,
-  CAST(floor((epoch(asof) - epoch(last_ts)) / 3600) AS BIGINT) AS missing_bars, floor((epoch(asof) - epoch(last_ts)) / 3600) <= 1 AS up_to_date, floor((epoch(asof) - epoch(last_ts)) / 86400) < 2 AS fresh FROM m, a""",
+  a AS (SELECT TIMESTAMP '2024-02-01' AS now0) SELECT symbol, bars, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS last_ts, strftime(last_ts + INTERVAL 1 hour, '%Y-%m-%d %H:%M:%S') AS resume_ts,
+  CAST(floor((epoch(now0) - epoch(last_ts)) / 3600) AS BIGINT) AS missing_bars, floor((epoch(now0) - epoch(last_ts)) / 3600) <= 1 AS up_to_date, floor((epoch(now0) - epoch(last_ts)) / 86400) < 2 AS fresh FROM m, a""",
         "bars_inventory": f"""WITH {bars('1h', 'user_id')}, m AS (SELECT symbol, min(ts) AS s, max(ts) AS e, count(*) AS bars FROM bars GROUP BY 1)
   SELECT symbol, bars, strftime(s, '%Y-%m-%d %H:%M:%S') AS start_ts, strftime(e, '%Y-%m-%d %H:%M:%S') AS end_ts, CAST(floor((epoch(e) - epoch(s)) / 86400) AS BIGINT) AS days,
   CAST(floor((epoch(TIMESTAMP '2024-02-01') - epoch(e)) / 86400) AS BIGINT) AS age_days, floor((epoch(TIMESTAMP '2024-02-01') - epoch(e)) / 86400) > 2 AS stale FROM m""",
@@ -311,8 +311,8 @@ SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, regime, round(CAST(0.55
         "signals_hybrid": f"{head}, {VOTES.replace('SRC', 'ind')}, {HYBRID} SELECT {KEY}, agreement, raw_signal, signal, {r('ema_long ema_short confidence', 4)} FROM hyb",
         "signals_market_gate": f"""{head}, m AS (SELECT *, {roll('avg(atr)', 20, 13)} AS m20 FROM ind), s AS (SELECT *, CASE WHEN m20 IS NULL THEN 0 WHEN m20 > 0 THEN atr / m20 ELSE 1 END AS gate_atr_ratio FROM m)
 SELECT {KEY}, {r('gate_atr_ratio')}, CASE WHEN gate_atr_ratio < 0.9 THEN 'too quiet' WHEN gate_atr_ratio > 2.5 THEN 'extreme spike' WHEN adx > 0 AND adx < 16 THEN 'adx too low' WHEN m20 IS NOT NULL AND atr > 0 AND abs(close - c3) < 0.25 * atr THEN 'no momentum' END AS market_skip FROM s""",
-        "signals_entry_gate": f"""{head}, {REGIME}, {VOTES.replace('SRC', 'reg')}, {HYBRID}, g AS (SELECT symbol, CASE WHEN signal = 'HOLD' THEN 'hold' WHEN confidence < 0.45 THEN 'low confidence' WHEN regime = 'TRENDING' AND agreement <> 'AGREE' AND confidence < 0.65 THEN 'trend needs agreement' ELSE 'enter' END AS outcome, regime FROM hyb)
-SELECT symbol, regime, outcome, count(*) AS n FROM g GROUP BY 1, 2, 3""",
+        "signals_entry_gate": f"""{head}, {REGIME}, {VOTES.replace('SRC', 'reg')}, {HYBRID}, gate AS (SELECT symbol, CASE WHEN signal = 'HOLD' THEN 'hold' WHEN confidence < 0.45 THEN 'low confidence' WHEN regime = 'TRENDING' AND agreement <> 'AGREE' AND confidence < 0.65 THEN 'trend needs agreement' ELSE 'enter' END AS outcome, regime FROM hyb)
+SELECT symbol, regime, outcome, count(*) AS n FROM gate GROUP BY 1, 2, 3""",
         "signals_range_setup": f"{head}, {RANGE} SELECT {KEY}, CASE WHEN lq >= 0.55 THEN 'LONG' WHEN sq >= 0.55 THEN 'SHORT' ELSE 'NONE' END AS range_direction, round(CASE WHEN lq >= 0.55 THEN lq WHEN sq >= 0.55 THEN sq ELSE 0 END, 4) + 0.0 AS range_quality, CASE WHEN lq >= 0.55 OR sq >= 0.55 THEN CAST(1.5 AS DOUBLE) END AS range_sl_mult FROM zc",
     }
     return q
