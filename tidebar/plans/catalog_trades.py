@@ -106,19 +106,19 @@ def predictions(s: SparkSession, d: str, flags: bool = False) -> DataFrame:
 
 def trade_queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
-    outcome_cols = "entry_price exit_price quantity pnl_gross pnl_net fee_paid slippage_cost"
+    outcome_cols = "quantity pnl_gross pnl_net fee_paid slippage_cost"
 
     def exits(**kw) -> Query:
         return lambda s, d: oc.intrabar_exits(scored_bars(s, d), **kw).selectExpr(
             "symbol", stamp(), "entry_bar", "exit_bar", "direction", "exit_reason",
-            *rounded(outcome_cols, 4))
+            *rounded("entry_price exit_price", 6), *rounded(outcome_cols, 4))
 
     q["outcomes_atr_levels"] = exits()
     q["outcomes_percent_levels"] = exits(use_atr=False, tp_pct=0.5, sl_pct=0.25)
     q["outcomes_close_only"] = lambda s, d: oc.close_only_exits(
         scored_bars(s, d), tp=0.6, sl=0.3
     ).selectExpr("symbol", stamp(), "entry_bar", "exit_bar", "direction", "exit_reason",
-                 *rounded("entry_price exit_price r_mult pnl_net", 4))
+                 *rounded("entry_price exit_price", 6), *rounded("r_mult pnl_net", 4))
     q["outcomes_fold_returns"] = lambda s, d: oc.fold_exits(
         scored_bars(s, d), tp=0.6, sl=0.4
     ).selectExpr("symbol", "entry_bar", "exit_bar", "direction", "free_from",
@@ -224,7 +224,7 @@ def trade_queries() -> dict[str, Query]:
 
     q["risk_recovery_ledger"] = recovery
     q["risk_kelly_inputs"] = lambda s, d: rk.kelly_inputs(order_trades(s, d)).selectExpr(
-        "symbol", "trade_id", *rounded("win_rate", 5), *rounded("avg_win avg_loss", 3))
+        "symbol", "trade_id", *rounded("win_rate", 5), *rounded("avg_win avg_loss", 7))
 
     def sizing(method: str) -> Query:
         def run(s: SparkSession, d: str) -> DataFrame:
@@ -253,7 +253,7 @@ def trade_queries() -> dict[str, Query]:
 
     q["risk_sized_trades"] = lambda s, d: sized(s, d).selectExpr(
         "symbol", stamp(), "side", "approved", "reject_reason",
-        *rounded("take_profit stop_loss", 3), *rounded("quantity", 3))
+        *rounded("take_profit stop_loss", 4), *rounded("quantity", 3))
     q["signals_payoff_gate"] = lambda s, d: sg.payoff_gate(
         sized(s, d).filter("approved")).selectExpr(
         "symbol", stamp(), "side", "payoff_skip", *rounded("net_rr", 4))

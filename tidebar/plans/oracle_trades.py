@@ -44,7 +44,7 @@ ox AS MATERIALIZED (SELECT *, direction * (exit_price - entry_price) * quantity
 
 
 ATR = outcomes("entry_price + direction * 2 * wid|entry_price - direction * wid", "coalesce(atr, close * 0.01)")
-PCT = outcomes("entry_price * (1 + direction * 0.5)|entry_price * (1 - direction * 0.25)", "close * 0.01")
+PCT = outcomes("entry_price * (1 + direction * 0.5)|entry_price * (1 - direction * 0.25)", "close * 0.25")
 
 CLOSE = f"""{SIG},
 ca AS (SELECT *, list({{'b': pos, 'c': close}}) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 32 FOLLOWING) AS nxt, close * (1 + CAST(0.0002 AS DOUBLE) * direction) AS entry_price FROM sig),
@@ -134,7 +134,7 @@ rq AS (SELECT v.symbol, v.ts, v.pos, v.close AS e, v.atr, CASE v.tech_signal WHE
 r1 AS (SELECT *, bal * (CAST(5 AS DOUBLE) / 100) * sz AS risk, CASE WHEN atr > 0 THEN atr * slm END AS sla, CASE WHEN atr > 0 THEN atr * tpm END AS tpa FROM rq),
 r2 AS (SELECT *, risk * 10 / e AS qr FROM r1),
 r3 AS (SELECT *, CASE WHEN floor(qr * 1000) / 1000 > 0 THEN floor(qr * 1000) / 1000 ELSE ceil(qr * 1000) / 1000 END AS q0, ceil(100 / e / CAST(0.001 AS DOUBLE)) * CAST(0.001 AS DOUBLE) AS mq,
-  round(e + sg * coalesce(tpa, e * 0.015), 4) AS tp, round(e - sg * coalesce(sla, e * 0.01), 4) AS sl FROM r2),
+  CAST(round(CAST(e + sg * coalesce(tpa, e * 0.015) AS DECIMAL(24, 9)), 4) AS DOUBLE) AS tp, CAST(round(CAST(e - sg * coalesce(sla, e * 0.01) AS DECIMAL(24, 9)), 4) AS DOUBLE) AS sl FROM r2),
 r4 AS (SELECT *, q0 * e < 100 AS small, abs(e - sl) AS dist, CASE WHEN q0 * e < 100 THEN mq ELSE q0 END AS q1 FROM r3),
 r5 AS (SELECT *, q1 * dist > risk AS ov, floor((risk / dist) / CAST(0.001 AS DOUBLE)) * CAST(0.001 AS DOUBLE) AS cq FROM r4),
 r6 AS MATERIALIZED (SELECT *, CASE WHEN open_trades >= 5 THEN 'max open trades' WHEN bal <= 0 THEN 'no available balance' WHEN q0 <= 0 THEN 'quantity is 0'
@@ -143,7 +143,7 @@ r6 AS MATERIALIZED (SELECT *, CASE WHEN open_trades >= 5 THEN 'max open trades'
   WHEN abs(e - tp) / dist < 1 THEN 'reward below risk' END AS why, CASE WHEN ov THEN cq ELSE q1 END AS qty FROM r5)"""
 
 POS = """pe AS (SELECT user_id, arg_min(value, event_id) AS entry_price, CAST(count(*) AS DOUBLE) AS quantity, CASE WHEN user_id % 2 = 0 THEN 'long' ELSE 'short' END AS side, CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END AS sg,
-  'USR' || user_id AS symbol, arg_max(value, event_id) AS price FROM events WHERE value > 0 GROUP BY user_id)"""
+  'USR' || user_id || 'USDT' AS symbol, arg_max(value, event_id) AS price FROM events WHERE value > 0 GROUP BY user_id)"""
 
 PRED = f"""{HEAD}, {barrier(8, '1.5')},
 pred AS MATERIALIZED (SELECT l.symbol, l.ts, l.pos, l.close, l.label AS y_true, CASE v.tech_signal WHEN 'LONG' THEN 1 WHEN 'SHORT' THEN 2 ELSE 0 END AS y_pred, greatest(v.tech_long, v.tech_short) AS confidence
@@ -201,13 +201,13 @@ ba2 AS (SELECT {by}, headlines, CASE WHEN ai IS NOT NULL THEN 'AVOID' WHEN ci IS
 
 
 def trade_sql() -> dict[str, str]:
-    oc = "entry_price exit_price quantity pnl_gross pnl_net fee_paid slippage_cost"
+    oc = "quantity pnl_gross pnl_net fee_paid slippage_cost"
     row = "symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, entry_bar, exit_bar, direction, exit_reason"
     fold_src = "fs AS (SELECT symbol, fold, pos, close, y_pred AS signal, CASE y_pred WHEN 1 THEN 1 WHEN 2 THEN -1 END AS direction FROM mem WHERE role = 'test')"
     q = {
-        "outcomes_atr_levels": f"{HEAD}, {ATR} SELECT {row}, {r(oc, 4)} FROM ox",
-        "outcomes_percent_levels": f"{HEAD}, {PCT} SELECT {row}, {r(oc, 4)} FROM ox",
-        "outcomes_close_only": f"{HEAD}, {CLOSE} SELECT {row}, {r('entry_price exit_price r_mult pnl_net', 4)} FROM ox",
+        "outcomes_atr_levels": f"{HEAD}, {ATR} SELECT {row}, {r('entry_price exit_price', 6)}, {r(oc, 4)} FROM ox",
+        "outcomes_percent_levels": f"{HEAD}, {PCT} SELECT {row}, {r('entry_price exit_price', 6)}, {r(oc, 4)} FROM ox",
+        "outcomes_close_only": f"{HEAD}, {CLOSE} SELECT {row}, {r('entry_price exit_price', 6)}, {r('r_mult pnl_net', 4)} FROM ox",
         "outcomes_fold_returns": f"{HEAD}, {SIG}, {fold_rows('sig', '0.6', '0.4')} SELECT symbol, entry_bar, exit_bar, direction, free_from, {r('net_return')} FROM ox",
         "ledger_trades": f"{LED} SELECT symbol, entry_bar, exit_bar, direction, exit_reason, {r('pnl_net', 4)} FROM led",
         "ledger_metrics": f"{LED}, t AS (SELECT symbol, {TM} FROM led GROUP BY 1) SELECT symbol, n_trades, n_wins, n_losses, n_longs, n_shorts, min_hold_bars, max_hold_bars, {r('win_rate_pct avg_win avg_loss largest_win largest_loss avg_trade_pnl profit_factor total_fees_paid avg_hold_bars', 4)}, round(win_rate_pct / 100 * avg_win + (1 - win_rate_pct / 100) * avg_loss, 4) + 0.0 AS expectancy FROM t",
@@ -250,9 +250,9 @@ b AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY symbol, ts::DATE ORDER BY
         "risk_recovery_ledger": f"""{LED}, a AS (SELECT *, CASE WHEN pnl_net < 0 THEN exit_bar END AS lb FROM led), b AS (SELECT *, max(lb) OVER (PARTITION BY symbol ORDER BY exit_bar, entry_bar ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pl FROM a),
 c AS (SELECT *, sum(CASE WHEN exit_bar - pl >= 6 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY exit_bar, entry_bar) AS episode FROM b), d AS (SELECT *, sum(-pnl_net) OVER (PARTITION BY symbol, episode ORDER BY exit_bar, entry_bar) AS s FROM c),
 e0 AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY symbol, episode ORDER BY exit_bar, entry_bar)) AS to_recover FROM d) SELECT symbol, entry_bar, CAST(episode AS BIGINT) AS episode, round(to_recover, 3) + 0.0 AS to_recover, to_recover > 0 AS in_recovery FROM e0""".replace("a AS (SELECT *, CASE", "ra1 AS (SELECT *, CASE").replace("FROM a)", "FROM ra1)").replace(", b AS (SELECT *, max(lb)", ", rb1 AS (SELECT *, max(lb)").replace("AS episode FROM b)", "AS episode FROM rb1)").replace("\nc AS (SELECT *, sum", "\nrc1 AS (SELECT *, sum").replace(", d AS (SELECT *, sum(-pnl_net)", ", rd1 AS (SELECT *, sum(-pnl_net)").replace("AS s FROM c)", "AS s FROM rc1)").replace("AS to_recover FROM d)", "AS to_recover FROM rd1)"),
-        "risk_kelly_inputs": f"WITH {JOURNAL}, {KELLY} SELECT symbol, trade_id, round(win_rate, 5) + 0.0 AS win_rate, round(avg_win, 3) + 0.0 AS avg_win, round(avg_loss, 3) + 0.0 AS avg_loss FROM kel",
+        "risk_kelly_inputs": f"WITH {JOURNAL}, {KELLY} SELECT symbol, trade_id, round(win_rate, 5) + 0.0 AS win_rate, round(avg_win, 7) + 0.0 AS avg_win, round(avg_loss, 7) + 0.0 AS avg_loss FROM kel",
         **{f"risk_size_{m}": sizing(m) for m in ("fixed_fractional", "kelly", "half_kelly", "vol_scaled")},
-        "risk_sized_trades": f"{SIZED} SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, side, why IS NULL AS approved, why AS reject_reason, round(CASE WHEN why IS NULL THEN tp ELSE e END, 3) + 0.0 AS take_profit, round(CASE WHEN why IS NULL THEN sl ELSE e END, 3) + 0.0 AS stop_loss, round(CASE WHEN why IS NULL THEN qty ELSE 0 END, 3) + 0.0 AS quantity FROM r6",
+        "risk_sized_trades": f"{SIZED} SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, side, why IS NULL AS approved, why AS reject_reason, round(CASE WHEN why IS NULL THEN tp ELSE e END, 4) + 0.0 AS take_profit, round(CASE WHEN why IS NULL THEN sl ELSE e END, 4) + 0.0 AS stop_loss, round(CASE WHEN why IS NULL THEN qty ELSE 0 END, 3) + 0.0 AS quantity FROM r6",
         "signals_payoff_gate": f"""{SIZED}, g1 AS (SELECT *, e * qty * CAST(0.001 AS DOUBLE) AS fee, abs(e - sl) * qty * tpm / slm AS gross, abs(tp - e) * qty AS w1, abs(e - sl) * qty AS l1x FROM r6 WHERE why IS NULL),
 g2 AS (SELECT *, (w1 - fee) / (l1x + fee) AS net_rr FROM g1) SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, side, CASE WHEN atr IS NULL OR atr <= 0 OR qty <= 0 THEN NULL WHEN gross < fee * 2.5 THEN 'payoff below fees' WHEN w1 - fee <= 0 OR net_rr < 1.2 THEN 'net reward too small' END AS payoff_skip, {r('net_rr', 4)} FROM g2""",
         "risk_throttled_entries": f"""{HEAD}, {SIG}, cd AS MATERIALIZED (SELECT *, ts::DATE AS dy, row_number() OVER (PARTITION BY symbol ORDER BY pos) AS rn FROM sig WHERE signal > 0),
