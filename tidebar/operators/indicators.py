@@ -79,6 +79,21 @@ def indicator_columns(df: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
         "ln(close / _c1) AS _lr",
         "(high + low + close) / 3 * volume AS _tpv",
     )
+    # bounded frames first, while rows are narrow: every frame size keeps its own row buffer
+    df = df.selectExpr(
+        "*",
+        *[f"{rolling('avg(close)', n)} AS sma_{n}" for n in (20, 50, 200)],
+        f"{rolling('stddev_samp(close)', 20)} AS _dev",
+        *[f"{rolling('min(low)', n)} AS _lo{n}" for n in (14, 20)],
+        *[f"{rolling('max(high)', n)} AS _hi{n}" for n in (14, 20)],
+        f"{rolling('avg(volume)', 20)} AS volume_sma",
+        f"{rolling('sum(_tpv)', 20)} AS _tpv20",
+        f"{rolling('sum(volume)', 20)} AS _vol20",
+        *[
+            f"{rolling('stddev_samp(_lr)', n, 1)} * {num(ANNUAL)} AS vol_{n}"
+            for n in (10, 20)
+        ],
+    )
     # the smaller move is zeroed; on a tie both stay
     df = df.selectExpr(
         "*",
@@ -115,20 +130,6 @@ def indicator_columns(df: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
         {"macd_signal": ("macd", span(9), 0, 1), "adx": ("_dx", WILDER, 14, 14)},
         layout=layout,
     )
-    df = df.selectExpr(
-        "*",
-        *[f"{rolling('avg(close)', n)} AS sma_{n}" for n in (20, 50, 200)],
-        f"{rolling('stddev_samp(close)', 20)} AS _dev",
-        *[f"{rolling('min(low)', n)} AS _lo{n}" for n in (14, 20)],
-        *[f"{rolling('max(high)', n)} AS _hi{n}" for n in (14, 20)],
-        f"{rolling('avg(volume)', 20)} AS volume_sma",
-        f"{rolling('sum(_tpv)', 20)} AS _tpv20",
-        f"{rolling('sum(volume)', 20)} AS _vol20",
-        *[
-            f"{rolling('stddev_samp(_lr)', n, 1)} * {num(ANNUAL)} AS vol_{n}"
-            for n in (10, 20)
-        ],
-    )
     df = df.selectExpr(
         "*",
         "macd - macd_signal AS macd_hist",

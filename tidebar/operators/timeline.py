@@ -204,10 +204,12 @@ def ewm(
     upto = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     by_block = f"OVER (PARTITION BY {part}, chunk, block ORDER BY pos {upto})"
     by_chunk = f"OVER (PARTITION BY {part}, chunk ORDER BY block, pos {upto})"
-    prior = (
-        f"OVER (PARTITION BY {part}, chunk ORDER BY block "
-        "RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)"
+    # end value of the block before: the last block end seen so far
+    before = (
+        f"OVER (PARTITION BY {part}, chunk ORDER BY block, pos "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
+    ends = f"(pos + 1) % {layout.block} = 0"
     in_block = f"(pos - block * {layout.block})"
     in_chunk = f"(pos - greatest(chunk * {layout.rows} - {layout.back}, 0))"
 
@@ -225,7 +227,9 @@ def ewm(
         )
         value = f"__s_{out}"
         if not wide:
-            carries.append(f"last(__s_{out}) {prior} AS __p_{out}")
+            carries.append(
+                f"last(CASE WHEN {ends} THEN __s_{out} END, true) {before} AS __p_{out}"
+            )
             tail = f"coalesce(__p_{out}, double(0)) * exp(-({j} + 1) * {num(decay)})"
             value = f"coalesce(__s_{out}, double(0)) + {tail}"
         finals.append(f"CASE WHEN pos >= {first + max(warm, 1) - 1} THEN {value} END AS {out}")

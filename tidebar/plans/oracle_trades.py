@@ -14,9 +14,11 @@ from tidebar.plans.oracle_series import (
     W,
     bars,
     barrier,
+    ema,
     ind,
     r,
     roll,
+    span,
 )
 
 HEAD = f"WITH RECURSIVE {bars()}, {ind()}, {VOTES.replace('SRC', 'ind')}"
@@ -134,7 +136,7 @@ rq AS (SELECT v.symbol, v.ts, v.pos, v.close AS e, v.atr, CASE v.tech_signal WHE
 r1 AS (SELECT *, bal * (CAST(5 AS DOUBLE) / 100) * sz AS risk, CASE WHEN atr > 0 THEN atr * slm END AS sla, CASE WHEN atr > 0 THEN atr * tpm END AS tpa FROM rq),
 r2 AS (SELECT *, risk * 10 / e AS qr FROM r1),
 r3 AS (SELECT *, CASE WHEN floor(qr * 1000) / 1000 > 0 THEN floor(qr * 1000) / 1000 ELSE ceil(qr * 1000) / 1000 END AS q0, ceil(100 / e / CAST(0.001 AS DOUBLE)) * CAST(0.001 AS DOUBLE) AS mq,
-  CAST(round(CAST(e + sg * coalesce(tpa, e * 0.015) AS DECIMAL(24, 9)), 4) AS DOUBLE) AS tp, CAST(round(CAST(e - sg * coalesce(sla, e * 0.01) AS DECIMAL(24, 9)), 4) AS DOUBLE) AS sl FROM r2),
+  CAST(round(CAST(CAST(e + sg * coalesce(tpa, e * 0.015) AS VARCHAR) AS DECIMAL(38, 18)), 4) AS DOUBLE) AS tp, CAST(round(CAST(CAST(e - sg * coalesce(sla, e * 0.01) AS VARCHAR) AS DECIMAL(38, 18)), 4) AS DOUBLE) AS sl FROM r2),
 r4 AS (SELECT *, q0 * e < 100 AS small, abs(e - sl) AS dist, CASE WHEN q0 * e < 100 THEN mq ELSE q0 END AS q1 FROM r3),
 r5 AS (SELECT *, q1 * dist > risk AS ov, floor((risk / dist) / CAST(0.001 AS DOUBLE)) * CAST(0.001 AS DOUBLE) AS cq FROM r4),
 r6 AS MATERIALIZED (SELECT *, CASE WHEN open_trades >= 5 THEN 'max open trades' WHEN bal <= 0 THEN 'no available balance' WHEN q0 <= 0 THEN 'quantity is 0'
@@ -308,3 +310,18 @@ b AS (SELECT *, lg || ' — ' || text AS m FROM a) SELECT level, CASE WHEN start
 FROM b WHERE level <> 'debug' AND NOT contains(m, '[Reporter]') AND NOT contains(m, 'ccxt') AND NOT contains(m, 'aiohttp') AND NOT contains(m, 'asyncio')""",
     }
     return q
+
+
+def stream_sql() -> dict[str, str]:
+    """Append-mode streams emit a window once the watermark (newest stamp minus delay) passes."""
+    closed = f"""{bars()}, wm AS (SELECT max(ts) - INTERVAL 2 hour AS w FROM events WHERE value > 0),
+cb AS MATERIALIZED (SELECT bars.*, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS pos FROM bars, wm WHERE ts + INTERVAL 1 hour <= w)"""
+    return {
+        "stream_closed_bars": f"WITH {closed} SELECT {KEY}, open, high, low, close, volume FROM cb",
+        "stream_deduped_candles": "SELECT event_type AS symbol, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT DISTINCT event_type, ts, value FROM events) GROUP BY 1",
+        "stream_averages": f"WITH {closed}, a AS (SELECT *, {ema('close', span(9))} AS ema_9, {ema('close', span(21))} AS ema_21, {ema('close', span(50))} AS ema_50 FROM cb) SELECT {KEY}, {r('ema_9 ema_21 ema_50')} FROM a",
+        "stream_trade_windows": f"WITH {JOURNAL}, {ROLL20}, {STREAK} SELECT symbol, side, trade_id, n_recent, streak <= -3 AS blocked, round(wr, 5) + 0.0 AS win_rate FROM ka JOIN (SELECT symbol, side, trade_id, streak FROM sb) USING (symbol, side, trade_id)",
+        "stream_sentiment_windows": f"""WITH {news('source', AVOID_WORDS, CAUTION_WORDS)}, x AS (SELECT *, TIMESTAMP '2024-01-01' + INTERVAL 1 minute * doc_id AS ts FROM hl), wm AS (SELECT max(ts) - INTERVAL 10 minute AS w FROM x),
+g AS (SELECT time_bucket(INTERVAL 5 minute, ts) AS b, count(*) AS headlines, bool_or(news_state = 'AVOID') AS a, bool_or(news_state = 'CAUTION') AS c FROM x GROUP BY 1)
+SELECT CASE WHEN a THEN 'AVOID' WHEN c THEN 'CAUTION' ELSE 'NEUTRAL' END AS news_state, count(*) AS n_windows, CAST(sum(headlines) AS BIGINT) AS n_headlines FROM g, wm WHERE b + INTERVAL 5 minute <= w GROUP BY 1""",
+    }
