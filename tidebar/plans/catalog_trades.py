@@ -155,6 +155,37 @@ def trade_queries() -> dict[str, Query]:
     q["ledger_cooldowns"] = lambda s, d: oc.cooldown_until(hourly_trades(s, d)).selectExpr(
         "symbol", "exit_bar", "exit_reason", "cooldown_bars", "ready_bar")
 
+    def ladder(s: SparkSession, d: str) -> DataFrame:
+        df = cut_lineage(scored_bars(s, d, regime=True), "scored")
+        sign = "CASE signal WHEN 1 THEN 1 ELSE -1 END"
+        pos = df.filter("signal > 0 AND atr IS NOT NULL").selectExpr(
+            *KEYS, "pos AS entry_bar", "CASE signal WHEN 1 THEN 'long' ELSE 'short' END AS side",
+            "close AS entry_price", f"close - {sign} * 2 * atr AS stop_loss",
+            f"close + {sign} * 3 * atr AS take_profit", "1D AS quantity")
+        bars = df.selectExpr(
+            *KEYS, "pos", "close", "regime",
+            "CASE signal WHEN 1 THEN 'LONG' WHEN 2 THEN 'SHORT' ELSE 'HOLD' END AS signal",
+            "'AGREE' AS agreement")
+        return oc.exit_events(pos, bars).selectExpr(
+            "symbol", "entry_bar", "side", "exit_bar", "exit_reason", "partial_taken",
+            *rounded("pnl_r", 4))
+
+    q["outcomes_exit_ladder"] = ladder
+
+    def legs(s: SparkSession, d: str) -> DataFrame:
+        li = src.table(s, d, "lineitem").selectExpr(
+            "l_orderkey", "l_linenumber",
+            "CASE WHEN l_linestatus = 'F' THEN 'long' ELSE 'short' END AS side",
+            "l_extendedprice / 100 AS entry_price", "l_extendedprice / 100 + l_tax AS exit_price",
+            "l_extendedprice / 100 + l_discount AS partial_price", "l_quantity AS quantity",
+            "l_quantity / 4 AS partial_qty")
+        return oc.split_leg_pnl(li).groupBy("side").agg(
+            F.count(F.lit(1)).alias("n"), F.round(F.sum("pnl_gross"), 1).alias("pnl_gross"),
+            F.round(F.sum("fee_usdt"), 1).alias("fee_usdt"),
+            F.round(F.sum("pnl_net"), 1).alias("pnl_net"))
+
+    q["outcomes_two_leg_pnl"] = legs
+
     q["equity_curve"] = lambda s, d: hourly_equity(s, d).selectExpr(
         "symbol", "bar_ix", *rounded("equity", 4))
     q["equity_drawdown"] = lambda s, d: lg.drawdown_curve(hourly_equity(s, d)).selectExpr(

@@ -223,6 +223,8 @@ def trade_sql() -> dict[str, str]:
 SELECT symbol, n_trades, n_longs, n_shorts, tp_exits, sl_exits, timeout_exits, {r('win_rate long_wr short_wr expectancy_r avg_r_win avg_r_loss profit_factor avg_bars_held total_pnl total_return', 4)} FROM t""",
         "ledger_compound_metrics": f"{HEAD}, {SIG}, {fold_rows('sig', '0.0063', '0.0042')}, {kept('free_from')}, {money('symbol')} SELECT symbol, n, {r('sharpe profit_factor win_rate total_return max_drawdown', 4)} FROM mm",
         "ledger_cooldowns": f"{LED}, c AS (SELECT *, CAST(CASE exit_reason WHEN 'SL' THEN 5 WHEN 'TP' THEN 2 ELSE 3 END AS INTEGER) AS cooldown_bars FROM led) SELECT symbol, exit_bar, exit_reason, cooldown_bars, exit_bar + cooldown_bars AS ready_bar FROM c",
+        "outcomes_two_leg_pnl": """WITH a AS (SELECT CASE WHEN l_linestatus = 'F' THEN 'long' ELSE 'short' END AS side, CASE WHEN l_linestatus = 'F' THEN 1 ELSE -1 END AS sg, l_extendedprice / 100 AS e, l_tax AS t, l_discount AS d, l_quantity AS q FROM lineitem),
+b AS (SELECT side, sg * d * q / 4 + sg * t * q * 0.75 AS g, (e * q + (e + d) * q / 4 + (e + t) * q * 0.75) * 0.0005 AS f FROM a) SELECT side, count(*) AS n, round(sum(g), 1) AS pnl_gross, round(sum(f), 1) AS fee_usdt, round(sum(g - f), 1) AS pnl_net FROM b GROUP BY 1""",
         "equity_curve": f"{EQ} SELECT symbol, bar_ix, {r('equity', 4)} FROM eq",
         "equity_drawdown": f"{EQ} SELECT symbol, bar_ix, {r('peak', 4)}, {r('drawdown', 5)} FROM dx2",
         "equity_drawdown_runs": f"""{EQ}, ru AS (SELECT symbol, drawdown < -0.001 AS ind0, sum(CASE WHEN drawdown < -0.001 THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY bar_ix) AS run FROM dx2),

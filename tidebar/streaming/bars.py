@@ -20,14 +20,20 @@ from tidebar.sources.bars import BAR_SCHEMA, OHLCV, numbered, write_bars
 from tidebar.sources.journal import route_logs
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None
+def table_stream(spark: SparkSession, sf_dir: str, name: str, bytes_per_trigger: str = "512m"
                  ) -> DataFrame:
-    """A stored table as a stream of its files."""
+    """A stored table as a stream of its files.
+
+    The size of a micro-batch is bounded, and with it the rows a keyed state task receives
+    for one hot key at a time.
+    """
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(sf_dir)
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", f"{name}.parquet")
+        .option("maxBytesPerTrigger", bytes_per_trigger)
+        .parquet(sf_dir)
+    )
 
 
 def stream_bars(ticks: DataFrame, symbol: Column | str, price: Column | str, ts: Column | str,

@@ -1,7 +1,8 @@
 """Keyed state over streams: averages, confirmed regime, smoothing, recent trades.
 
-The keyed input is bars or trades, already reduced from ticks, so even a hot symbol adds only
-one row per bar to its state task. State is a few numbers per key.
+The keyed input is bars or trades, already reduced from ticks, and a micro-batch is bounded
+in size (see ``table_stream``), so a hot symbol hands a bounded number of rows to its state
+task at a time. State is a few numbers per key. History is loaded with the batch operators.
 """
 
 from __future__ import annotations
