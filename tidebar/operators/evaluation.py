@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.functions.scalar import EPS, issues
+from tidebar.operators.quantiles import exact_quantiles
 
 MIN_SHARPE, MIN_F1, MIN_CONSISTENCY = 0.30, 0.33, 0.60
 
@@ -121,7 +122,8 @@ def prediction_report(pred: DataFrame, by=("symbol",)) -> DataFrame:
     for k in (0, 1, 2):
         tp, fp, fn = _counts(k)
         f1.append(F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)))
-    p = F.expr("percentile(confidence, array(0.25D, 0.5D, 0.75D, 0.9D))")
+    marks = exact_quantiles(
+        pred, by, "confidence", {f"conf_p{n}": n / 100 for n in (25, 50, 75, 90)})
     share = lambda k: F.count_if(F.col("y_pred") == k) / F.count(F.lit(1))
     df = pred.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_samples"),
@@ -129,17 +131,16 @@ def prediction_report(pred: DataFrame, by=("symbol",)) -> DataFrame:
         F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("accuracy"),
         ((f1[0] + f1[1] + f1[2]) / 3).alias("f1_macro"),
         F.avg("confidence").alias("mean_conf"),
-        p.alias("_p"),
-    )
+    ).join(marks, list(by))
     return df.select(
-        "*", *[F.col("_p")[i].alias(f"conf_p{n}") for i, n in enumerate((25, 50, 75, 90))],
+        "*",
         issues(
             (F.col("hold_pct") > 0.55, "hold-biased"),
             ((F.col("long_pct") < 0.05) | (F.col("short_pct") < 0.05), "one direction absent"),
             (F.col("mean_conf") < 0.36, "mean confidence low"),
             (F.col("mean_conf") > 0.75, "mean confidence high"),
         ).alias("issues"),
-    ).drop("_p")
+    )
 
 
 def regime_accuracy(pred: DataFrame, by=("symbol",), min_rows: int = 50) -> DataFrame:

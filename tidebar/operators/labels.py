@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidebar.functions.params import LABEL_ATR_MULT
 from tidebar.functions.scalar import num, sql_lookup
 from tidebar.operators.indicators import chunked_indicators
+from tidebar.operators.quantiles import exact_quantiles
 from tidebar.operators.timeline import KEYS, LAYOUT, Layout, chunked, core_rows, lag, over, rolling
 from tidebar.sources.bars import numbered
 
@@ -84,20 +85,14 @@ def fixed_threshold(df: DataFrame, bars: int = 12, threshold: float = 0.008,
     )
 
 
-def quantile_labels(df: DataFrame, bars: int = 8, pct: float = 0.33,
-                    exact: bool = True) -> DataFrame:
+def quantile_labels(df: DataFrame, bars: int = 8, pct: float = 0.33) -> DataFrame:
     """Top and bottom ``pct`` of a series' forward returns become long and short.
 
-    Takes chunked rows and returns core rows.  Exact quantiles come from ``percentile``, whose
-    partial states count distinct values map-side; ``exact=False`` bounds the state instead.
+    Takes chunked rows and returns core rows.
     """
     kept = [c for c in df.columns if c not in ("core", "chunk", "block")]
     df = core_rows(df.selectExpr("*", f"({lead('close', bars)} - close) / close AS _fwd"))
-    if exact:
-        q = [f"percentile(_fwd, {num(p)})" for p in (pct, 1.0 - pct)]
-    else:
-        q = [f"approx_percentile(_fwd, {num(p)}, 100000)" for p in (pct, 1.0 - pct)]
-    cuts = df.groupBy(*KEYS).agg(F.expr(q[0]).alias("_low"), F.expr(q[1]).alias("_high"))
+    cuts = exact_quantiles(df, KEYS, "_fwd", {"_low": pct, "_high": 1.0 - pct})
     return df.join(cuts, list(KEYS)).selectExpr(
         *kept,
         "CASE WHEN _fwd >= _high THEN 1 WHEN _fwd <= _low THEN 2 ELSE 0 END AS label",

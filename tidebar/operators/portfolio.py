@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.functions.scalar import num
@@ -42,20 +44,41 @@ def portfolio_equity(equity: DataFrame, weights: dict[str, float] | None = None,
     )
 
 
-def return_correlation(returns: DataFrame, value: str = "bar_return", on: str = "bar_ix"
-                       ) -> DataFrame:
-    """Pearson correlation of every pair of series, aligned on a bar key.
-
-    Each series is one column set of sums keyed by bar, so the pairs come from an equi-join on
-    the bar; a bar holds one row per symbol.
+def _gram(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairwise sums of one slice of bars: one matrix product instead of all pairs per bar."""
+    wide = pdf.pivot(index="bar", columns="symbol", values="x")
+    x = wide.to_numpy()
+    m = (~np.isnan(x)).astype(float)
+    x = np.nan_to_num(x)
+    names = wide.columns.to_numpy()
+    i, j = np.triu_indices(len(names))
+    return pd.DataFrame({
+        "symbol_a": names[i], "symbol_b": names[j],
+        "n": (m.T @ m)[i, j].astype("int64"), "sxy": (x.T @ x)[i, j],
+        "sx": (x.T @ m)[i, j], "sy": (m.T @ x)[i, j],
+        "sxx": ((x * x).T @ m)[i, j], "syy": (m.T @ (x * x))[i, j],
+    })
+
+
+def return_correlation(returns: DataFrame, value: str = "bar_return", on: str = "bar_ix",
+                       bars_per_slice: int = 512) -> DataFrame:
+    """Pearson correlation of every pair of series, aligned on an integer bar key.
+
+    Each slice of bars contributes one row of sums per pair, so the shuffle holds slices x
+    pairs rows, never one row per bar and pair.  A slice holds at most ``bars_per_slice`` values
+    per series.
     """
-    a = returns.select(F.col("symbol").alias("symbol_a"), on, F.col(value).alias("x"))
-    b = returns.select(F.col("symbol").alias("symbol_b"), on, F.col(value).alias("y"))
-    return (
-        a.join(b, on).filter("symbol_a <= symbol_b AND x IS NOT NULL AND y IS NOT NULL")
-        .groupBy("symbol_a", "symbol_b")
-        .agg(F.corr("x", "y").alias("corr"), F.count(F.lit(1)).alias("n"))
+    d = returns.select("symbol", F.col(on).alias("bar"), F.col(value).alias("x")).dropna()
+    parts = d.groupBy(F.floor(F.col("bar") / bars_per_slice).alias("slice")).applyInPandas(
+        lambda pdf: _gram(pdf),
+        "symbol_a string, symbol_b string, n long, sxy double, sx double, sy double, "
+        "sxx double, syy double",
     )
+    sums = parts.groupBy("symbol_a", "symbol_b").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sxy", "sx", "sy", "sxx", "syy")])
+    return sums.filter("n > 0").selectExpr(
+        "symbol_a", "symbol_b", "n",
+        "try_divide(sxy - sx * sy / n, sqrt((sxx - sx * sx / n) * (syy - sy * sy / n))) AS corr")
 
 
 def equity_correlation(equity: DataFrame) -> DataFrame:

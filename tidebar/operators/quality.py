@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.functions.scalar import num
+from tidebar.operators.quantiles import exact_quantiles
 from tidebar.operators.timeline import KEYS, Layout, chunked, core_rows, lag, rolling
+from tidebar.session import cut_lineage
 from tidebar.sources.bars import OHLCV, numbered
 
 # fixed values: minimum bars and days per timeframe (others: 1000 bars, 14 days)
@@ -23,8 +25,8 @@ def quality_report(bars: DataFrame, present: list[str] | None = None,
                    min_bars: dict | None = None) -> DataFrame:
     """Ten checks per (symbol, timeframe) as ARRAY<STRUCT<name, passed, detail>>.
 
-    One pass with the previous close and a 20-bar return deviation, a daily roll-up for the
-    up/down day balance, and one aggregate over the quantile cuts.
+    One pass with the previous close and a 20-bar return deviation, written once for the
+    aggregates and the exact quantile cuts, and a daily roll-up for the up/down day balance.
     """
     present = present or [c for c in OHLCV if c in bars.columns]
     missing = [c for c in OHLCV if c not in present]
@@ -32,6 +34,7 @@ def quality_report(bars: DataFrame, present: list[str] | None = None,
     df = chunked(numbered(bars), Layout(back=64))
     df = df.selectExpr("*", f"close / {lag('close')} - 1 AS _ret")
     df = core_rows(df.selectExpr("*", f"{rolling('stddev_samp(_ret)', 20, 1)} AS _vol"))
+    df = cut_lineage(df, "quality")
     distinct = bars.groupBy(*KEYS, "ts").count().groupBy(*KEYS).agg(
         F.sum(F.col("count") - 1).alias("duplicates"))
     base = df.groupBy(*KEYS).agg(
@@ -42,14 +45,13 @@ def quality_report(bars: DataFrame, present: list[str] | None = None,
         F.count_if(F.col("close") <= 0).alias("bad_prices"),
         F.count_if(F.abs("_ret") > 0.20).alias("spikes"),
         F.count("_vol").alias("n_vol"),
-        F.expr("percentile(_vol, array(0.3D, 0.7D))").alias("_cut"),
         F.avg(F.when(F.col("volume") == 0, 1.0).otherwise(0.0)).alias("zero_volume"),
-        F.median("close").alias("median_price"),
     )
-    shares = df.select(*KEYS, "_vol").join(base.select(*KEYS, "_cut"), list(KEYS)).groupBy(
-        *KEYS).agg(
-        F.count_if(F.col("_vol") > F.col("_cut")[1]).alias("_high"),
-        F.count_if(F.col("_vol") < F.col("_cut")[0]).alias("_low"),
+    cuts = exact_quantiles(df, KEYS, "_vol", {"_q3": 0.3, "_q7": 0.7})
+    median = exact_quantiles(df, KEYS, "close", {"median_price": 0.5})
+    shares = df.select(*KEYS, "_vol").join(cuts, list(KEYS)).groupBy(*KEYS).agg(
+        F.count_if(F.col("_vol") > F.col("_q7")).alias("_high"),
+        F.count_if(F.col("_vol") < F.col("_q3")).alias("_low"),
     )
     daily = bars.groupBy(*KEYS, F.to_date("ts").alias("day")).agg(
         F.max_by("close", "ts").alias("close"))
@@ -62,7 +64,8 @@ def quality_report(bars: DataFrame, present: list[str] | None = None,
         F.count_if(F.col("close") > F.col("_prev")).alias("up_days"),
         F.count_if(F.col("close") < F.col("_prev")).alias("down_days"),
     )
-    df = base.join(shares, list(KEYS)).join(days, list(KEYS)).join(distinct, list(KEYS))
+    df = base.join(shares, list(KEYS), "left").join(days, list(KEYS))
+    df = df.join(distinct, list(KEYS)).join(median, list(KEYS), "left")
     df = df.selectExpr(
         "*",
         "floor((unix_seconds(end_ts) - unix_seconds(start_ts)) / 86400) AS days",
