@@ -111,6 +111,18 @@ def test_ensemble_save_load_and_registry(spark, frame, tmp_path):
                                        "trained_at": stamp})
     active = tr.active_models(spark, reg)
     assert [r["version"] for r in active.collect()] == ["2"]
+    score = sb.registry_scorer(reg)
+    rows = frame.filter("symbol = 'A'")
+    assert score(rows).select("version").distinct().collect() == [("2",)]
+    stamp = spark.sql("SELECT timestamp '2024-01-04' AS t").first()["t"]
+    tr.register_model(spark, reg, {**row, "version": "4", "wf_accepted": True,
+                                   "trained_at": stamp})
+    assert score(rows).select("version").distinct().collect() == [("4",)]
+    # a version that cannot be loaded leaves the previous one in place
+    stamp = spark.sql("SELECT timestamp '2024-01-05' AS t").first()["t"]
+    tr.register_model(spark, reg, {**row, "path": path + "-gone", "version": "5",
+                                   "wf_accepted": True, "trained_at": stamp})
+    assert score(rows).select("version").distinct().collect() == [("4",)]
     issues = tr.integrity_issues(active, [*FEATURES, "other"]).first()["issues"]
     assert issues == ["1 missing features"]
 

@@ -23,7 +23,7 @@ SIDE_KEYS = ("symbol", "side")
 
 
 def numbered_trades(trades: DataFrame, keys=SIDE_KEYS, order=("ts", "trade_id"),
-                    bucket_seconds: int = 7 * 86400) -> DataFrame:
+                    bucket_seconds: int = 86400) -> DataFrame:
     """Trades numbered per key and cut into chunks for the windows below."""
     bucket = F.floor(F.unix_seconds(F.col(order[0])) / bucket_seconds)
     return chunked(positioned(trades, keys, bucket, list(order)), TRADE_LAYOUT)

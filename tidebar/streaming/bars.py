@@ -15,6 +15,7 @@ from tidebar.operators import news as nw
 from tidebar.operators.evaluation import last_rows
 from tidebar.operators.indicators import with_indicators
 from tidebar.operators.timeline import LAYOUT
+from tidebar.plans.training import Ensemble, active_models, load_model
 from tidebar.session import checkpoint_folder
 from tidebar.sources.bars import BAR_SCHEMA, OHLCV, numbered, write_bars
 from tidebar.sources.journal import route_logs
@@ -133,3 +134,36 @@ def scored_sink(bars: DataFrame, history: str, out: str,
         score(rows).write.mode("append").parquet(out)
 
     return for_each(bars, "scores", step, **kw)
+
+
+def registry_scorer(registry: str, prepare_rows: Callable[[DataFrame], DataFrame] | None = None
+                    ) -> Callable[[DataFrame], DataFrame]:
+    """A ``score`` function for ``scored_sink`` that always applies the active models.
+
+    The registry is read per micro-batch; a model is loaded only when its version changed and
+    only if it is usable, so a retrained model takes over while the stream runs and a broken one
+    leaves the previous version in place.
+    """
+    loaded: dict[str, tuple[str, Ensemble]] = {}
+
+    def score(rows: DataFrame) -> DataFrame:
+        spark = rows.sparkSession
+        rows = prepare_rows(rows) if prepare_rows else rows
+        # one row per symbol with a model: the size of the model fleet, not of the data
+        for r in active_models(spark, registry).select("symbol", "version", "path").collect():
+            if loaded.get(r["symbol"], ("",))[0] != r["version"]:
+                try:
+                    loaded[r["symbol"]] = (r["version"], load_model(spark, r["path"]))
+                except Exception:
+                    if r["symbol"] not in loaded:
+                        raise
+        out: DataFrame | None = None
+        for symbol, (version, model) in sorted(loaded.items()):
+            part = model.score(rows.filter(F.col("symbol") == symbol)).withColumn(
+                "version", F.lit(version))
+            out = part if out is None else out.unionByName(part)
+        if out is None:
+            raise ValueError("the registry has no accepted model")
+        return out.select("symbol", "ts", "proba", "y_pred", "confidence", "version")
+
+    return score
