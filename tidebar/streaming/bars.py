@@ -21,7 +21,7 @@ from tidebar.sources.bars import BAR_SCHEMA, OHLCV, numbered, write_bars
 from tidebar.sources.journal import route_logs
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, bytes_per_trigger: str = "512m"
+def table_stream(spark: SparkSession, sf_dir: str, name: str, bytes_per_trigger: int = 512 << 20
                  ) -> DataFrame:
     """A stored table as a stream of its files.
 
