@@ -10,7 +10,6 @@ from tidebar.operators.indicators import (
     COUNTS,
     REGISTRY,
     chunked_indicators,
-    named,
     with_indicators,
 )
 from tidebar.operators.timeline import (

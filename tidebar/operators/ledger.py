@@ -61,10 +61,7 @@ def exit_reason_map(trades: DataFrame, by=("symbol",)) -> DataFrame:
 
 
 def drawdown_curve(equity: DataFrame, keys=("symbol",), group_bars: int = 32768) -> DataFrame:
-    """Running peak, drawdown and per-bar return of each equity curve.
-
-    The return needs one neighbour: it comes from the same scan (last value before the bar).
-    """
+    """Running peak and drawdown of each equity curve."""
     g = equity.withColumn("__g", F.floor(F.col("bar_ix") / group_bars))
     g = prefix_scan(g, {"peak": ("max", F.col("equity"))}, keys, "__g", ["bar_ix"])
     return g.drop("__g").withColumn(

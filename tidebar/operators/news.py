@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions.params import AVOID_WORDS, CAUTION_WORDS
@@ -72,8 +72,6 @@ def newest(df: DataFrame, by: list[str], order: str, n: int = 20) -> DataFrame:
 
     Ranked inside a hash slice of the key first, so that only n rows per slice meet.
     """
-    from pyspark.sql import Window
-
     part = df.withColumn("__s", F.pmod(F.xxhash64(order), F.lit(64)))
     w1 = Window.partitionBy(*by, "__s").orderBy(F.desc(order))
     w2 = Window.partitionBy(*by).orderBy(F.desc(order))

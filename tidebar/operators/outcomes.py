@@ -153,13 +153,13 @@ def fold_exits(
 ) -> DataFrame:
     """Per-signal net return as the fold evaluation sees it: closes only, and a hold or an
     opposite signal also ends the position.  The last bar of a series is never acted on."""
-    window = dict(keys=keys)
     df = chunked(df, replace(layout, back=0, ahead=max_bars + 1))
     nxt = over(
         "collect_list(struct(pos AS b, close AS c, signal AS s))",
-        f"ROWS BETWEEN 1 FOLLOWING AND {max_bars + 1} FOLLOWING", **window,
+        f"ROWS BETWEEN 1 FOLLOWING AND {max_bars + 1} FOLLOWING", keys,
     )
-    df = df.selectExpr("*", f"{nxt} AS _next", "CASE signal WHEN 1 THEN 1 WHEN 2 THEN -1 END AS direction")
+    df = df.selectExpr(
+        "*", f"{nxt} AS _next", "CASE signal WHEN 1 THEN 1 WHEN 2 THEN -1 END AS direction")
     df = core_rows(df).filter("direction IS NOT NULL")
     df = df.selectExpr("*", f"close * (1 + {num(slip)} * direction) AS entry_price")
     move = "direction * (b.c - entry_price) / entry_price"

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidebar.functions.params import TIMEFRAME_SECONDS, lookup
-from tidebar.functions.scalar import EPS, col, finite
-from tidebar.operators.timeline import KEYS, epoch, positioned, prefix_scan, time_bucket
+from tidebar.functions.scalar import col, finite
+from tidebar.operators.timeline import KEYS, epoch, positioned
 
 BAR_SCHEMA = T.StructType(
     [

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.functions.params import LOG_CHANNELS, LOG_LEVELS, LOG_SKIP
-from tidebar.functions.scalar import clip, col
+from tidebar.functions.scalar import clip
 
 JOURNAL_COLUMNS = [
     "timestamp", "symbol", "side", "won", "confidence", "pnl_usdt", "pnl_r", "bars_held",
