@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe
-from tidebar.llm.common import table
+from tidebar.llm import bpe, toxicity
+from tidebar.llm.common import held_out, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -24,8 +24,22 @@ def byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     )
 
 
+def toxicity_scores(spark: SparkSession, sf_dir: str, at_least: float = 0.5) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic")
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= at_least).cast("int").alias("predicted"),
+    )
+
+
 def llm_queries() -> dict:
-    return {"op1_byte_bpe": byte_bpe}
+    return {
+        "op1_byte_bpe": byte_bpe,
+        "op9_toxicity": toxicity_scores,
+    }
 
 
 def llm_sql() -> dict[str, str]:
