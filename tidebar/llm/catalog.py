@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe, toxicity
+from tidebar.llm import bpe, simhash, toxicity
 from tidebar.llm.common import held_out, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,13 @@ def byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     )
 
 
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.groups(docs, keep=["doc_id"]).select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def toxicity_scores(spark: SparkSession, sf_dir: str, at_least: float = 0.5) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic")
@@ -38,6 +45,7 @@ def toxicity_scores(spark: SparkSession, sf_dir: str, at_least: float = 0.5) ->
 def llm_queries() -> dict:
     return {
         "op1_byte_bpe": byte_bpe,
+        "op3_simhash_groups": simhash_groups,
         "op9_toxicity": toxicity_scores,
     }
 
