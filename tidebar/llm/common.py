@@ -20,6 +20,8 @@ SETTINGS = {
 #: A table of at most this many short rows may be broadcast.
 BROADCAST_ROWS = 100_000
 HELD_OUT_OF = 5
+#: Tasks that prepare a sample of labelled texts.
+SAMPLE_PARTS = 24
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -108,8 +110,9 @@ def held_out(doc_id: Column) -> Column:
 def label_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict]:
     """Up to ``per_class`` labelled texts of each class outside the held-out fold, and the class counts.
 
-    The sample is the rows with the smallest hash of their id, so reruns agree. A document with labels
-    that disagree counts as 1 where at least half of them are 1. Null ids, labels and texts are left out.
+    The sample is the labels with the smallest hash of their id, so reruns agree. A document with labels
+    that disagree counts as 1 where at least half of them are 1; of texts that share an id the one with
+    the smallest hash is taken. Null ids, labels and texts are left out.
     """
     known = (
         labels.select(F.col("doc_id").alias("id"), F.col(label).alias("y"))
@@ -119,15 +122,14 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int)
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = None
     for y in (0, 1):
-        # half as many again: some labels have no document
-        part = known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class * 3 // 2)
+        part = known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select(F.col("doc_id").alias("id"), "text").filter(F.col("text").isNotNull())
-    found = texts.join(F.broadcast(picked), "id").select("id", "text", "y")
-    rows = None
-    for y in (0, 1):
-        part = found.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(per_class)
-        rows = part if rows is None else rows.unionByName(part)
+    rows = (
+        texts.join(F.broadcast(picked), "id")  # two longs a row, ``2 * per_class`` rows
+        .repartition(SAMPLE_PARTS, "id")
+        .groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
+    )
     return rows, counts
 
 

@@ -188,10 +188,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str, settings: Settings | N
             )
 
     schema = "id long, y int, at array<int>, weight array<float>"
-    sample = rows.mapInArrow(bag, schema).toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
-    at, weight = sample.column("at").to_pylist(), sample.column("weight").to_pylist()
-    bags = [(np.array(a, np.int32), np.array(w, np.float32)) for a, w in zip(at, weight, strict=True)]
-    y = np.array(sample.column("y").to_pylist(), dtype=int)
+    sample = rows.mapInArrow(bag, schema).toArrow()
+    y = sample.column("y").to_numpy()
+    order = np.lexsort((y, sample.column("id").to_numpy()))
+    bags = _slices(sample)
+    bags, y = [bags[i] for i in order], y[order]
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     prior = (n1 + 1) / (n0 + n1 + 2)
     if len(set(y.tolist())) < 2:
@@ -199,6 +200,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str, settings: Settings | N
     return fit(bags, y, prior, s)
 
 
+def _slices(sample: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The bags as views of the collected buffers; no Python object for each entry."""
+    bags = []
+    for at, weight in zip(sample.column("at").chunks, sample.column("weight").chunks, strict=True):
+        a, w = at.flatten().to_numpy(), weight.flatten().to_numpy()
+        cuts = at.offsets.to_numpy() - at.offsets[0].as_py()
+        bags += [(a[i:j], w[i:j]) for i, j in zip(cuts, cuts[1:])]
+    return bags
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Add ``out``: the probability of class 1, from the whole text."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # ``buckets`` floats
