@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe, simhash, toxicity
+from tidebar.llm import bpe, pii, simhash, toxicity
 from tidebar.llm.common import held_out, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -31,6 +31,11 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs).select("doc_id", "n_values", "text")
+
+
 def toxicity_scores(spark: SparkSession, sf_dir: str, at_least: float = 0.5) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic")
@@ -46,6 +51,7 @@ def llm_queries() -> dict:
     return {
         "op1_byte_bpe": byte_bpe,
         "op3_simhash_groups": simhash_groups,
+        "op5_pseudonyms": pseudonyms,
         "op9_toxicity": toxicity_scores,
     }
 
