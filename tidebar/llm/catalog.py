@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe, pii, simhash, toxicity
+from tidebar.llm import bpe, mixing, pii, simhash, toxicity
 from tidebar.llm.common import held_out, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,11 @@ def byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     )
 
 
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, keep=["doc_id"])[0].select("doc_id", "size", "source_size", "target", "taken")
+
+
 def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.groups(docs, keep=["doc_id"]).select(
@@ -50,6 +55,7 @@ def toxicity_scores(spark: SparkSession, sf_dir: str, at_least: float = 0.5) ->
 def llm_queries() -> dict:
     return {
         "op1_byte_bpe": byte_bpe,
+        "op2_source_mix": source_mix,
         "op3_simhash_groups": simhash_groups,
         "op5_pseudonyms": pseudonyms,
         "op9_toxicity": toxicity_scores,
