@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
@@ -86,58 +87,69 @@ def with_fingerprint(
     return unpacked(packs.mapInArrow(run, schema), kept, **{out: F.col("f")})
 
 
+@dataclass(frozen=True)
+class Budget:
+    """Most differing bits: ``steps`` are (leading bits, most among them), by growing number of bits."""
+
+    steps: tuple[tuple[int, int], ...] = ((64, 3),)
+
+    def after(self, level: int) -> int:
+        """What may differ among the first ``level`` bits."""
+        return next(most for bits, most in self.steps if level <= bits)
+
+    def holds(self, differing: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(differing), bool)
+        for bits, most in self.steps:
+            ok &= np.bitwise_count(differing >> np.uint64(64 - bits)) <= most
+        return ok
+
+
 # -- subtrees -------------------------------------------------------------------------------------
 
-def subtrees(codes: DataFrame, leaf: int) -> list[tuple[int, int]]:
-    """(prefix, depth) of the shallowest trie nodes with at most ``leaf`` fingerprints, left to right."""
-    total = codes.count()
+def subtrees(codes: DataFrame, leaf: int) -> list[tuple[int, int, int]]:
+    """(t, prefix, depth) of the shallowest nodes of each trie t with at most ``leaf`` fingerprints."""
+    spark, sizes = codes.sparkSession, {}
+    for r in codes.groupBy("t").agg(F.count("*").alias("n")).collect():
+        sizes[r["t"]] = r["n"]
+    total = max(sizes.values(), default=0)
     leaf = max(leaf, total // SUBTREES)
-
-    def counted(depth: int, above: list[int] | None, step: int) -> dict[int, int]:
-        rows = codes.select(F.shiftrightunsigned("code", 64 - depth).alias("p") if depth else F.lit(0).alias("p"))
-        if above is not None:
-            hot = codes.sparkSession.createDataFrame([(p,) for p in above], "q long")
-            rows = rows.withColumn("q", F.shiftrightunsigned("p", step)).join(F.broadcast(hot), "q")
-        return {r["p"] & (2**64 - 1): r["n"] for r in rows.groupBy("p").agg(F.count("*").alias("n")).collect()}
-
-    depth = min(64, max(0, math.ceil(math.log2(max(1, total / leaf)))) + (3 if total > leaf else 0))
-    found: list[tuple[int, int]] = []
-    top = counted(depth, None, 0)
-    base, hot = 0, []
-    while True:
-        # sum the counts upwards, then take the shallowest nodes that are small enough
-        nodes = {depth: top}
-        for d in range(depth, base, -1):
-            up: dict[int, int] = {}
-            for p, n in nodes[d].items():
-                up[p >> 1] = up.get(p >> 1, 0) + n
+    found: list[tuple[int, int, int]] = []
+    hot = {(t, 0) for t in sizes}  # nodes that are still open, all at depth ``base``
+    base, depth = 0, min(64, max(0, math.ceil(math.log2(max(1, total / leaf)))) + (3 if total > leaf else 0))
+    while hot:
+        counts = codes.select("t", (F.shiftrightunsigned("code", 64 - depth) if depth else F.lit(0)).alias("p"))
+        if base:
+            rows = [(t, p - 2**64 if p >= 2**63 else p) for t, p in hot]
+            open_nodes = F.broadcast(spark.createDataFrame(rows, "t int, q long"))
+            counts = counts.withColumn("q", F.shiftrightunsigned("p", depth - base)).join(open_nodes, ["t", "q"])
+        below = {
+            (r["t"], r["p"] & (2**64 - 1)): r["n"]
+            for r in counts.groupBy("t", "p").agg(F.count("*").alias("n")).collect()
+        }
+        nodes = {depth: below}
+        for d in range(depth, base, -1):  # sums upwards
+            up: dict[tuple[int, int], int] = {}
+            for (t, p), n in nodes[d].items():
+                up[t, p >> 1] = up.get((t, p >> 1), 0) + n
             nodes[d - 1] = up
-        open_nodes = [p for p in nodes[base] if base == 0 or p in set(hot)]
-        for d in range(base, depth + 1):
-            below = []
-            for p in open_nodes:
-                if nodes[d][p] <= leaf or d == 64:
-                    found.append((p, d))
-                elif d < depth:
-                    below += [c for c in (2 * p, 2 * p + 1) if c in nodes[d + 1]]
-                else:
-                    below.append(p)
-            open_nodes = below
-        if not open_nodes:
-            return sorted(found, key=lambda x: x[0] << (64 - x[1]))
-        hot, base = open_nodes, depth
-        depth = min(64, depth + 4)
-        signed = [p - 2**64 if p >= 2**63 else p for p in hot]
-        top = counted(depth, signed, depth - base)
-
-
-def partner_subtrees(first: int, prefixes: list[int], depths: list[int], budget: int) -> list[int]:
-    """Subtrees from ``first`` on whose common depth of prefix differs from its own in few enough bits."""
+        for d in range(base, depth + 1):  # the shallowest that are small enough
+            found += [(*x, d) for x in hot if nodes[d][x] <= leaf or d == 64]
+            hot = {x for x in hot if nodes[d][x] > leaf and d < 64}
+            if d < depth:
+                hot = {y for t, p in hot for y in ((t, 2 * p), (t, 2 * p + 1)) if y in nodes[d + 1]}
+        base, depth = depth, min(64, depth + 4)
+    return sorted(found, key=lambda x: (x[0], x[1] << (64 - x[2])))
+
+
+def partner_subtrees(
+    first: int, prefixes: list[int], depths: list[int], budget: Budget, end: int
+) -> list[int]:
+    """Subtrees from ``first`` to ``end`` that differ from it in few enough of the bits both know."""
     own, depth = prefixes[first], depths[first]
     out = []
 
     def descend(lo: int, hi: int, level: int, differing: int) -> None:
-        if differing > budget or hi <= first or lo >= hi:
+        if differing > budget.after(level) or hi <= first or lo >= hi:
             return
         if hi - lo == 1 and depths[lo] <= level or level >= depth:
             out.extend(range(max(lo, first), hi))
@@ -154,7 +166,7 @@ def partner_subtrees(first: int, prefixes: list[int], depths: list[int], budget:
         descend(lo, a, level + 1, differing + (bit != 0))
         descend(a, hi, level + 1, differing + (bit != 1))
 
-    descend(0, len(prefixes), 0, 0)
+    descend(first, end, 0, 0)
     return out
 
 
@@ -176,7 +188,7 @@ class Block:
         return end - (ones[end] - ones[start])
 
 
-def near(a: Block, b: Block, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near(a: Block, b: Block, budget: Budget) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of all pairs within the budget; of a block with itself, each pair once."""
     same = a is b
     whole = [np.array([x], np.int32) for x in (0, len(a.codes), 0, len(b.codes), 0)]
@@ -198,9 +210,9 @@ def near(a: Block, b: Block, budget: int) -> Iterator[tuple[np.ndarray, np.ndarr
         m, g = a.split(s, e, level), b.split(t, f, level)
         mirror = (s == t) & (e == f) if same else np.zeros(len(s), bool)
         nexts = [(s, m, t, g, d), (m, e, g, f, d), (s, m, g, f, d + 1), (m, e, t, g, d + 1)]
-        kept = []
+        kept, most = [], budget.after(level + 1)
         for i, (s2, e2, t2, f2, d2) in enumerate(nexts):
-            ok = (s2 < e2) & (t2 < f2) & (d2 <= budget)
+            ok = (s2 < e2) & (t2 < f2) & (d2 <= most)
             if i == 3:
                 ok &= ~mirror
             kept.append([x[ok] for x in (s2, e2, t2, f2, d2)])
@@ -215,7 +227,7 @@ def _verified(a, b, s, e, t, f, budget, same):
         at = np.repeat(np.arange(lo, hi), n)
         within = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
         i, j = s[at] + within // high[at], t[at] + within % high[at]
-        ok = np.bitwise_count(a.codes[i] ^ b.codes[j]) <= budget
+        ok = budget.holds(a.codes[i] ^ b.codes[j])
         if same:
             ok &= i < j
         if ok.any():
@@ -253,56 +265,97 @@ class Forest:
                 self.root = up
 
 
-def block_links(a: np.ndarray, b: np.ndarray | None, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within ``a`` (``b`` None) or between ``a`` and ``b``."""
+class SpanningTrees:
+    """Like ``Forest``, but made of found pairs themselves, near ones first within each batch."""
+
+    def __init__(self, n: int):
+        self._up = list(range(n))
+        self.edges: list[tuple[int, int]] = []
+
+    def _root(self, i: int) -> int:
+        up = self._up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def join(self, i: np.ndarray, j: np.ndarray, differing: np.ndarray) -> None:
+        order = np.argsort(differing, kind="stable")
+        for a, b in zip(i[order].tolist(), j[order].tolist()):
+            x, y = self._root(a), self._root(b)
+            if x != y:
+                self._up[max(x, y)] = min(x, y)
+                self.edges.append((a, b))
+
+
+def block_links(a: np.ndarray, b: np.ndarray | None, budget: Budget, found: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links whose components are those of all pairs within ``a`` (``b`` None) or between ``a`` and ``b``.
+
+    At most one a fingerprint: to the smallest it is connected to, or with ``found`` a tree of found pairs.
+    """
     left = Block(a)
     right = left if b is None else Block(b)
     codes = left.codes if b is None else np.concatenate([left.codes, right.codes])
+    offset = 0 if b is None else len(left.codes)
+    if found:
+        trees = SpanningTrees(len(codes))
+        for i, j in near(left, right, budget):
+            trees.join(i, j + offset, np.bitwise_count(codes[i] ^ codes[j + offset]))
+        ends = np.array(trees.edges, dtype=np.int64).reshape(-1, 2)
+        return codes[ends[:, 0]], codes[ends[:, 1]]
     forest = Forest(len(codes))
     for i, j in near(left, right, budget):
-        forest.join(i, j if b is None else j + len(left.codes))
+        forest.join(i, j + offset)
     moved = np.flatnonzero(forest.root != np.arange(len(codes)))
     return codes[moved], codes[forest.root[moved]]
 
 
 # -- the join -------------------------------------------------------------------------------------
 
-def links(codes: DataFrame, budget: int = 3, leaf: int = LEAF) -> DataFrame:
-    """``codes`` (column code, distinct): links a, b whose components are those of all near pairs."""
+def links(codes: DataFrame, budget: Budget, leaf: int = LEAF, found: bool = False) -> DataFrame:
+    """``codes`` (t, code; distinct): links t, a, b within each trie t, see ``block_links``."""
     spark = codes.sparkSession
     tree = subtrees(codes, leaf)
-    prefixes, depths = [p for p, _ in tree], [d for _, d in tree]
-    starts = np.array([p << (64 - d) for p, d in tree], np.uint64)
-    shipped = spark.sparkContext.broadcast((prefixes, depths, starts))
+    prefixes, depths = [p for _, p, _ in tree], [d for _, _, d in tree]
+    first, last = {}, {}
+    for i, (t, _, _) in enumerate(tree):
+        first.setdefault(t, i)
+        last[t] = i + 1
+    starts = {t: np.array([p << (64 - d) for _, p, d in tree[first[t] : last[t]]], np.uint64) for t in first}
+    ends = [last[t] for t, _, _ in tree]
+    shipped = spark.sparkContext.broadcast((prefixes, depths, ends, starts, first))
 
     def placed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, _, starts, first = shipped.value
         for batch in source:
-            code = batch.column(0).to_numpy(zero_copy_only=False)
-            at = np.searchsorted(shipped.value[2], code.view(np.uint64), side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), batch.column(0)], ["block", "code"])
+            t, code = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            at = np.empty(len(t), np.int64)
+            for one in np.unique(t).tolist():
+                rows = t == one
+                at[rows] = first[one] + np.searchsorted(starts[one], code[rows].view(np.uint64), side="right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at), batch.column(1)], ["t", "block", "code"])
 
     blocks = written(
-        codes.select("code").mapInArrow(placed, "block long, code long")
-        .groupBy("block").agg(F.collect_list("code").alias("codes")),  # at most ``leaf`` each
+        codes.select(F.col("t").cast("int").alias("t"), "code").mapInArrow(placed, "t int, block long, code long")
+        .groupBy("block").agg(F.max("t").alias("t"), F.collect_list("code").alias("codes")),  # ``leaf`` at most
         "blocks",
     )
 
     def partners(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, d, _ = shipped.value
+        prefixes, depths, ends, _, _ = shipped.value
         for batch in source:
-            for first in batch.column(0).to_pylist():
-                found = partner_subtrees(first, p, d, budget)
+            for one in batch.column(0).to_pylist():
+                others = partner_subtrees(one, prefixes, depths, budget, ends[one])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([first] * len(found), pa.int64()), pa.array(found, pa.int64())], ["a", "b"]
+                    [pa.array([one] * len(others), pa.int64()), pa.array(others, pa.int64())], ["a", "b"]
                 )
 
     pairs = spark.range(len(tree)).mapInArrow(partners, "a long, b long")
-    parts = max(24, len(tree) * 4)
     work = (
         pairs.join(blocks.select(F.col("block").alias("a"), F.col("codes").alias("left")), "a")
-        .repartition(parts, "b", "a")
-        .join(blocks.select(F.col("block").alias("b"), F.col("codes").alias("right")), "b")
-        .select("a", "b", "left", "right")
+        .repartition(max(24, min(4000, len(tree) * 4)), "b", "a")
+        .join(blocks.select(F.col("block").alias("b"), "t", F.col("codes").alias("right")), "b")
+        .select("a", "b", "left", "right", "t")
     )
 
     def compared(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,12 +365,13 @@ def links(codes: DataFrame, budget: int = 3, leaf: int = LEAF) -> DataFrame:
                     batch.column(c)[k].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in (2, 3)
                 )
                 inside = batch.column(0)[k].as_py() == batch.column(1)[k].as_py()
-                u, v = block_links(one, None if inside else two, budget)
+                u, v = block_links(one, None if inside else two, budget, found)
+                t = pa.array(np.full(len(u), batch.column(4)[k].as_py(), np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["a", "b"]
+                    [t, pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["t", "a", "b"]
                 )
 
-    return work.mapInArrow(compared, "a long, b long")
+    return work.mapInArrow(compared, "t int, a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -364,7 +418,7 @@ def grouped(marked: DataFrame, doc_id: str, kept: list[str], budget: int, leaf:
     codes = written(
         marked.groupBy(F.col("__code").alias("code")).agg(F.min(doc_id).alias("least")), "codes"
     )
-    found = components(links(codes.select("code"), budget, leaf))
+    found = components(links(codes.select(F.lit(0).alias("t"), "code"), Budget(((64, budget),)), leaf))
     roots = codes.join(found, codes.code == found.node, "left").select(
         "code", "least", F.coalesce("root", "code").alias("root")
     )
@@ -375,3 +429,129 @@ def grouped(marked: DataFrame, doc_id: str, kept: list[str], budget: int, leaf:
         packs.join(named, "code", "left"), kept,
         fingerprint=F.col("code"), component_id=F.col("component"),
     )
+
+
+# -- near copies by the similarity of their shingles ------------------------------------------------
+
+#: Independent 64-bit fingerprints of a sketch; each half of one leads a trie of its own.
+SKETCH = 4
+#: At similarity 0.8 a bit differs with probability 0.14: 3 of the 32 leading bits and 13 of 64 are met
+#: in one of the eight tries by nine pairs in ten, and by nearly all from similarity 0.85 on.
+NEAR = Budget(((32, 3), (64, 13)))
+NEAR_LEAF = 65_536
+
+
+def sketch(text: bytes | None, size: int) -> np.ndarray:
+    """``SKETCH`` fingerprints of the set of shingles, each from hashes mixed anew."""
+    hashes = np.unique(shingle_hashes(text, size))
+    out = np.zeros(SKETCH, np.uint64)
+    if not len(hashes):
+        return out
+    for k in range(SKETCH):
+        ones = np.zeros(64, np.int64)
+        for lo in range(0, len(hashes), 65536):
+            h = hashes[lo : lo + 65536]
+            if k:  # two multiplications by odd constants with shifts between: a new function of the hash
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+                h = h ^ (h >> np.uint64(32))
+            bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]
+    return out
+
+
+def without_near_copies(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8,
+    leaf: int = NEAR_LEAF,
+) -> DataFrame:
+    """The rows that stay: of each group the one with the smallest id.
+
+    Texts with equal sketches are one class. Classes are candidates where the tries of their sketches
+    meet, and linked where the shingle sets of two of their texts have the given Jaccard similarity;
+    groups are what links connect. Candidates come as spanning trees, near pairs first, so a group of
+    copies costs rows in proportion to its size. Texts without words are one class.
+    """
+    packs = docs.select(
+        packed(docs), F.col(text).cast("binary").alias("t"), F.col(doc_id).alias("id"),
+        F.monotonically_increasing_id().alias("rid"),
+    )
+
+    def sketched(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            found = np.array([sketch(t, size) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), batch.column(3),
+                 *[pa.array(found[:, k].copy().view(np.int64)) for k in range(SKETCH)]],
+                ["row", "id", "rid", *names],
+            )
+
+    names = [f"w{k}" for k in range(SKETCH)]
+    schema = T.StructType(
+        [packs.schema["row"], packs.schema["id"], T.StructField("rid", T.LongType())]
+        + [T.StructField(n, T.LongType()) for n in names]
+    )
+    rows = written(packs.mapInArrow(sketched, schema), "sketched")
+    classes = written(
+        rows.groupBy(*names).agg(
+            F.min("rid").alias("class"), F.min("id").alias("best"),
+            F.coalesce(F.min_by("rid", "id"), F.min("rid")).alias("stays"),
+        ),
+        "classes",
+    )
+    halves = []
+    for k in range(SKETCH):
+        a, b = F.col(names[k]), F.col(names[(k + 1) % SKETCH])
+        low = F.lit(0xFFFFFFFF)
+        halves.append(F.shiftleft(F.shiftrightunsigned(a, 32), 32).bitwiseOR(F.shiftrightunsigned(b, 32)))
+        halves.append(F.shiftleft(a, 32).bitwiseOR(b.bitwiseAND(low)))
+    entries = classes.select("class", F.posexplode(F.array(*halves)).alias("t", "code"))
+    codes = written(entries.groupBy("t", "code").agg(F.min("class").alias("first")), "codes")
+    met = links(codes.select("t", "code"), NEAR, leaf, found=True)
+    one, two = codes.alias("x"), codes.alias("y")
+    between = (
+        met.join(one, (met.t == F.col("x.t")) & (met.a == F.col("x.code")))
+        .join(two, (met.t == F.col("y.t")) & (met.b == F.col("y.code")))
+        .select(F.col("x.first").alias("a"), F.col("y.first").alias("b"))
+    )
+    within = entries.join(codes, ["t", "code"]).select(F.col("class").alias("a"), F.col("first").alias("b"))
+    candidates = written(
+        between.unionByName(within).filter("a <> b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+        "candidates",
+    )
+    found = components(_similar(candidates, rows.select("rid", F.col(f"row.{text}").cast("binary").alias("t")), size, similarity))
+    groups_ = classes.join(found, F.col("class") == F.col("node"), "left").select(
+        F.coalesce("root", "class").alias("root"), "best", "stays"
+    )
+    staying = groups_.groupBy("root").agg(F.coalesce(F.min_by("stays", "best"), F.min("stays")).alias("rid"))
+    return unpacked(rows.join(staying.select("rid"), "rid", "left_semi"), docs.columns)
+
+
+def _similar(candidates: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The candidate pairs a, b whose shingle sets are similar enough; ``texts``: (rid, t)."""
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+
+    def shingled(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            sets = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rid", "set"])
+
+    sets = written(texts.join(ends, "rid", "left_semi").mapInArrow(shingled, "rid long, set array<long>"), "sets")
+    both = (
+        candidates.join(sets.select(F.col("rid").alias("a"), F.col("set").alias("one")), "a")
+        .join(sets.select(F.col("rid").alias("b"), F.col("set").alias("two")), "b")
+        .select("a", "b", "one", "two")
+    )
+
+    def compared(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            kept = []
+            for k in range(batch.num_rows):
+                x, y = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (2, 3))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(shared >= similarity * (len(x) + len(y) - shared))
+            mask = pa.array(kept, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    return both.mapInArrow(compared, "a long, b long")
