@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe, mixing, pii, simhash, toxicity
+from tidebar.llm import bpe, mixing, pii, quality, simhash, toxicity
 from tidebar.llm.common import held_out, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -41,6 +41,17 @@ def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs).select("doc_id", "n_values", "text")
 
 
+def quality_scores(spark: SparkSession, sf_dir: str, at_least: float = 0.3) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality")
+    return quality.score(docs, model).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= at_least).cast("int").alias("predicted"),
+    )
+
+
 def toxicity_scores(spark: SparkSession, sf_dir: str, at_least: float = 0.5) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic")
@@ -58,6 +69,7 @@ def llm_queries() -> dict:
         "op2_source_mix": source_mix,
         "op3_simhash_groups": simhash_groups,
         "op5_pseudonyms": pseudonyms,
+        "op6_quality": quality_scores,
         "op9_toxicity": toxicity_scores,
     }
 
