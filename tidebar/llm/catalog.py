@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe, mixing, pii, quality, simhash, toxicity
+from tidebar.llm import ann, bpe, mixing, pii, quality, simhash, topk, toxicity
 from tidebar.llm.common import held_out, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,10 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest_codes(table(spark, sf_dir, "embeddings"), k=10)
+
+
 def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs).select("doc_id", "n_values", "text")
@@ -63,14 +67,20 @@ def toxicity_scores(spark: SparkSession, sf_dir: str, at_least: float = 0.5) ->
     )
 
 
+def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=5)
+
+
 def llm_queries() -> dict:
     return {
         "op1_byte_bpe": byte_bpe,
         "op2_source_mix": source_mix,
         "op3_simhash_groups": simhash_groups,
+        "op4_code_search": code_search,
         "op5_pseudonyms": pseudonyms,
         "op6_quality": quality_scores,
         "op9_toxicity": toxicity_scores,
+        "op10_vector_search": vector_search,
     }
 
 
