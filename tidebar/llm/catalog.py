@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import ann, bpe, mixing, pii, quality, simhash, topk, toxicity
+from tidebar.llm import ann, bpe, chat, mixing, pii, quality, simhash, topk, toxicity
 from tidebar.llm.common import held_out, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -67,6 +67,11 @@ def toxicity_scores(spark: SparkSession, sf_dir: str, at_least: float = 0.5) ->
     )
 
 
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = chat.turns_as_messages(table(spark, sf_dir, "conversations"))
+    return chat.linked(messages, chat.TURN_SCHEMAS)
+
+
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), k=5)
 
@@ -79,10 +84,32 @@ def llm_queries() -> dict:
         "op4_code_search": code_search,
         "op5_pseudonyms": pseudonyms,
         "op6_quality": quality_scores,
+        "op8_tool_calls": tool_calls,
         "op9_toxicity": toxicity_scores,
         "op10_vector_search": vector_search,
     }
 
 
+CODE_SEARCH_SQL = """
+WITH rows AS (
+  SELECT vec_id, embedding, row_number() OVER () AS r FROM embeddings WHERE vec_id IS NOT NULL
+), bits AS (
+  SELECT r, vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM rows
+), signs AS (
+  SELECT r, vec_id, i, CAST(x >= 0 AS INT) AS bit FROM bits
+), pairs AS (
+  SELECT q.r AS qr, q.vec_id AS query_id, c.r AS cr, c.vec_id, CAST(sum(abs(q.bit - c.bit)) AS BIGINT) AS distance
+  FROM signs q JOIN signs c ON q.i = c.i
+  WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+  GROUP BY ALL
+), ranked AS (
+  SELECT query_id, vec_id, distance,
+         CAST(row_number() OVER (PARTITION BY qr ORDER BY distance, vec_id) AS INT) AS rank
+  FROM pairs
+)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
+
+
 def llm_sql() -> dict[str, str]:
-    return {}
+    return {"op4_code_search": CODE_SEARCH_SQL}
