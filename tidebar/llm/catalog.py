@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import ann, bpe, chat, mixing, pii, quality, simhash, topk, toxicity
+from tidebar.llm import ann, bpe, chat, langid, mixing, pii, quality, simhash, topk, toxicity
 from tidebar.llm.common import held_out, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -67,6 +67,14 @@ def toxicity_scores(spark: SparkSession, sf_dir: str, at_least: float = 0.5) ->
     )
 
 
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("text", "lang")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return langid.identify(pages, docs).select(
+        "page_id", "language", "probability", "declared", "host", "text_language"
+    )
+
+
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = chat.turns_as_messages(table(spark, sf_dir, "conversations"))
     return chat.linked(messages, chat.TURN_SCHEMAS)
@@ -84,6 +92,7 @@ def llm_queries() -> dict:
         "op4_code_search": code_search,
         "op5_pseudonyms": pseudonyms,
         "op6_quality": quality_scores,
+        "op7_page_languages": page_languages,
         "op8_tool_calls": tool_calls,
         "op9_toxicity": toxicity_scores,
         "op10_vector_search": vector_search,
