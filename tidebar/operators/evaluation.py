@@ -66,10 +66,12 @@ def last_rows(df: DataFrame, n: int, by=("symbol", "timeframe"), pos: str = "pos
 
 
 def latest(df: DataFrame, by=("symbol",), order: str = "ts") -> DataFrame:
-    """Latest row per key, as one aggregate."""
+    """Latest row per key, as one aggregate of each column (hashed where the columns are numbers).
+
+    ``order`` differs among the rows of a key.
+    """
     rest = [c for c in df.columns if c not in by]
-    return df.groupBy(*by).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(
-        *by, *[f"_r.{c}" for c in rest])
+    return df.groupBy(*by).agg(*[F.max_by(c, order).alias(c) for c in rest]).select(*by, *rest)
 
 
 def _counts(k: int) -> tuple[Column, Column, Column]:

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.functions.params import COOLDOWN_BARS, COOLDOWN_DEFAULT
+from tidebar.functions.params import COOLDOWN_BARS, COOLDOWN_DEFAULT, REGIMES
 from tidebar.functions.scalar import num, sql_clip, sql_lookup
 from tidebar.operators.labels import ahead
 from tidebar.operators.regime import regime_column
@@ -106,7 +106,10 @@ def close_only_exits(
     min_conf: str = "double(0.42)",
     layout: Layout = LAYOUT,
 ) -> DataFrame:
-    """Fixed-risk scoring on closes: R-multiple clamped to [-1, 2]; unresolved ones drop out."""
+    """Fixed-risk scoring on closes: R-multiple clamped to [-1, 2].
+
+    An entry that the series ends on has no ``exit_bar``; it stays, as it blocks later entries.
+    """
     df = chunked(df, replace(layout, back=0, ahead=max_bars))
     df = df.selectExpr(
         "*",
@@ -120,7 +123,7 @@ def close_only_exits(
         "*",
         f"get(filter(_next, b -> {move} >= {num(tp)} OR {move} <= -{num(sl)} "
         f"OR b.b - pos >= {max_bars}), 0) AS _hit",
-    ).filter("_hit IS NOT NULL")
+    )
     df = df.selectExpr(
         "*",
         f"{move.replace('b.c', '_hit.c')} AS _move",
@@ -137,10 +140,15 @@ def close_only_exits(
         *KEYS, "ts", "pos AS entry_bar", "_hit.b AS exit_bar", "direction", "entry_price",
         "exit_price", "confidence", "r_mult", f"r_mult * {num(risk_usd)} AS pnl_net",
         f"CASE WHEN _move >= {num(tp)} THEN 'TP' WHEN _move <= -{num(sl)} THEN 'SL' "
-        "ELSE 'TIMEOUT' END AS exit_reason",
+        "WHEN _hit IS NOT NULL THEN 'TIMEOUT' END AS exit_reason",
     )
 
 
+def resolved(outcomes: DataFrame) -> DataFrame:
+    """Outcomes whose exit lies within the series."""
+    return outcomes.filter("exit_bar IS NOT NULL")
+
+
 def fold_exits(
     df: DataFrame,
     keys=KEYS,
@@ -152,7 +160,8 @@ def fold_exits(
     layout: Layout = LAYOUT,
 ) -> DataFrame:
     """Per-signal net return as the fold evaluation sees it: closes only, and a hold or an
-    opposite signal also ends the position.  The last bar of a series is never acted on."""
+    opposite signal also ends the position.  The last bar of a series is never acted on, and an
+    entry without an exit before it stays without ``exit_bar``, as it blocks later entries."""
     df = chunked(df, replace(layout, back=0, ahead=max_bars + 1))
     nxt = over(
         "collect_list(struct(pos AS b, close AS c, signal AS s))",
@@ -170,12 +179,12 @@ def fold_exits(
         f"greatest(size(_next) - 1, 0)) ELSE slice(_next, 1, {max_bars}) END, "
         f"b -> {move} >= {num(tp)} OR {move} <= -{num(sl)} OR b.b - pos >= {max_bars} "
         "OR b.s = 0 OR (direction = 1 AND b.s = 2) OR (direction = -1 AND b.s = 1)), 0) AS _hit",
-    ).filter("_hit IS NOT NULL")
+    )
     df = df.selectExpr("*", f"{move.replace('b.c', '_hit.c')} AS _move")
     return df.selectExpr(
         *keys, "pos AS entry_bar", "_hit.b AS exit_bar", "direction",
         f"CASE WHEN _move >= {num(tp)} THEN {num(tp)} WHEN _move <= -{num(sl)} THEN -{num(sl)} "
-        f"ELSE _move END - {num(2 * fee)} AS net_return",
+        f"ELSE _move END - {num(2 * fee)} AS net_return",  # null without an exit
         # only a reversal may re-enter on its own exit bar
         f"CASE WHEN _move < {num(tp)} AND _move > -{num(sl)} AND _hit.b - pos < {max_bars} "
         "AND _hit.s <> 0 THEN _hit.b ELSE _hit.b + 1 END AS free_from",
@@ -184,10 +193,16 @@ def fold_exits(
 
 def ledger(outcomes: DataFrame, max_bars: int = 48, keys=KEYS, same_bar: bool = True,
            free: str | None = None) -> DataFrame:
-    """Non-overlapping trades: keep a candidate only if the previous kept one has closed."""
+    """Non-overlapping trades: keep a candidate only if the previous kept one has closed.
+
+    A candidate without an exit keeps its series busy to the end and is then left out itself.
+    ``max_bars`` is at least what the exits were made with; a longer hold is an error.
+    """
     expr = free or ("exit_bar" if same_bar else "exit_bar + 1")
-    df = outcomes.withColumn("__free", F.expr(expr))
-    return greedy_select(df, keys, "entry_bar", "__free", max_bars + 1).drop("__free")
+    # such an entry has fewer than max_bars bars after it, so this lies beyond the series
+    open_end = F.col("entry_bar") + max_bars + 1
+    df = outcomes.withColumn("__free", F.coalesce(F.expr(expr), open_end))
+    return resolved(greedy_select(df, keys, "entry_bar", "__free", max_bars + 1).drop("__free"))
 
 
 def equity_curve(bars: DataFrame, trades: DataFrame, capital: float = CAPITAL) -> DataFrame:
@@ -236,22 +251,16 @@ def exit_events(positions: DataFrame, bars: DataFrame, layout: Layout = LAYOUT,
 
     ``positions``: key, entry_bar, side, entry_price, stop_loss, take_profit, quantity.
     ``bars``: numbered bars with ``close``, ``regime`` and optionally ``signal``/``agreement``.
-    Every position meets at most ``horizon`` following bars (the hard time limit), through an
-    equi-join on (key, bar chunk) rather than a range join.  State along the position (best R,
+    Every position meets at most ``horizon`` following bars (the hard time limit), each through
+    an equi-join on (key, bar).  State along the position (best R,
     armed profit lock, moved stop) are running values over its own few bars.
     """
-    span = 1024
     signal = "signal" if "signal" in bars.columns else "NULL AS signal"
     agree = "agreement" if "agreement" in bars.columns else "NULL AS agreement"
-    b = bars.selectExpr(*KEYS, "pos", "close", "regime", signal, agree,
-                        f"floor(pos / {span}) AS __g")
+    b = bars.selectExpr(*KEYS, "pos", "close", "regime", signal, agree)
     p = positions.selectExpr(
-        "*", f"explode(sequence(floor((entry_bar + 1) / {span}), "
-             f"floor((entry_bar + {horizon}) / {span}))) AS __g"
-    )
-    df = p.join(b, [*KEYS, "__g"]).filter(
-        f"pos > entry_bar AND pos <= entry_bar + {horizon}"
-    )
+        "*", f"explode(sequence(entry_bar + 1, entry_bar + {horizon})) AS pos")
+    df = p.join(b, [*KEYS, "pos"])
     long = "side = 'long'"
     df = df.selectExpr(
         "*", "pos - entry_bar AS bars_held",
@@ -280,7 +289,8 @@ def exit_events(positions: DataFrame, bars: DataFrame, layout: Layout = LAYOUT,
     )
     df = df.selectExpr(
         "*", f"min(CASE WHEN {arms} AND regime = 'TRENDING' THEN pos END) {before} AS _armed_pos",
-        f"greatest(double(0.5), _early * double(0.7)) AS _lock_floor",
+        # it arms in a trend alone, and its floor is fixed when it does
+        f"{num(max(0.5, REGIMES['TRENDING']['early_r'] * 0.7))} AS _lock_floor",
     )
     df = df.selectExpr(
         "*",

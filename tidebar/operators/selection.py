@@ -30,13 +30,15 @@ def greedy_select(
     """Rows kept by the greedy rule.
 
     ``bar`` is unique per key; ``free`` is the first bar at which a new row may be kept once
-    this one is, with free - bar <= reach.  ``limit`` caps the rows kept per group (a day, for
+    this one is; free - bar beyond ``reach`` is an error.  ``limit`` caps the rows kept per group (a day, for
     example); without it ``group`` only sets the work size and defaults to 1024 bars.
     """
     cols = df.columns
     item = F.struct(
         F.col(bar).cast("long").alias("e"),
-        F.col(free).cast("long").alias("f"),
+        F.when(F.col(free) - F.col(bar) <= reach, F.col(free).cast("long"))
+        .otherwise(F.raise_error(F.lit(f"a row holds its key for more than {reach} bars")))
+        .cast("long").alias("f"),
         F.struct(*cols).alias("row"),
     )
     if group is None:

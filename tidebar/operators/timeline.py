@@ -169,19 +169,23 @@ def lag(x: str, n: int = 1, keys: Sequence[str] = KEYS) -> str:
 
 
 def rolling(agg: str, n: int, first: int = 0, keys: Sequence[str] = KEYS) -> str:
-    """A trailing n-row aggregate, NULL until n values exist.
+    """A trailing n-row aggregate, NULL unless all n rows have a value.
 
-    ``first`` is the position of the first non-null input of the series.
+    ``agg`` is a call whose first argument is the input; ``first`` is the position of the first
+    non-null input of the series.
     """
-    window = over(agg, f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW", keys)
-    return f"CASE WHEN pos >= {first + n - 1} THEN {window} END"
+    frame = f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW"
+    x = agg[agg.index("(") + 1 : -1].split(",")[0]
+    seen = over(f"count({x})", frame, keys)
+    return f"CASE WHEN pos >= {first + n - 1} AND {seen} = {n} THEN {over(agg, frame, keys)} END"
 
 
 def pct_rank(x: str, n: int, first: int, keys: Sequence[str] = KEYS) -> str:
-    """Share of the last n values up to the current one, ties at their average rank."""
+    """Share of the last n values up to the current one, ties at their average rank; NULL unless
+    all n rows have a value."""
     seen = over(f"collect_list({x})", f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW", keys)
     return (
-        f"CASE WHEN pos >= {first + n - 1} THEN aggregate({seen}, double(0), "
+        f"CASE WHEN pos >= {first + n - 1} AND size({seen}) = {n} THEN aggregate({seen}, double(0), "
         f"(a, v) -> a + CASE WHEN v < {x} THEN double(1) WHEN v = {x} THEN double(0.5) "
         f"ELSE double(0) END, a -> (a + double(0.5)) / {n}) END"
     )
@@ -217,6 +221,9 @@ def ewm(
     for out, (x, alpha, first, warm) in specs.items():
         decay = -math.log(1.0 - alpha)
         wide = decay * (layout.rows + layout.back) < 600
+        if wide and decay * layout.back < 41:
+            # a chunk starts its sum anew; what that forgets must weigh under 1e-17
+            raise ValueError(f"smoothing factor {alpha} needs a longer look-back than {layout.back}")
         if not wide and not (42 / decay <= layout.block <= 650 / decay):
             raise ValueError(f"smoothing factor {alpha} does not fit blocks of {layout.block}")
         j = in_chunk if wide else in_block

@@ -112,13 +112,13 @@ def trade_queries() -> dict[str, Query]:
 
     q["outcomes_atr_levels"] = exits()
     q["outcomes_percent_levels"] = exits(use_atr=False, tp_pct=0.5, sl_pct=0.25)
-    q["outcomes_close_only"] = lambda s, d: oc.close_only_exits(
+    q["outcomes_close_only"] = lambda s, d: oc.resolved(oc.close_only_exits(
         scored_bars(s, d), tp=0.6, sl=0.3
-    ).selectExpr("symbol", stamp(), "entry_bar", "exit_bar", "direction", "exit_reason",
+    )).selectExpr("symbol", stamp(), "entry_bar", "exit_bar", "direction", "exit_reason",
                  *rounded("entry_price exit_price", 6), *rounded("r_mult pnl_net", 4))
-    q["outcomes_fold_returns"] = lambda s, d: oc.fold_exits(
+    q["outcomes_fold_returns"] = lambda s, d: oc.resolved(oc.fold_exits(
         scored_bars(s, d), tp=0.6, sl=0.4
-    ).selectExpr("symbol", "entry_bar", "exit_bar", "direction", "free_from",
+    )).selectExpr("symbol", "entry_bar", "exit_bar", "direction", "free_from",
                  *rounded("net_return"))
 
     q["ledger_trades"] = lambda s, d: hourly_trades(s, d).selectExpr(
@@ -437,8 +437,10 @@ def trade_queries() -> dict[str, Query]:
         docs = headlines(s, d).withColumn(
             "day", F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 30 + 1).cast("string"),
                                                       2, "0")))
-        state = nw.batch_state(nw.newest(docs, ["day"], "doc_id", 3), ["day"], *words)
-        df = nw.combined_sentiment(nw.fear_greed(state.join(fng, "day"), "fng_value"))
+        state = nw.batch_state(nw.newest(docs, ["day"], "doc_id"), ["day"], *words)
+        # a day without a reading counts as neutral
+        df = nw.combined_sentiment(nw.fear_greed(
+            state.join(fng, "day", "left").fillna(50, ["fng_value"]), "fng_value"))
         return df.select("day", "fng_value", "news_state", "fng_state", "sentiment",
                          "sentiment_reason")
 

@@ -51,7 +51,7 @@ CLOSE = f"""{SIG},
 ca AS (SELECT *, list({{'b': pos, 'c': close}}) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 32 FOLLOWING) AS nxt, close * (1 + CAST(0.0002 AS DOUBLE) * direction) AS entry_price FROM sig),
 cb AS (SELECT *, list_filter(nxt, lambda b: direction * (b.c - entry_price) / entry_price >= 0.6 OR direction * (b.c - entry_price) / entry_price <= -0.3 OR b.b - pos >= 32)[1] AS hit
   FROM ca WHERE direction IS NOT NULL AND confidence >= 0.42),
-cc AS (SELECT *, pos AS entry_bar, hit.b AS exit_bar, direction * (hit.c - entry_price) / entry_price AS mv, hit.c * (1 - CAST(0.0002 AS DOUBLE) * direction) AS exit_price FROM cb WHERE hit IS NOT NULL),
+cc AS (SELECT *, pos AS entry_bar, hit.b AS exit_bar, direction * (hit.c - entry_price) / entry_price AS mv, hit.c * (1 - CAST(0.0002 AS DOUBLE) * direction) AS exit_price FROM cb),
 ox AS MATERIALIZED (SELECT *, greatest(-1, least(2, (direction * (exit_price - entry_price) / entry_price - CAST(0.0008 AS DOUBLE)) / 0.3)) AS r_mult,
   100 * greatest(-1, least(2, (direction * (exit_price - entry_price) / entry_price - CAST(0.0008 AS DOUBLE)) / 0.3)) AS pnl_net,
   CASE WHEN mv >= 0.6 THEN 'TP' WHEN mv <= -0.3 THEN 'SL' ELSE 'TIMEOUT' END AS exit_reason FROM cc)"""
@@ -63,20 +63,21 @@ def fold_rows(src: str, tp: str, sl: str, keys: str = "symbol") -> str:
   max(pos) OVER (PARTITION BY {keys}) AS endpos, close * (1 + CAST(0.0002 AS DOUBLE) * direction) AS entry_price FROM {src}),
 fb AS (SELECT *, list_filter(nxt0, lambda b: b.b < endpos AND ({mv.format('b')} >= {tp} OR {mv.format('b')} <= -{sl} OR b.b - pos >= 10 OR b.s = 0
    OR (direction = 1 AND b.s = 2) OR (direction = -1 AND b.s = 1)))[1] AS hit FROM fa WHERE direction IS NOT NULL),
-fc AS (SELECT *, {mv.format('hit')} AS mv FROM fb WHERE hit IS NOT NULL),
+fc AS (SELECT *, {mv.format('hit')} AS mv FROM fb),
 ox AS MATERIALIZED (SELECT *, pos AS entry_bar, hit.b AS exit_bar, CASE WHEN mv >= {tp} THEN {tp} WHEN mv <= -{sl} THEN -{sl} ELSE mv END - CAST(0.001 AS DOUBLE) AS net_return,
   CASE WHEN mv < {tp} AND mv > -{sl} AND hit.b - pos < 10 AND hit.s <> 0 THEN hit.b ELSE hit.b + 1 END AS free_from FROM fc)"""
 
 
 def kept(free: str, keys: tuple[str, ...] = ("symbol",)) -> str:
-    """Greedy chain: the next kept candidate is the first one at or after the free bar."""
+    """Greedy chain: the next kept candidate is the first one at or after the free bar. One without
+    an exit has no such bar, ends the chain and is no trade."""
     k = ", ".join(keys)
     on = " AND ".join(f"a.{x} = b.{x}" for x in keys)
     return f"""oy AS (SELECT *, {free} AS fr FROM ox),
 oz AS MATERIALIZED (SELECT a.*, b.entry_bar AS nx FROM oy a ASOF LEFT JOIN (SELECT {k}, entry_bar FROM ox) b ON {on} AND a.fr <= b.entry_bar),
 chain AS (SELECT {k}, min(entry_bar) AS entry_bar FROM oz GROUP BY {k}
   UNION ALL SELECT {', '.join('a.' + x for x in keys)}, a.nx FROM chain b JOIN oz a ON {on} AND a.entry_bar = b.entry_bar WHERE a.nx IS NOT NULL),
-led AS MATERIALIZED (SELECT oz.* FROM oz JOIN chain USING ({k}, entry_bar))"""
+led AS MATERIALIZED (SELECT oz.* FROM oz JOIN chain USING ({k}, entry_bar) WHERE exit_bar IS NOT NULL)"""
 
 
 LED = f"{HEAD}, {ATR}, {kept('exit_bar')}"
@@ -208,8 +209,8 @@ def trade_sql() -> dict[str, str]:
     q = {
         "outcomes_atr_levels": f"{HEAD}, {ATR} SELECT {row}, {r('entry_price exit_price', 6)}, {r(oc, 4)} FROM ox",
         "outcomes_percent_levels": f"{HEAD}, {PCT} SELECT {row}, {r('entry_price exit_price', 6)}, {r(oc, 4)} FROM ox",
-        "outcomes_close_only": f"{HEAD}, {CLOSE} SELECT {row}, {r('entry_price exit_price', 6)}, {r('r_mult pnl_net', 4)} FROM ox",
-        "outcomes_fold_returns": f"{HEAD}, {SIG}, {fold_rows('sig', '0.6', '0.4')} SELECT symbol, entry_bar, exit_bar, direction, free_from, {r('net_return')} FROM ox",
+        "outcomes_close_only": f"{HEAD}, {CLOSE} SELECT {row}, {r('entry_price exit_price', 6)}, {r('r_mult pnl_net', 4)} FROM ox WHERE exit_bar IS NOT NULL",
+        "outcomes_fold_returns": f"{HEAD}, {SIG}, {fold_rows('sig', '0.6', '0.4')} SELECT symbol, entry_bar, exit_bar, direction, free_from, {r('net_return')} FROM ox WHERE exit_bar IS NOT NULL",
         "ledger_trades": f"{LED} SELECT symbol, entry_bar, exit_bar, direction, exit_reason, {r('pnl_net', 4)} FROM led",
         "ledger_metrics": f"{LED}, t AS (SELECT symbol, {TM} FROM led GROUP BY 1) SELECT symbol, n_trades, n_wins, n_losses, n_longs, n_shorts, min_hold_bars, max_hold_bars, {r('win_rate_pct avg_win avg_loss largest_win largest_loss avg_trade_pnl profit_factor total_fees_paid avg_hold_bars', 4)}, round(win_rate_pct / 100 * avg_win + (1 - win_rate_pct / 100) * avg_loss, 4) + 0.0 AS expectancy FROM t",
         "ledger_exit_reasons": f"{LED} SELECT symbol, exit_reason, count(*) AS n FROM led GROUP BY 1, 2",
@@ -302,8 +303,8 @@ SELECT symbol, days_since, n_trades, days_since >= 7 AND n_trades >= 30 AS due,
         "news_batches": f"WITH {news('source')}, {batch('source')} SELECT source, headlines, news_state, news_word FROM ba2",
         "news_payloads": f"WITH {news('lang')} SELECT news_state, count(*) AS n FROM hl GROUP BY 1",
         "news_sentiment": f"""WITH {news('source')}, fg AS (SELECT strftime(ts, '%Y-%m-%d') AS day, arg_max(CAST(json_extract_string(props, '$.k') AS INTEGER), event_id) AS fng_value FROM events GROUP BY 1),
-dl AS (SELECT *, '2024-01-' || lpad((doc_id % 30 + 1)::VARCHAR, 2, '0') AS day FROM hl), top3 AS (SELECT * FROM dl QUALIFY row_number() OVER (PARTITION BY day ORDER BY doc_id DESC) <= 3), {batch('day', 'top3')},
-z AS (SELECT ba2.*, fng_value, CASE WHEN fng_value <= 20 OR fng_value >= 80 THEN 'CAUTION' ELSE 'NEUTRAL' END AS fng_state, CASE WHEN fng_value <= 20 THEN 'Extreme Fear (FnG=' || fng_value || ')' WHEN fng_value >= 80 THEN 'Extreme Greed (FnG=' || fng_value || ')' END AS fr, 'keyword: ''' || news_word || '''' AS wr FROM ba2 JOIN fg USING (day))
+dl AS (SELECT *, '2024-01-' || lpad((doc_id % 30 + 1)::VARCHAR, 2, '0') AS day FROM hl), top3 AS (SELECT * FROM dl QUALIFY row_number() OVER (PARTITION BY day ORDER BY doc_id DESC) <= 20), {batch('day', 'top3')},
+z0 AS (SELECT ba2.*, coalesce(fng_value, 50) AS fng_value FROM ba2 LEFT JOIN fg USING (day)), z AS (SELECT *, CASE WHEN fng_value <= 20 OR fng_value >= 80 THEN 'CAUTION' ELSE 'NEUTRAL' END AS fng_state, CASE WHEN fng_value <= 20 THEN 'Extreme Fear (FnG=' || fng_value || ')' WHEN fng_value >= 80 THEN 'Extreme Greed (FnG=' || fng_value || ')' END AS fr, 'keyword: ''' || news_word || '''' AS wr FROM z0)
 SELECT day, fng_value, news_state, fng_state, CASE WHEN news_state = 'AVOID' THEN 'AVOID' WHEN news_state = 'CAUTION' OR fng_state = 'CAUTION' THEN 'CAUTION' ELSE 'NEUTRAL' END AS sentiment,
   CASE WHEN news_state = 'AVOID' THEN wr WHEN news_state = 'CAUTION' OR fng_state = 'CAUTION' THEN concat_ws(' | ', fr, wr) WHEN fng_value <> 0 THEN 'FnG=' || fng_value ELSE 'OK' END AS sentiment_reason FROM z""",
         "logs_routed": """WITH a AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'info' WHEN 'fr' THEN 'warning' WHEN 'de' THEN 'debug' ELSE 'error' END AS level, CASE source WHEN 'src0' THEN 'core.trader.x' WHEN 'src1' THEN 'core.exchange' WHEN 'src2' THEN 'core.market.news' WHEN 'src3' THEN 'asyncio' ELSE 'other' END AS lg, text FROM documents),

@@ -29,7 +29,7 @@ from tidebar.operators import labels as lb
 from tidebar.operators import ledger as lg
 from tidebar.operators import outcomes as oc
 from tidebar.operators.indicators import with_indicators
-from tidebar.operators.timeline import KEYS, LAYOUT, core_rows
+from tidebar.operators.timeline import KEYS, LAYOUT, core_rows, positioned
 from tidebar.session import cut_lineage
 
 CLASSES = (0, 1, 2)
@@ -56,9 +56,8 @@ def training_frame(base: DataFrame, context_1h: DataFrame | None = None, future_
         df = ft.join_context(df, ctx, ft.HTF_1H, "1h", align)
         names += ft.HTF_1H
     df = cut_lineage(df, "features").dropna(subset=names)
-    first = df.groupBy(*KEYS).agg(F.min("pos").alias("_first"))
-    # complete rows are contiguous from the first one on, so the shifted position numbers them
-    df = df.join(first, list(KEYS)).withColumn("row_ix", F.col("pos") - F.col("_first"))
+    # a missing value inside a series leaves a gap in ``pos``, so complete rows are numbered anew
+    df = positioned(df, KEYS, F.floor(F.col("pos") / 4096), ["pos"], out="row_ix")
     return df.select(*KEYS, "ts", "row_ix", "close", "label",
                      *[F.col(c).cast("float").alias(c) for c in names])
 
@@ -200,7 +199,7 @@ def _calibrate(model: Ensemble, held: DataFrame, method: str) -> dict[str, list]
     for name, member, _ in model.members:
         scored = model._member(held, name, member, "_p").select("label", "_p").persist()
         try:
-            seen = {int(r[0]) for r in scored.select("label").distinct().limit(3).collect()}
+            seen = {int(r[0]) for r in scored.select("label").distinct().collect()}
             fits = []
             for k in CLASSES:
                 one = scored.select(F.col("_p")[k].alias("x"),
@@ -247,7 +246,7 @@ def walk_forward(
     rows = ev.assign_folds(frame, by, n_splits, gap, test_size, min_train, rolling, "row_ix")
     keep = [*by, "fold", "row_ix", "close", "y_true", "y_pred", "confidence"]
     pred: DataFrame | None = None
-    present = sorted(r[0] for r in rows.select("fold").distinct().limit(n_splits).collect())
+    present = sorted(r[0] for r in rows.select("fold").distinct().collect())
     if not present:
         raise ValueError("not enough rows for a single fold")
     for fold in present:
@@ -363,14 +362,13 @@ def integrity_issues(active: DataFrame, expected: list[str]) -> DataFrame:
     )
 
 
-def validation_report(oos: DataFrame, train: DataFrame, by=("symbol",),
-                      sample: int = 5000) -> DataFrame:
-    """Validation row per key: prediction sanity, overfit gap against the first training rows,
-    trade report on fixed risk, overall status.
+def validation_report(oos: DataFrame, train: DataFrame, by=("symbol",)) -> DataFrame:
+    """Validation row per key: prediction sanity, overfit gap against the training rows, trade
+    report on fixed risk, overall status.
 
     ``oos`` and ``train``: symbol, timeframe, ts, row_ix, close, y_true, y_pred, confidence.
     """
-    oos, train = cut_lineage(oos, "oos"), ev.first_rows(train, sample, "row_ix")
+    oos = cut_lineage(oos, "oos")
     rep = ev.prediction_report(oos, by)
     fit = train.groupBy(*by).agg(
         F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("train_accuracy"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +35,15 @@ def slot(ts: Column | str, seconds: int) -> Column:
     return F.timestamp_seconds(F.floor(epoch(ts) / F.lit(seconds)) * seconds)
 
 
+def event_order(ts: Column | str, tie: Column | str) -> Column:
+    """One number that sorts like (ts, tie), for a tie that is a long.
+
+    Aggregates ordered by a struct sort all their input first; ordered by a number they hash.
+    """
+    wide = F.unix_micros(ts).cast("decimal(17,0)") * F.lit(Decimal(2 * 10**19)).cast("decimal(20,0)")
+    return (wide + col(tie).cast("long").cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
 def build_bars(
     ticks: DataFrame,
     symbol: Column | str,
@@ -41,24 +52,30 @@ def build_bars(
     tie: Column | str,
     timeframe: str,
     volume: Column | None = None,
+    priced: bool = True,
 ) -> DataFrame:
-    """Tumbling OHLCV bars. Aggregated map-side, so a hot symbol shuffles bars, not ticks."""
+    """Tumbling OHLCV bars. Aggregated map-side, so a hot symbol shuffles bars, not ticks.
+
+    ``tie`` orders ticks of one instant and is a long. ``priced`` leaves out ticks without a
+    positive price; without it they stay, for a quality report to count them.
+    """
     seconds = TIMEFRAME_SECONDS[timeframe]
     t = ticks.select(
         col(symbol).cast("string").alias("symbol"),
         col(price).cast("double").alias("p"),
         col(ts).cast("timestamp").alias("t"),
-        col(tie).alias("tie"),
+        event_order(col(ts).cast("timestamp"), tie).alias("seq"),
         (F.lit(1.0) if volume is None else volume).alias("v"),
-    ).filter("p > 0")
-    seq = F.struct("t", "tie")
+    )
+    if priced:
+        t = t.filter("p > 0")
     return (
         t.groupBy("symbol", slot("t", seconds).alias("ts"))
         .agg(
-            F.min_by("p", seq).alias("open"),
+            F.min_by("p", "seq").alias("open"),
             F.max("p").alias("high"),
             F.min("p").alias("low"),
-            F.max_by("p", seq).alias("close"),
+            F.max_by("p", "seq").alias("close"),
             F.sum("v").alias("volume"),
         )
         .select("symbol", F.lit(timeframe).alias("timeframe"), "ts", *OHLCV)
@@ -84,7 +101,8 @@ def lineitem_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_bars(
         table(spark, sf_dir, "lineitem"),
         "l_returnflag", F.col("l_extendedprice") / F.col("l_quantity"), "l_shipdate",
-        F.struct("l_orderkey", "l_linenumber"), "1d", F.col("l_quantity"),
+        F.col("l_orderkey").cast("long") * 1024 + F.col("l_linenumber"), "1d",
+        F.col("l_quantity"),
     )
 
 
@@ -155,18 +173,26 @@ def bars_from_json(df: DataFrame, payload: Column | str, symbol: Column | str,
 
 
 def keep_one(df: DataFrame, keys: list[str], seq: str, last: bool = True) -> DataFrame:
-    """One row per key: the newest (or oldest) by ``seq``. An aggregate, so copies of a key
-    collapse on the map side instead of meeting in one window partition."""
+    """One row per key: the newest (or oldest) by the number ``seq``, which must differ among the
+    rows of a key. An aggregate, so copies of a key collapse on the map side instead of meeting
+    in one window partition; a value for each column, so that it hashes and does not sort."""
     rest = [c for c in df.columns if c not in keys]
     pick = F.max_by if last else F.min_by
-    return df.groupBy(*keys).agg(pick(F.struct(*rest), seq).alias("__row")).select(
-        *[c if c in keys else F.col(f"__row.{c}").alias(c) for c in df.columns]
-    )
+    return df.groupBy(*keys).agg(*[pick(c, seq).alias(c) for c in rest]).select(*df.columns)
 
 
-def upsert(existing: DataFrame, fresh: DataFrame, keys=("symbol", "timeframe", "ts")) -> DataFrame:
-    """Union of old and new bars where the new bar of a key wins."""
-    both = existing.withColumn("__gen", F.lit(0)).unionByName(fresh.withColumn("__gen", F.lit(1)))
+def upsert(existing: DataFrame, fresh: DataFrame, keys=("symbol", "timeframe", "ts"),
+           seq: str | None = None) -> DataFrame:
+    """Union of old and new bars where the new bar of a key wins.
+
+    ``seq`` names a long of ``fresh`` in which its rows were taken in: of several new bars of one
+    key the last wins. Without it the new bars must have one row a key.
+    """
+    order = F.lit(0).cast("long") if seq is None else F.col(seq).cast("long")
+    old = existing.withColumn("__gen", F.lit(-1).cast("decimal(38,0)"))
+    new = fresh.withColumn("__gen", order.cast("decimal(20,0)") + F.lit(Decimal(2**63)).cast("decimal(20,0)"))
+    both = old.unionByName(new.withColumn("__gen", F.col("__gen").cast("decimal(38,0)")).select(
+        *existing.columns, "__gen"))
     return keep_one(both, list(keys), "__gen").drop("__gen")
 
 

@@ -17,7 +17,7 @@ from tidebar.operators.indicators import with_indicators
 from tidebar.operators.timeline import LAYOUT
 from tidebar.plans.training import Ensemble, active_models, load_model
 from tidebar.session import checkpoint_folder
-from tidebar.sources.bars import BAR_SCHEMA, OHLCV, numbered, write_bars
+from tidebar.sources.bars import BAR_SCHEMA, OHLCV, event_order, numbered, write_bars
 from tidebar.sources.journal import route_logs
 
 
@@ -45,14 +45,14 @@ def stream_bars(ticks: DataFrame, symbol: Column | str, price: Column | str, ts:
     """
     t = ticks.select(
         col(symbol).cast("string").alias("symbol"), col(price).cast("double").alias("p"),
-        col(ts).cast("timestamp").alias("t"), col(tie).alias("tie"),
+        col(ts).cast("timestamp").alias("t"),
+        event_order(col(ts).cast("timestamp"), tie).alias("seq"),
     ).filter("p > 0").withWatermark("t", delay)
-    seq = F.struct("t", "tie")
     w = F.window("t", f"{TIMEFRAME_SECONDS[timeframe]} seconds")
     return (
         t.groupBy("symbol", w.alias("w"))
-        .agg(F.min_by("p", seq).alias("open"), F.max("p").alias("high"),
-             F.min("p").alias("low"), F.max_by("p", seq).alias("close"),
+        .agg(F.min_by("p", "seq").alias("open"), F.max("p").alias("high"),
+             F.min("p").alias("low"), F.max_by("p", "seq").alias("close"),
              F.count(F.lit(1)).cast("double").alias("volume"))
         .select("symbol", F.lit(timeframe).alias("timeframe"), F.col("w.start").alias("ts"),
                 *OHLCV)
