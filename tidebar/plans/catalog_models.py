@@ -15,7 +15,7 @@ from tidebar.session import cut_lineage
 from tidebar.sources import bars as src
 
 Query = Callable[[SparkSession, str], DataFrame]
-SMALL = tr.EnsembleConfig(boost_rounds=2, boost_depth=3, forest_trees=8, forest_depth=5)
+CONFIG = tr.EnsembleConfig()
 
 
 def frame(s: SparkSession, d: str) -> DataFrame:
@@ -34,7 +34,7 @@ def model_queries() -> dict[str, Query]:
 
     def scored(s: SparkSession, d: str) -> DataFrame:
         rows = ev.holdout(frame(s, d), 0.2, pos="row_ix")
-        model = tr.fit_ensemble(rows.filter("role = 'train'"), ft.FEATURES, SMALL)
+        model = tr.fit_ensemble(rows.filter("role = 'train'"), ft.FEATURES, CONFIG)
         return model.score(rows.filter("role = 'test'")).selectExpr(
             "symbol", stamp(), "label", "y_pred", *rounded("confidence", 4))
 
@@ -42,15 +42,15 @@ def model_queries() -> dict[str, Query]:
 
     def forward(s: SparkSession, d: str) -> DataFrame:
         folds, _ = tr.walk_forward(
-            frame(s, d), lambda t: tr.fit_ensemble(t, ft.FEATURES, SMALL),
-            lambda m, t: m.score(t), n_splits=2)
+            frame(s, d), lambda t: tr.fit_ensemble(t, ft.FEATURES, CONFIG),
+            lambda m, t: m.score(t))
         return folds.selectExpr(
             "symbol", "fold", "n", *rounded("accuracy f1_macro sharpe win_rate", 4))
 
     q["model_walk_forward"] = forward
 
     def importance(s: SparkSession, d: str) -> DataFrame:
-        return tr.fit_ensemble(frame(s, d), ft.FEATURES, SMALL).importance(s)
+        return tr.fit_ensemble(frame(s, d), ft.FEATURES, CONFIG).importance(s)
 
     q["model_feature_importance"] = importance
     return q

@@ -8,10 +8,9 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml.classification import (
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
-    OneVsRest,
-    OneVsRestModel,
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
@@ -64,9 +63,15 @@ def training_frame(base: DataFrame, context_1h: DataFrame | None = None, future_
 
 @dataclass
 class EnsembleConfig:
-    """Sizes of the two members; weights and class weighting follow the published trainer."""
+    """Sizes of the two members; weights and class weighting follow the published trainer.
 
-    boost_rounds: int = 40
+    Boosting ends before ``boost_rounds`` once a round improves the loss on the held-out tail by
+    less than the share ``boost_tolerance``.
+    """
+
+    boost_rounds: int = 500
+    boost_rate: float = 0.1
+    boost_tolerance: float = 0.001
     boost_depth: int = 5
     forest_trees: int = 200
     forest_depth: int = 10
@@ -87,15 +92,19 @@ class Ensemble:
     calibrators: dict[str, list]
 
     def _member(self, df: DataFrame, name: str, model, out: str) -> DataFrame:
-        df = model.transform(df)
+        made = ("rawPrediction", "probability", "prediction")
         if name == "boosted":
-            # one margin per class; each becomes a probability, then they are normalised
-            margin = vector_to_array("rawPrediction")
-            p = F.transform(margin, lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-        else:
-            p = vector_to_array("probability")
-        df = df.withColumn(out, normalised(pad_classes(p)))
-        return df.drop("rawPrediction", "probability", "prediction")
+            # one model per class against the rest; their probabilities are normalised
+            for k, one in enumerate(model):
+                if one is None:
+                    df = df.withColumn(f"_b{k}", F.lit(0.0))
+                else:
+                    df = one.transform(df).withColumn(
+                        f"_b{k}", vector_to_array("probability")[1]).drop(*made)
+            p = F.array(*[f"_b{k}" for k in CLASSES])
+            return df.withColumn(out, normalised(p)).drop(*[f"_b{k}" for k in CLASSES])
+        df = model.transform(df).withColumn(out, normalised(pad_classes(vector_to_array("probability"))))
+        return df.drop(*made)
 
     def _calibrated(self, df: DataFrame, name: str, out: str) -> DataFrame:
         cal = self.calibrators.get(name)
@@ -167,24 +176,27 @@ def fit_ensemble(train: DataFrame, features: list[str], cfg: EnsembleConfig | No
     rows = lb.with_weights(rows.withColumn("_tail", tail), by=by)
     vec = VectorAssembler(inputCols=features, outputCol="_raw").transform(rows).select(
         "_raw", "_tail", "weight", F.col("label").cast("double").alias("label"))
-    head = vec.filter(~F.col("_tail"))
+    head = vec.filter("NOT _tail")
     scaler = RobustScaler(inputCol="_raw", outputCol="_scaled", withCentering=True,
                           withScaling=True).fit(head)
-    head = scaler.transform(head).select("_scaled", "label", "weight").persist()
+    scaled = scaler.transform(vec).select("_scaled", "_tail", "label", "weight").persist()
     held = vec.filter("_tail")
     try:
-        common = dict(featuresCol="_scaled", labelCol="label", weightCol="weight")
-        boosted = OneVsRest(
-            classifier=GBTClassifier(
-                featuresCol="_scaled", maxIter=cfg.boost_rounds, maxDepth=cfg.boost_depth,
-                subsamplingRate=0.8, seed=cfg.seed, minInstancesPerNode=5),
-            **common,
-        ).setRawPredictionCol("rawPrediction").fit(head)
+        common = dict(featuresCol="_scaled", weightCol="weight", minInstancesPerNode=5)
+        counts = {r["label"]: r["count"] for r in scaled.filter("NOT _tail").groupBy("label").count().collect()}
+        boosted: list[GBTClassificationModel | None] = []
+        for k in CLASSES:
+            own = scaled.withColumn("_own", (F.col("label") == k).cast("double"))
+            gbt = GBTClassifier(
+                labelCol="_own", maxIter=cfg.boost_rounds, maxDepth=cfg.boost_depth,
+                stepSize=cfg.boost_rate, subsamplingRate=0.8, seed=cfg.seed,
+                validationIndicatorCol="_tail", validationTol=cfg.boost_tolerance, **common)
+            boosted.append(gbt.fit(own) if 0 < counts.get(k, 0) < sum(counts.values()) else None)
         forest = RandomForestClassifier(
-            numTrees=cfg.forest_trees, maxDepth=cfg.forest_depth, seed=cfg.seed,
-            minInstancesPerNode=5, **common).fit(head)
+            labelCol="label", numTrees=cfg.forest_trees, maxDepth=cfg.forest_depth,
+            seed=cfg.seed, **common).fit(scaled.filter("NOT _tail"))
     finally:
-        head.unpersist()
+        scaled.unpersist()
     model = Ensemble(features, scaler, [("boosted", boosted, cfg.weights[0]),
                                         ("forest", forest, cfg.weights[1])], {})
     if cfg.calibration != "none":
@@ -296,7 +308,13 @@ def save_model(model: Ensemble, path: str) -> None:
     model.scaler.write().overwrite().save(f"{path}/scaler")
     meta: dict = {"features": model.features, "members": [], "calibrators": {}}
     for name, member, weight in model.members:
-        member.write().overwrite().save(f"{path}/{name}")
+        if name == "boosted":
+            for k, one in enumerate(member):
+                if one is not None:
+                    one.write().overwrite().save(f"{path}/{name}-{k}")
+            meta["boosted"] = [one is not None for one in member]
+        else:
+            member.write().overwrite().save(f"{path}/{name}")
         meta["members"].append([name, weight])
     for name, fits in model.calibrators.items():
         kinds = []
@@ -313,8 +331,12 @@ def save_model(model: Ensemble, path: str) -> None:
 
 def load_model(spark: SparkSession, path: str) -> Ensemble:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    loaders = {"boosted": OneVsRestModel, "forest": RandomForestClassificationModel}
-    members = [(n, loaders[n].load(f"{path}/{n}"), w) for n, w in meta["members"]]
+    members = [
+        (n, [GBTClassificationModel.load(f"{path}/{n}-{k}") if there else None
+             for k, there in enumerate(meta["boosted"])]
+         if n == "boosted" else RandomForestClassificationModel.load(f"{path}/{n}"), w)
+        for n, w in meta["members"]
+    ]
     cal = {
         name: [
             IsotonicRegressionModel.load(f"{path}/calibration-{name}-{k}") if m == "isotonic"

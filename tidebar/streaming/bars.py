@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,6 +23,8 @@ from tidebar.session import checkpoint_folder
 from tidebar.sources.bars import BAR_SCHEMA, OHLCV, event_order, numbered, write_bars
 from tidebar.sources.journal import route_logs
 
+LOG = logging.getLogger(__name__)
+
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, bytes_per_trigger: int = 512 << 20
                  ) -> DataFrame:
@@ -142,7 +147,8 @@ def registry_scorer(registry: str, prepare_rows: Callable[[DataFrame], DataFrame
 
     The registry is read per micro-batch; a model is loaded only when its version changed and
     only if it is usable, so a retrained model takes over while the stream runs and a broken one
-    leaves the previous version in place.
+    leaves the previous version in place.  Rows of symbols without a model keep the rule signal
+    (``tech_signal``, hold where the rows have none) and the version TA_ONLY.
     """
     loaded: dict[str, tuple[str, Ensemble]] = {}
 
@@ -154,16 +160,20 @@ def registry_scorer(registry: str, prepare_rows: Callable[[DataFrame], DataFrame
             if loaded.get(r["symbol"], ("",))[0] != r["version"]:
                 try:
                     loaded[r["symbol"]] = (r["version"], load_model(spark, r["path"]))
-                except Exception:
-                    if r["symbol"] not in loaded:
-                        raise
+                except (OSError, ValueError, KeyError, Py4JJavaError, AnalysisException) as error:
+                    LOG.warning("model %s of %s cannot be used: %s", r["version"], r["symbol"], error)
         out: DataFrame | None = None
         for symbol, (version, model) in sorted(loaded.items()):
             part = model.score(rows.filter(F.col("symbol") == symbol)).withColumn(
                 "version", F.lit(version))
             out = part if out is None else out.unionByName(part)
-        if out is None:
-            raise ValueError("the registry has no accepted model")
+        rule = F.col("tech_signal") if "tech_signal" in rows.columns else F.lit("NONE")
+        rest = rows.filter(~F.col("symbol").isin(*loaded)) if loaded else rows
+        rest = rest.select(
+            "*", F.lit(None).cast("array<double>").alias("proba"),
+            F.when(rule == "LONG", 1).when(rule == "SHORT", 2).otherwise(0).alias("y_pred"),
+            F.lit(0.0).alias("confidence"), F.lit("TA_ONLY").alias("version"))
+        out = rest if out is None else out.unionByName(rest, allowMissingColumns=True)
         return out.select("symbol", "ts", "proba", "y_pred", "confidence", "version")
 
     return score
