@@ -178,3 +178,43 @@ def test_obv_needs_previous_bucket(spark):
     step = np.sign(p["close"].diff()).fillna(0) * p["volume"]
     close_to(p["obv"], step.cumsum())
     assert (p["pos"] == np.arange(300)).all()
+
+
+def test_rolling_needs_every_value(spark):
+    pdf = walk(n=300, symbols=("A",))
+    pdf.loc[[60, 61, 200], ["volume", "high"]] = np.nan
+    holes = bars(spark, pdf)
+    for c in ("volume", "high"):
+        holes = holes.withColumn(c, F.nanvl(c, F.lit(None).cast("double")))
+    got = series(with_indicators(holes))
+    assert got["volume_ratio"].isna().sum() > 0
+    ready = pdf["volume"].rolling(20).count() == 20
+    assert (got["volume_ratio"].notna() == ready).all()
+    top = pdf["high"].rolling(14).max()
+    assert (got["stoch_k"].notna() == top.notna()).all()
+
+
+def test_bars_are_hashed_not_sorted(spark):
+    from tidebar.sources import bars as src
+
+    ticks = spark.range(100).selectExpr(
+        "'A' AS s", "double(id + 1) AS p", "timestamp_seconds(id * 60) AS t", "id AS tie")
+    built = src.build_bars(ticks, "s", "p", "t", "tie", "1h")
+    assert "Sort" not in built._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in src.upsert(built, built)._jdf.queryExecution().executedPlan().toString()
+    first = built.orderBy("ts").first()
+    assert (first["open"], first["close"], first["high"], first["volume"]) == (1.0, 60.0, 60.0, 60.0)
+    same = spark.createDataFrame(
+        [("A", 3.0, 0, 2), ("A", 5.0, 0, 1), ("A", 4.0, 0, 3)], "s string, p double, t long, tie long")
+    one = src.build_bars(same.withColumn("t", F.timestamp_seconds("t")), "s", "p", "t", "tie", "1h").first()
+    assert (one["open"], one["close"]) == (5.0, 4.0)
+
+
+def test_last_of_several_new_bars_wins(spark):
+    from tidebar.sources import bars as src
+
+    old = bars(spark, walk(n=3, symbols=("A",)))
+    new = old.limit(1).withColumn("close", F.lit(1.0)).withColumn("seq", F.lit(1)).unionByName(
+        old.limit(1).withColumn("close", F.lit(2.0)).withColumn("seq", F.lit(7)))
+    rows = src.upsert(old, new, seq="seq").orderBy("ts").collect()
+    assert len(rows) == 3 and rows[0]["close"] == 2.0

@@ -196,8 +196,67 @@ def test_quality_report_flags(spark):
         "volume", F.nanvl("volume", F.lit(None).cast("double")))
     rep = {r.symbol: r for r in ql.quality_report(df, min_bars={"1h": 100}).collect()}
     assert rep["A"]["duplicates"] == 1 and rep["A"]["null_values"] == 1 and not rep["A"]["ok"]
-    failed = {c["name"] for c in rep["BTC"]["checks"] if not c["passed"]}
-    assert failed == {"plausible_price"}
+    # price and regime coverage are asked of five-minute series alone
+    assert rep["BTC"]["ok"]
+    fine = bars(spark, pdf[pdf.symbol == "BTC"].assign(
+        timeframe="5m", ts=pd.date_range("2024-01-01", periods=600, freq="5min")))
+    report = ql.quality_report(fine, min_bars={"5m": 100}).first()
+    assert "plausible_price" in {c["name"] for c in report["checks"] if not c["passed"]}
+
+
+def plain_trades(close, signal, tp, sl, max_bars, slip):
+    """Bar by bar: while a position is open, signals pass unseen."""
+    kept, at = [], 0
+    while at < len(close):
+        if signal[at] not in (1, 2):
+            at += 1
+            continue
+        d = 1 if signal[at] == 1 else -1
+        entry = close[at] * (1 + slip * d)
+        for i in range(at + 1, len(close)):
+            move = d * (close[i] - entry) / entry
+            if move >= tp or move <= -sl or i - at >= max_bars:
+                kept.append((at, i))
+                at = i + 1
+                break
+        else:
+            break  # open to the end of the series: no trade, and none after it
+    return kept
+
+
+def test_open_entries_block_later_ones(spark):
+    rng = np.random.default_rng(5)
+    close = np.r_[100 * np.exp(np.cumsum(rng.normal(0, 0.004, 180))), np.full(20, 100.0)]
+    close[-3:] = [100.0, 101.5, 102.5]
+    pdf = walk(n=200, symbols=("A",)).assign(close=close)
+    pdf["pos"], pdf["signal"], pdf["confidence"] = np.arange(200), 0, 0.9
+    pdf.loc[pdf.index % 3 == 0, "signal"] = 1
+    pdf.loc[pdf.index >= 180, "signal"] = 0
+    pdf.loc[[182, 186, 198], "signal"] = [2, 1, 1]
+    out = oc.close_only_exits(bars(spark, pdf), tp=0.03, sl=0.03)
+    assert out.filter("exit_bar IS NULL").count() > 0
+    got = {(r.entry_bar, r.exit_bar) for r in oc.ledger(out, 32, same_bar=False).collect()}
+    want = plain_trades(close, pdf.signal.tolist(), 0.03, 0.03, 32, oc.SLIPPAGE)
+    assert got == set(want) and (186, 199) not in got and len(got) > 3
+
+
+def test_holds_beyond_the_reach_are_refused(spark):
+    df = spark.sql("SELECT 'A' AS symbol, '1h' AS timeframe, 0L AS entry_bar, 96L AS exit_bar")
+    with pytest.raises(Exception, match="holds its key"):
+        oc.ledger(df, 48).collect()
+
+
+def test_profit_lock_keeps_its_floor(spark):
+    """Armed at 0.85 R in a trend; 0.60 R in a range is above the floor of 0.56."""
+    closes = [100, 100.1, 100.2, 100.85, 100.60, 100.5, 100.5]
+    regimes = ["TRENDING"] * 4 + ["RANGE"] * 3
+    pdf = walk(n=7, symbols=("A",)).assign(close=np.array(closes, float), pos=np.arange(7), regime=regimes)
+    pos = spark.createDataFrame(
+        [("A", "1h", 0, "long", 100.0, 99.0, 105.0, 2.0)],
+        "symbol string, timeframe string, entry_bar long, side string, entry_price double, "
+        "stop_loss double, take_profit double, quantity double")
+    got = oc.exit_events(pos, bars(spark, pdf)).first()
+    assert (got["exit_reason"], got["exit_bar"]) == ("EARLY_PROFIT_LOCK", 5)
 
 
 def test_bar_storage_roundtrip(spark, tmp_path):

@@ -246,23 +246,42 @@ def position_size(df: DataFrame, method: str = "half_kelly", max_risk: float = 0
 
 
 def size_trade(df: DataFrame, risk_pct: float = 0.5, leverage: int = 10, max_open: int = 5,
-               tp_pct: float = 1.5, sl_pct: float = 1.0, daily_loss: str = "double(0)",
-               max_daily_loss: float = 0.0) -> DataFrame:
+               tp_pct: float = 1.5, sl_pct: float = 1.0, max_daily_loss_pct: float = 5.0,
+               max_daily_loss: float = 0.0, max_same_direction: int = 1) -> DataFrame:
     """Risk-based quantity, take-profit and stop with the ordered reject reasons.
 
     Request columns: symbol, side (long/short), entry_price, available_balance, open_trades,
-    atr, sl_atr_mult, tp_atr_mult, size_scale; optionally ``blocked``.  Small orders are bumped
+    atr, sl_atr_mult, tp_atr_mult, size_scale. Optional ones: ``blocked``; ``same_direction``,
+    the open positions of that side; ``daily_loss`` and ``session_balance``, for the daily limits
+    in percent and (above 0) in currency; and per request ``risk_pct``, ``leverage``, ``tp_pct``
+    and ``sl_pct``, where null or 0 means the setting.  Small orders are bumped
     to the 100 notional minimum if the stop then risks at most 5 % of the balance; the final
     quantity is capped so that the stop loses no more than the configured risk.
     """
-    blocked = "blocked" if "blocked" in df.columns else "false"
+    given = set(df.columns)
+    blocked = "coalesce(blocked, false)" if "blocked" in given else "false"
+    same = "coalesce(same_direction, 0)" if "same_direction" in given else "0"
+    lost = "coalesce(daily_loss, double(0))" if "daily_loss" in given else "double(0)"
+    limits = []
+    if "daily_loss" in given and "session_balance" in given:
+        limits.append(f"(session_balance > 0 AND {lost} / session_balance * 100 >= "
+                      f"{num(max_daily_loss_pct)})")
+        if max_daily_loss > 0:
+            limits.append(f"(session_balance > 0 AND {lost} >= {num(max_daily_loss)})")
+
+    def own(name: str, setting: str) -> str:
+        return f"coalesce(nullif({name}, 0), {setting})" if name in given else setting
+
+    risk_share, lever = own("risk_pct", num(risk_pct)), own("leverage", str(leverage))
+    tp_share, sl_share = own("tp_pct", num(tp_pct)), own("sl_pct", num(sl_pct))
     step = sql_lookup(LOT_STEP, "symbol", 0.001)
     d = df.selectExpr(
         "*",
         f"{step} AS _step",
-        f"available_balance * {num(risk_pct / 100)} * size_scale AS _risk",
+        f"available_balance * ({risk_share} / 100) * size_scale AS _risk",
+        f"{lever} AS _lever",
     )
-    d = d.selectExpr("*", f"_risk * {leverage} / entry_price AS _raw",
+    d = d.selectExpr("*", "_risk * _lever / entry_price AS _raw",
                      "greatest(0, -floor(log10(_step))) AS _digits")
     d = d.selectExpr(
         "*",
@@ -276,15 +295,15 @@ def size_trade(df: DataFrame, risk_pct: float = 0.5, leverage: int = 10, max_ope
     d = d.selectExpr(
         "*",
         "_q0 * entry_price < 100 AS _small",
-        f"round(entry_price + {sign} * coalesce(_tp_atr, entry_price * {num(tp_pct / 100)}), 4) "
+        f"round(entry_price + {sign} * coalesce(_tp_atr, entry_price * ({tp_share} / 100)), 4) "
         "AS _tp",
-        f"round(entry_price - {sign} * coalesce(_sl_atr, entry_price * {num(sl_pct / 100)}), 4) "
+        f"round(entry_price - {sign} * coalesce(_sl_atr, entry_price * ({sl_share} / 100)), 4) "
         "AS _sl",
         "_min_qty * coalesce(_sl_atr, entry_price * double(0.02)) AS _min_risk",
     )
     allowed = "_risk"
     if max_daily_loss > 0:
-        allowed = f"least(_risk, greatest(double(0), {num(max_daily_loss)} - {daily_loss}))"
+        allowed = f"least(_risk, greatest(double(0), {num(max_daily_loss)} - {lost}))"
     d = d.selectExpr(
         "*",
         "CASE WHEN _small THEN _min_qty ELSE _q0 END AS _q1",
@@ -301,7 +320,9 @@ def size_trade(df: DataFrame, risk_pct: float = 0.5, leverage: int = 10, max_ope
             "CASE",
             f"WHEN open_trades >= {max_open} THEN 'max open trades'",
             "WHEN available_balance <= 0 THEN 'no available balance'",
+            *([f"WHEN {' OR '.join(limits)} THEN 'daily loss limit'"] if limits else []),
             f"WHEN {blocked} THEN 'direction blocked'",
+            f"WHEN {same} >= {max_same_direction} THEN 'direction full'",
             "WHEN _q0 <= 0 THEN 'quantity is 0'",
             "WHEN _small AND _min_risk > available_balance * double(0.05) THEN "
             "'minimum notional too risky'",
@@ -319,11 +340,11 @@ def size_trade(df: DataFrame, risk_pct: float = 0.5, leverage: int = 10, max_ope
                      "CASE WHEN _over THEN _cap_qty ELSE _q1 END AS _qty")
     ok = "reject_reason IS NULL"
     return d.selectExpr(
-        *df.columns,
+        *[c for c in df.columns if c != "leverage"],
         f"{ok} AS approved",
         "reject_reason",
         f"CASE WHEN {ok} THEN _qty ELSE double(0) END AS quantity",
-        f"CASE WHEN {ok} THEN {leverage} ELSE 1 END AS leverage",
+        f"CASE WHEN {ok} THEN _lever ELSE 1 END AS leverage",
         f"CASE WHEN {ok} THEN _tp ELSE entry_price END AS take_profit",
         f"CASE WHEN {ok} THEN _sl ELSE entry_price END AS stop_loss",
         f"CASE WHEN {ok} THEN _qty * entry_price ELSE double(0) END AS position_size_usdt",

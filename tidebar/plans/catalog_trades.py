@@ -270,17 +270,26 @@ def trade_queries() -> dict[str, Query]:
     for m in ("fixed_fractional", "kelly", "half_kelly", "vol_scaled"):
         q[f"risk_size_{m}"] = sizing(m)
 
-    def sized(s: SparkSession, d: str) -> DataFrame:
+    def sized(s: SparkSession, d: str, *more: str, **kw) -> DataFrame:
         df = rg.regime_params(scored_bars(s, d, regime=True)).filter("signal > 0")
         return rk.size_trade(df.selectExpr(
             "symbol", "ts", "CASE signal WHEN 1 THEN 'long' ELSE 'short' END AS side",
             "close AS entry_price", "1000D + 100D * (pos % 40) AS available_balance",
             "cast(pos % 6 AS int) AS open_trades", "atr", "sl_mult AS sl_atr_mult",
-            "tp_mult AS tp_atr_mult", "size_scale", "sl_mult", "tp_mult"), risk_pct=5.0)
+            "tp_mult AS tp_atr_mult", "size_scale", "sl_mult", "tp_mult", *more), risk_pct=5.0,
+            **kw)
 
     q["risk_sized_trades"] = lambda s, d: sized(s, d).selectExpr(
         "symbol", stamp(), "side", "approved", "reject_reason",
         *rounded("take_profit stop_loss", 4), *rounded("quantity", 3))
+    q["risk_gated_trades"] = lambda s, d: sized(
+        s, d, "CASE WHEN pos % 3 = 0 THEN 20 END AS leverage",
+        "CASE WHEN pos % 4 = 0 THEN 3D WHEN pos % 4 = 1 THEN 0D END AS risk_pct",
+        "double(pos % 70) AS daily_loss", "1000D AS session_balance",
+        "cast(pos % 7 = 0 AS int) AS same_direction", "pos % 11 = 0 AS blocked",
+        max_daily_loss=48.0,
+    ).selectExpr("symbol", stamp(), "side", "approved", "reject_reason", "leverage",
+                 *rounded("take_profit stop_loss", 4), *rounded("quantity", 3))
     q["signals_payoff_gate"] = lambda s, d: sg.payoff_gate(
         sized(s, d).filter("approved")).selectExpr(
         "symbol", stamp(), "side", "payoff_skip", *rounded("net_rr", 4))

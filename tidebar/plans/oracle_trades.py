@@ -143,6 +143,20 @@ r6 AS MATERIALIZED (SELECT *, CASE WHEN open_trades >= 5 THEN 'max open trades'
   WHEN small AND mq * coalesce(sla, e * 0.02) > bal * 0.05 THEN 'minimum notional too risky' WHEN (side = 'long' AND tp <= e) OR (side = 'short' AND tp >= e) THEN 'take profit on wrong side'
   WHEN dist < e * 0.0005 THEN 'stop too tight' WHEN risk <= 0 THEN 'risk cap is 0' WHEN ov AND cq <= 0 THEN 'risk cap too small' WHEN ov AND cq * e < 100 THEN 'risk cap below minimum notional'
   WHEN abs(e - tp) / dist < 1 THEN 'reward below risk' END AS why, CASE WHEN ov THEN cq ELSE q1 END AS qty FROM r5)"""
+# the same requests with their own leverage and risk, daily losses, open and blocked directions
+GATED = (
+    SIZED.replace("bal * (CAST(5 AS DOUBLE) / 100) * sz AS risk",
+                  "bal * (CAST(CASE WHEN pos % 4 = 0 THEN 3 ELSE 5 END AS DOUBLE) / 100) * sz AS risk, "
+                  "CASE WHEN pos % 3 = 0 THEN 20 ELSE 10 END AS lever, "
+                  "least(bal * (CAST(CASE WHEN pos % 4 = 0 THEN 3 ELSE 5 END AS DOUBLE) / 100) * sz, "
+                  "greatest(0, 48 - pos % 70)) AS cap")
+    .replace("risk * 10 / e AS qr", "risk * lever / e AS qr")
+    .replace("q1 * dist > risk AS ov, floor((risk / dist)", "q1 * dist > cap AS ov, floor((cap / dist)")
+    .replace("WHEN risk <= 0", "WHEN cap <= 0")
+    .replace("WHEN q0 <= 0", "WHEN (pos % 70) / 10.0 >= 5 OR pos % 70 >= 48 THEN 'daily loss limit' "
+             "WHEN pos % 11 = 0 THEN 'direction blocked' WHEN pos % 7 = 0 THEN 'direction full' WHEN q0 <= 0")
+)
+
 
 POS = """pe AS (SELECT user_id, arg_min(value, event_id) AS entry_price, CAST(count(*) AS DOUBLE) AS quantity, CASE WHEN user_id % 2 = 0 THEN 'long' ELSE 'short' END AS side, CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END AS sg,
   'USR' || user_id || 'USDT' AS symbol, arg_max(value, event_id) AS price FROM events WHERE value > 0 GROUP BY user_id)"""
@@ -257,6 +271,7 @@ e0 AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY symbol, episode ORDER BY
         "risk_kelly_inputs": f"WITH {JOURNAL}, {KELLY} SELECT symbol, trade_id, round(win_rate, 5) + 0.0 AS win_rate, round(avg_win, 7) + 0.0 AS avg_win, round(avg_loss, 7) + 0.0 AS avg_loss FROM kel",
         **{f"risk_size_{m}": sizing(m) for m in ("fixed_fractional", "kelly", "half_kelly", "vol_scaled")},
         "risk_sized_trades": f"{SIZED} SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, side, why IS NULL AS approved, why AS reject_reason, round(CASE WHEN why IS NULL THEN tp ELSE e END, 4) + 0.0 AS take_profit, round(CASE WHEN why IS NULL THEN sl ELSE e END, 4) + 0.0 AS stop_loss, round(CASE WHEN why IS NULL THEN qty ELSE 0 END, 3) + 0.0 AS quantity FROM r6",
+        "risk_gated_trades": f"{GATED} SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, side, why IS NULL AS approved, why AS reject_reason, CAST(CASE WHEN why IS NULL THEN lever ELSE 1 END AS INTEGER) AS leverage, round(CASE WHEN why IS NULL THEN tp ELSE e END, 4) + 0.0 AS take_profit, round(CASE WHEN why IS NULL THEN sl ELSE e END, 4) + 0.0 AS stop_loss, round(CASE WHEN why IS NULL THEN qty ELSE 0 END, 3) + 0.0 AS quantity FROM r6",
         "signals_payoff_gate": f"""{SIZED}, g1 AS (SELECT *, e * qty * CAST(0.001 AS DOUBLE) AS fee, abs(e - sl) * qty * tpm / slm AS gross, abs(tp - e) * qty AS w1, abs(e - sl) * qty AS l1x FROM r6 WHERE why IS NULL),
 g2 AS (SELECT *, (w1 - fee) / (l1x + fee) AS net_rr FROM g1) SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, side, CASE WHEN atr IS NULL OR atr <= 0 OR qty <= 0 THEN NULL WHEN gross < fee * 2.5 THEN 'payoff below fees' WHEN w1 - fee <= 0 OR net_rr < 1.2 THEN 'net reward too small' END AS payoff_skip, {r('net_rr', 4)} FROM g2""",
         "risk_throttled_entries": f"""{HEAD}, {SIG}, cd AS MATERIALIZED (SELECT *, ts::DATE AS dy, row_number() OVER (PARTITION BY symbol ORDER BY pos) AS rn FROM sig WHERE signal > 0),
