@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidebar.session import cut_lineage
+from tidebar.session import checkpoint_folder
 
 SETTINGS = {
     # whole texts travel in these batches; rows of any length stay within a worker's memory
@@ -19,6 +21,8 @@ SETTINGS = {
 }
 #: A table of at most this many short rows may be broadcast.
 BROADCAST_ROWS = 100_000
+#: A table of single longs of at most this many rows (16 MB) may be broadcast.
+BROADCAST_IDS = 2_000_000
 HELD_OUT_OF = 5
 #: Tasks that prepare a sample of labelled texts.
 SAMPLE_PARTS = 24
@@ -34,9 +38,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: list[str] | None = None
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read again."""
-    return cut_lineage(df, name)
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    if _made is not None:
+        _made.append(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+@contextmanager
+def recorded(folders: list[str]) -> Iterator[None]:
+    """Note in ``folders`` what ``written`` makes meanwhile, for its owner to remove."""
+    global _made
+    outer, _made = _made, folders
+    try:
+        yield
+    finally:
+        _made = outer
+
+
+def remove(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def packed(df: DataFrame, name: str = "row") -> Column:

@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebar.llm.common import packed, unpacked, written
+from tidebar.llm.common import BROADCAST_IDS, packed, small, unpacked, written
 
 SEED = 42
 LEAF = 16_384
 SUBTREES = 16_384
 #: Node pairs held at once while two blocks are traversed.
-FRONTIER = 500_000
+FRONTIER = 200_000
 
 
 # -- fingerprints ---------------------------------------------------------------------------------
@@ -525,19 +525,21 @@ def without_near_copies(
         F.coalesce("root", "class").alias("root"), "best", "stays"
     )
     staying = groups_.groupBy("root").agg(F.coalesce(F.min_by("stays", "best"), F.min("stays")).alias("rid"))
-    return unpacked(rows.join(staying.select("rid"), "rid", "left_semi"), docs.columns)
+    # the rows that go are few: as single longs they can meet the texts where these lie
+    going = written(rows.select("rid").join(staying.select("rid"), "rid", "left_anti"), "going")
+    return unpacked(rows.join(small(going, BROADCAST_IDS), "rid", "left_anti"), docs.columns)
 
 
 def _similar(candidates: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """The candidate pairs a, b whose shingle sets are similar enough; ``texts``: (rid, t)."""
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    ends = written(candidates.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "ends")
 
     def shingled(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             sets = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rid", "set"])
 
-    sets = written(texts.join(ends, "rid", "left_semi").mapInArrow(shingled, "rid long, set array<long>"), "sets")
+    sets = written(texts.join(small(ends, BROADCAST_IDS), "rid", "left_semi").mapInArrow(shingled, "rid long, set array<long>"), "sets")
     both = (
         candidates.join(sets.select(F.col("rid").alias("a"), F.col("set").alias("one")), "a")
         .join(sets.select(F.col("rid").alias("b"), F.col("set").alias("two")), "b")
