@@ -43,7 +43,7 @@ class Settings:
     leaf_rows: int = 128
     most_leaves: int = 4096
     rounds: int = 8
-    recall: float = 0.97
+    recall: float = 0.95
     block: int = 4096
     chunk: int = 16_384
     seed: int = 3
@@ -128,17 +128,25 @@ def means(rows: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> tu
     return centres[used], of
 
 
-def best(queries: np.ndarray, rows: np.ndarray, firsts: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of each query the k best rows with their cosines; ties to the smaller first id."""
+def best(
+    queries: np.ndarray, rows: np.ndarray, firsts: np.ndarray, k: int,
+    only: tuple[np.ndarray, np.ndarray] | None = None,
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each query the k best rows with their cosines; ties to the smaller first id.
+
+    ``only``: which leaves each query visits, and the leaf of each row.
+    """
     lengths = np.sqrt((rows * rows).sum(axis=1))
     for lo in range(0, len(queries), 256):
         some = queries[lo : lo + 256]
         norms = np.sqrt((some * some).sum(axis=1))
         near = (some @ rows.T) / norms[:, None] / lengths
+        if only is not None:
+            near[~only[0][lo : lo + 256][:, only[1]]] = -np.inf
         k_here = min(k, len(rows))
         kth = np.partition(near, len(rows) - k_here, axis=1)[:, len(rows) - k_here]
         for i in range(len(some)):
-            at = np.flatnonzero(near[i] >= kth[i] - 1e-12)
+            at = np.flatnonzero((near[i] >= kth[i] - 1e-12) & (near[i] > -np.inf))
             # the products above round by their place in a block; these do not
             exact = (rows[at] * some[i]).sum(axis=1) / (lengths[at] * norms[i])
             order = np.lexsort((firsts[at], -exact))[:k]
@@ -175,51 +183,92 @@ def nearest(
     keys = written(queries.select("q").distinct().join(mine, "q").select("q", "v"), "keys")
     visits = _calibrated(index, keys, tree, k, s)
 
-    counts = index.groupBy("leaf").agg(F.count("*").alias("n")).select(
-        "leaf", F.ceil(F.col("n") / s.block).cast("int").alias("blocks")
-    )  # a row for each leaf
-    chunks = parts_for(keys.count() * visits // max(1, tree.leaves), s.chunk)
-    laid = index.join(F.broadcast(counts), "leaf").select(
-        "leaf", F.pmod(F.xxhash64("first"), F.col("blocks")).cast("int").alias("b"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("c"), "first", "v", "ids",
+    # neighbouring leaves share a unit of work; a leaf beyond the size of a block has units of its own
+    sizes = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf
+    units = _units(sizes, s.block)
+    chunks = parts_for(keys.count(), s.chunk)
+    where = F.broadcast(table.sparkSession.createDataFrame(
+        [(leaf, u[0], len(u)) for leaf, u in units.items()], "leaf long, first_unit int, parts int"
+    ))
+    laid = index.join(where, "leaf").select(
+        (F.col("first_unit") + F.pmod(F.xxhash64("first"), F.col("parts")).cast("int")).alias("unit"),
+        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("c"), "leaf", "first", "v", "ids",
     )
+    placing = table.sparkSession.sparkContext.broadcast(units)
 
     def walked(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            if batch.num_rows:
-                met = [shipped.value.visits(x, visits) for x in unit(matrix(batch.column(1)))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(met, pa.list_(pa.int64()))], ["q", "v", "met"])
+            if not batch.num_rows:
+                continue
+            at, unit_of, met = [], [], []
+            for i, x in enumerate(unit(matrix(batch.column(1)))):
+                by_unit: dict[int, list[int]] = {}
+                for leaf in shipped.value.visits(x, visits):
+                    for u in placing.value.get(leaf, ()):
+                        by_unit.setdefault(u, []).append(leaf)
+                for u, leaves_met in by_unit.items():
+                    at.append(i)
+                    unit_of.append(u)
+                    met.append(leaves_met)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(unit_of, pa.int32()), *[c.take(pa.array(at, pa.int64())) for c in batch.columns],
+                 pa.array(met, pa.list_(pa.int64()))],
+                ["unit", "q", "v", "met"],
+            )
 
-    probes = keys.mapInArrow(walked, f"q long, v {kind}, met array<long>").select("q", "v", F.explode("met").alias("leaf"))
-    sent = probes.join(F.broadcast(counts), "leaf").select(
-        "leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"),
-        F.pmod(F.xxhash64("q"), F.lit(chunks)).cast("int").alias("c"), "q", "v",
+    sent = keys.mapInArrow(walked, f"unit int, q long, v {kind}, met array<long>").withColumn(
+        "c", F.pmod(F.xxhash64("q"), F.lit(chunks)).cast("int")
     )
 
     def compared(left: pa.Table, right: pa.Table) -> pa.Table:
         q, score, at = [], [], []
         if left.num_rows and right.num_rows:
             firsts, names = left.column("first").to_numpy(), right.column("q").to_numpy()
-            for i, found, cosines in best(matrix(right.column("v")), matrix(left.column("v")), firsts, k + 1):
+            here, of = np.unique(left.column("leaf").to_numpy(), return_inverse=True)
+            met = right.column("met").combine_chunks()
+            visited = np.zeros((len(names), len(here)), bool)
+            flat = met.flatten().to_numpy()
+            place = np.searchsorted(here, flat)
+            known = here[np.minimum(place, len(here) - 1)] == flat  # a part of a leaf may be empty
+            of_query = np.repeat(np.arange(len(names)), np.diff(met.offsets.to_numpy()))
+            visited[of_query[known], place[known]] = True
+            rows = matrix(left.column("v"))
+            for i, found, cosines in best(matrix(right.column("v")), rows, firsts, k + 1, (visited, of)):
                 q.append(np.full(len(found), names[i]))
                 score.append(cosines)
                 at.append(found)
-        where = pa.array(np.concatenate(at) if at else np.empty(0, np.int64))
+        where_found = pa.array(np.concatenate(at) if at else np.empty(0, np.int64))
         return pa.table({
             "q": pa.array(np.concatenate(q) if q else [], pa.int64()),
             "score": pa.array(np.concatenate(score) if score else [], pa.float64()),
-            "first": left.column("first").combine_chunks().take(where),
-            "ids": left.column("ids").combine_chunks().take(where),
+            "first": left.column("first").combine_chunks().take(where_found),
+            "ids": left.column("ids").combine_chunks().take(where_found),
         })
 
     found = (
-        laid.groupBy("leaf", "b", "c").cogroup(sent.groupBy("leaf", "b", "c"))
+        laid.groupBy("unit", "c").cogroup(sent.groupBy("unit", "c"))
         .applyInArrow(compared, "q long, score double, first long, ids array<long>")
     )
     lists = written(answers(found, k + 1, "score", True), "answers")
     return ranked_answers(queries, lists, k, "score")
 
 
+def _units(sizes: dict[int, int], block: int) -> dict[int, range]:
+    """The units of work of each leaf: some leaves in a row together, or parts of a large one."""
+    units, last, room = {}, -1, 0
+    for leaf in sorted(sizes):
+        parts = math.ceil(sizes[leaf] / block)
+        if parts > 1:
+            units[leaf] = range(last + 1, last + 1 + parts)
+            last, room = last + parts, 0
+        else:
+            if sizes[leaf] > room:
+                last, room = last + 1, block
+            room -= sizes[leaf]
+            units[leaf] = range(last, last + 1)
+    return units
+
+
 def _calibrated(index: DataFrame, keys: DataFrame, tree: Tree, k: int, s: Settings) -> int:
     """Leaves to visit so that a sample of queries meets ``recall`` of its true k nearest vectors."""
     trial = keys.orderBy(F.xxhash64("q"), "q").limit(s.trial).toArrow()
