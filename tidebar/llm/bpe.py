@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from tidebar.llm.common import packed, unpacked
 
 #: Bytes of words and their ids that a worker remembers before it starts anew.
-REMEMBERED = 60_000_000
+REMEMBERED = 30_000_000
 #: Texts whose new words are learned together.
 TOGETHER = 500
 #: byte b is written as the letter U+0100 + b: 256 letters, none of them white space

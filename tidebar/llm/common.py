@@ -16,8 +16,8 @@ from tidebar.session import checkpoint_folder
 
 SETTINGS = {
     # whole texts travel in these batches; rows of any length stay within a worker's memory
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 #: A table of at most this many short rows may be broadcast.
 BROADCAST_ROWS = 100_000

@@ -33,7 +33,7 @@ from tidebar.llm.common import label_sample, packed, unpacked
 
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 #: Characters of words that a worker remembers before it starts anew.
-REMEMBERED = 5_000_000
+REMEMBERED = 3_000_000
 
 
 @dataclass(frozen=True)
