@@ -111,3 +111,33 @@ def test_without_near_copies(spark):
         if ids and left[g] == 1:
             assert min(ids) in {r["doc_id"] for r in kept}
     assert simhash.without_near_copies(empty_docs(spark)).count() == 0
+
+
+def near_left(spark, rows, **kw):
+    """How many rows each group of all pairs at 0.8 or more keeps."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"] for r in simhash.without_near_copies(docs, **kw).collect()}
+    sets = []
+    for _, t in rows:
+        words = t.split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    linked = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    groups = plain_roots(linked, range(len(rows)))
+    assert {g for i, g in enumerate(groups) if rows[i][0] in kept} == set(groups)
+    return {g: sum(groups[i] == g and rows[i][0] in kept for i in range(len(rows))) for g in set(groups)}
+
+
+def test_copies_among_texts_of_one_template(spark, monkeypatch):
+    """300 texts at 0.7 to 0.79 of each other, and a copy at about 0.9 of every third."""
+    monkeypatch.setattr(simhash, "OPEN", 0, raising=False)
+    monkeypatch.setattr(simhash, "PIVOTS", 2, raising=False)
+    rng = np.random.default_rng(5)
+    template, rows = [f"t{i}" for i in range(260)], []
+    for i in range(300):
+        words = template + [f"u{i}-{k}" for k in range(int(rng.integers(36, 52)))]
+        rows.append((len(rows), " ".join(words)))
+        if i % 3 == 0:
+            words[-14:] = [f"v{i}-{k}" for k in range(14)]
+            rows.append((len(rows), " ".join(words)))
+    left = near_left(spark, rows, leaf=50)
+    assert len(left) == 300 and set(left.values()) == {1}
