@@ -141,3 +141,16 @@ def test_copies_among_texts_of_one_template(spark, monkeypatch):
             rows.append((len(rows), " ".join(words)))
     left = near_left(spark, rows, leaf=50)
     assert len(left) == 300 and set(left.values()) == {1}
+
+
+def test_pairs_at_the_bound_are_all_found(spark):
+    """Eight words against the same and a ninth: 4 of 5 shingles; and longer texts just above 0.8."""
+    rows = []
+    for i in range(60):
+        words = [f"s{i}-{k}" for k in range(8)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, "more"]))]
+    for i in range(60, 120):
+        words = [f"l{i}-{k}" for k in range(100)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:90], *[f"m{i}-{k}" for k in range(10)]]))]
+    left = near_left(spark, rows)
+    assert len(left) == 120 and set(left.values()) == {1}
