@@ -62,3 +62,12 @@ def test_frame(spark):
     kept = {(r["doc_id"], r["text"]) for r in docs.collect()}
     assert {k for k, n in rows.items() if not n} == kept
     assert pii.pseudonymise(empty_docs(spark)).count() == 0
+
+
+@pytest.mark.parametrize("text", [
+    "+1 (017) 555-7713", "call +1 (132) 555-1352.", "(030) 1234567", "030 1234 567", "132-555-1352", "+14155552671", "+4930123456",
+])
+def test_telephone_numbers_of_any_first_digit(text):
+    fresh, n = pii.pseudonymised(text, pii.Pseudonyms(b"k"))
+    assert n == 1 and fresh != text and re.sub(r"\d", "9", fresh) == re.sub(r"\d", "9", text)
+    assert pii.pseudonymised(fresh, pii.Pseudonyms(b"k", back=True))[0] == text

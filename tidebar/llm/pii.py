@@ -214,12 +214,23 @@ def _card_ok(m: re.Match) -> bool:
 
 def _phone(p: Pseudonyms, m: re.Match) -> str:
     prefix = m["country"] or ""
-    return prefix + p.number("phone" + prefix, m[0][len(prefix) :], lambda d: d[0] not in "01")
+    rest = m[0][len(prefix) :]
+    first = _leading(next(c for c in rest if c.isdigit()))
+    kind = "phone" + prefix + (first if first in "01" else "")
+    return prefix + p.number(kind, rest, lambda d: _leading(d[0]) == first)
+
+
+def _leading(digit: str) -> str:
+    """0 and 1 stay what they are, others change among themselves."""
+    return digit if digit in "01" else "2"
 
 
 def _phone_ok(m: re.Match) -> bool:
-    rest = [c for c in m[0][len(m["country"] or "") :] if c.isdigit()]
-    return rest[0] not in "01" and 7 <= len(rest) <= 12
+    shown = m[0][len(m["country"] or "") :]
+    rest = [c for c in shown if c.isdigit()]
+    # three groups of four after a 1 are years or part of an account
+    groups = not m["country"] and rest[0] == "1" and re.fullmatch(r"[0-9]{4}(?:[ .-][0-9]{4}){2}", shown)
+    return not groups and 7 <= len(rest) <= 12
 
 
 def _secret(p: Pseudonyms, m: re.Match) -> str:
@@ -259,6 +270,7 @@ KINDS = (
          lambda m: _social(m[0].replace("-", "")), lambda p, m: p.number("social", m[0], _social)),
     Kind("phone", re.compile(r"(?<![\w.+-])(?:(?P<country>\+[0-9]{1,3})[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\w-])"),
          _phone_ok, _phone),
+    Kind("e164", re.compile(r"(?<![\w.+-])(?P<country>\+(?:[17]|[2-9][0-9]))[0-9]{7,13}(?![\w-])"), lambda m: True, _phone, "+"),
 )
 ANY_DIGIT = re.compile(r"[0-9]")
 
