@@ -73,3 +73,22 @@ def test_turns(spark):
     assert out[3, 5]["status"] == "orphan"
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.linked(chat.turns_as_messages(empty), chat.TURN_SCHEMAS).count() == 0
+
+
+def test_every_row_comes_back(spark):
+    """Repeated rows, two bodies at one turn and null turns: one is the head, the others are repeated."""
+    rows = [
+        (1, 0, "call", call("a", q="x"))] * 3 + [(1, 0, "call", call("a", q="y")), (1, None, "call", call("a", q="z")),
+        (1, 1, "result", result("a"))] + [(1, 1, "result", result("a", "other"))] * 2 + [(1, None, "result", result("a")),
+        (2, None, "call", call("b", q="x")), (2, None, "call", call("b", q="x")), (2, None, "result", result("b")),
+        (3, 4, "result", result("c")), (3, 4, "result", result("c")),
+    ]
+    out = chat.linked(messages(spark, rows), SCHEMAS).collect()
+    statuses = sorted((r["conv_id"], r["status"]) for r in out)
+    assert statuses == sorted(
+        [(1, "answered")] + [(1, "repeated")] * 7 + [(2, "answered"), (2, "repeated")] + [(3, "orphan")] * 2
+    )
+    head = next(r for r in out if (r["conv_id"], r["status"]) == (1, "answered"))
+    assert head["turn"] == 0 and json.loads(head["json"])["call"]["arguments"]["q"] in ("x", "y")
+    again = chat.linked(messages(spark, rows[::-1]), SCHEMAS).collect()
+    assert next(r["json"] for r in again if (r["conv_id"], r["status"]) == (1, "answered")) == head["json"]

@@ -8,13 +8,14 @@ against the schema of the named tool, and the linked pair is serialised as canon
 no spaces, numbers in one form (a variant value prints so).
 
 ``linked`` returns a row for each call and each result without one:
-status   answered, unanswered, orphan (a result without call), repeated (a result after the first)
+status   answered, unanswered, orphan (a result without call), repeated (a call or result after the first)
 level    0 for calls that come after none; null on a cycle and for results alone
 errors   sorted: cycle, unknown predecessor, unknown tool, not an object, <key>: missing / type / range / unknown
 
 Defined cases: a message whose JSON cannot be read is a message without id; ids that are null or repeated
 link to nothing beyond the first of their turn order: of calls with one id the first counts and the rest
-are "repeated"; a null conversation is a conversation of its own; texts of any length go whole; an empty
+are "repeated", and so with results; a null turn comes last, and rows of one turn are ordered by the hash
+of their body, equal bodies as they lie; a null conversation is a conversation of its own; texts of any length go whole; an empty
 table gives an empty table; columns of the input beyond those named are not read.
 """
 
@@ -115,8 +116,11 @@ def levels(calls: DataFrame) -> DataFrame:
 def linked(messages: DataFrame, schemas: Schemas) -> DataFrame:
     """Rows as described above, from ``messages`` (conv_id, turn, kind call/result, body JSON)."""
     body = F.try_parse_json("body")
-    read = messages.select("conv_id", "turn", "kind", body.alias("v")).select(
-        "conv_id", "turn", "kind", "v",
+    # written, as the numbers of rows must stay as they are
+    numbered = written(messages.select("conv_id", "turn", "kind", "body", F.monotonically_increasing_id().alias("rid")), "messages")
+    read = numbered.withColumn("v", body).select(
+        "conv_id", "turn", "kind", "v", "rid",
+        F.struct(F.col("turn").isNull().alias("late"), "turn", F.xxhash64("body").alias("h"), "rid").alias("rank"),
         F.try_variant_get("v", "$.id", "string").alias("id"),
         F.try_variant_get("v", "$.after", "string").alias("after"),
     )
@@ -125,14 +129,14 @@ def linked(messages: DataFrame, schemas: Schemas) -> DataFrame:
     calls = read.filter("kind = 'call'").withColumn("node", F.when(named, node))
     results = read.filter("kind = 'result'").withColumn("node", F.when(named, node))
     # the first of a repeated id: aggregates on the id, so repeats are combined before they are shuffled
-    first_call = calls.filter("node IS NOT NULL").groupBy("node").agg(F.min("turn").alias("first"))
-    first_result = results.filter("node IS NOT NULL").groupBy("node").agg(F.min("turn").alias("answer"))
+    first_call = calls.filter("node IS NOT NULL").groupBy("node").agg(F.min("rank").alias("r")).select("node", F.col("r.rid").alias("first"))
+    first_result = results.filter("node IS NOT NULL").groupBy("node").agg(F.min("rank").alias("r")).select("node", F.col("r.rid").alias("answer"))
     heads = written(
-        calls.join(first_call, "node").filter(F.col("turn").eqNullSafe(F.col("first")))
+        calls.join(first_call, "node").filter("rid = first")
         .select(
             "node", "conv_id", "turn", "id", F.to_json("v").alias("call"),
             F.when(F.col("after").isNotNull(), F.concat_ws("\x1f", F.coalesce(F.col("conv_id").cast("string"), F.lit("\x1e")), "after")).alias("wanted"),
-        ).dropDuplicates(["node"]),
+        ),
         "calls",
     )
     parents = heads.select(F.col("node").alias("wanted"), F.lit(True).alias("known"))
@@ -143,8 +147,8 @@ def linked(messages: DataFrame, schemas: Schemas) -> DataFrame:
                                   (F.col("wanted").isNotNull() & ~F.col("known")).alias("lost")), "edges")
     level = levels(edges.select("node", "parent"))
     answers = (
-        results.join(first_result, "node").filter(F.col("turn").eqNullSafe(F.col("answer")))
-        .select("node", F.to_json("v").alias("result"), "answer").dropDuplicates(["node"])
+        results.join(first_result, "node").filter("rid = answer")
+        .select("node", F.to_json("v").alias("result"))
     )
     v = F.try_parse_json("call")
     own = argument_errors(F.try_variant_get(v, "$.name", "string"), F.try_variant_get(v, "$.arguments", "variant"), schemas)
@@ -162,10 +166,10 @@ def linked(messages: DataFrame, schemas: Schemas) -> DataFrame:
     seen = heads.select("node", F.lit(True).alias("has_call"))
     lone = results.join(seen, "node", "left").join(first_result, "node", "left").select(
         "conv_id", "turn", "id",
-        F.when(F.col("has_call").isNull(), "orphan").when(F.col("turn") > F.col("answer"), "repeated").alias("status"),
+        F.when(F.col("has_call").isNull(), "orphan").when(F.col("rid") != F.col("answer"), "repeated").alias("status"),
         "v", F.lit("result").alias("part"),
     ).filter("status IS NOT NULL")
-    again = calls.join(first_call, "node", "left").filter("first IS NULL OR turn > first").select(
+    again = calls.join(first_call, "node", "left").filter("first IS NULL OR rid <> first").select(
         "conv_id", "turn", "id", F.lit("repeated").alias("status"), "v", F.lit("call").alias("part")
     )
     rest = lone.unionByName(again).select(
@@ -181,6 +185,7 @@ def turns_as_messages(conversations: DataFrame) -> DataFrame:
 
     A user turn calls ``ask``, or ``follow_up`` after the call two turns earlier where the turn between
     is an assistant's; turns are matched by number, so a conversation of any length needs no sort.
+    Turns of other roles (system, tool, null) are neither calls nor results and take no part.
     """
     t = conversations.select("conv_id", "turn", "role", "text")
     spoken = t.filter("role = 'assistant'").select(
