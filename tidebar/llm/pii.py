@@ -33,6 +33,19 @@ from tidebar.llm.common import packed, unpacked
 
 ROUNDS = 8
 DEFAULT_KEY = b"replace this key"
+#: Characters of a secret that one permutation takes.
+PIECE = 200
+#: Characters of an IBAN, by country.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -166,16 +179,24 @@ class Pseudonyms:
     def date(self, value: str, order: str) -> str:
         """``order``: ymd, dmy, or mdy for dates that can only be read month first."""
         separator = re.sub(r"\d", "", value)[0]
-        parts = dict(zip(order, map(int, value.split(separator)), strict=True))
+        texts = dict(zip(order, value.split(separator), strict=True))
+        parts = {c: int(t) for c, t in texts.items()}
         day = datetime.date(parts["y"], parts["m"], parts["d"]).toordinal()
 
+        short = [c for c in "md" if len(texts[c]) == 1]  # parts of one digit stay so
+
         def fits(x: int) -> bool:
-            return order != "mdy" or datetime.date.fromordinal(FIRST_DAY + x).day > 12
+            fresh = datetime.date.fromordinal(FIRST_DAY + x)
+            if "m" in short and fresh.month > 9 or "d" in short and fresh.day > 9:
+                return False
+            return order != "mdy" or fresh.day > 12
 
         moved = datetime.date.fromordinal(
-            FIRST_DAY + self._move(f"date {order}", day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, fits)
+            FIRST_DAY + self._move(f"date {order}" + "".join(short), day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, fits)
         )
-        shown = {"y": f"{moved.year:04d}", "m": f"{moved.month:02d}", "d": f"{moved.day:02d}"}
+        shown = {"y": f"{moved.year:04d}"} | {
+            c: f"{n:0{len(texts[c])}d}" for c, n in (("m", moved.month), ("d", moved.day))
+        }
         return separator.join(shown[c] for c in order)
 
 
@@ -237,7 +258,31 @@ def _secret(p: Pseudonyms, m: re.Match) -> str:
     value = m["value"]
     is_hex = re.fullmatch(r"[0-9a-f]+", value) is not None
     at = m.start("value") - m.start()
-    return m[0][:at] + p.characters("secret", value, is_hex) + m[0][at + len(value) :]
+    # long values in pieces, each by a permutation of its own
+    pieces = [
+        p.characters(f"secret {i}" if i else "secret", value[i : i + PIECE], is_hex) for i in range(0, len(value), PIECE)
+    ]
+    return m[0][:at] + "".join(pieces) + m[0][at + len(value) :]
+
+
+def _ibans(pattern: re.Pattern, text: str) -> Iterator[re.Match]:
+    """Matches with the right check digits: of the length of their country, or as long as they match."""
+    at = 0
+    while m := pattern.search(text, at):
+        at = m.start() + 1
+        ends = [m.end()]
+        if m[0][:2] in IBAN_LENGTHS:
+            places = [i for i, c in enumerate(m[0], m.start()) if c != " "]
+            if len(places) >= IBAN_LENGTHS[m[0][:2]]:
+                ends.insert(0, places[IBAN_LENGTHS[m[0][:2]] - 1] + 1)
+        for end in ends:
+            short = pattern.fullmatch(text, m.start(), end)
+            if short and not (text[end : end + 1].isalnum() or text[end : end + 1] == "_") and _mod97(
+                (short[0][4:] + short[0][:4]).replace(" ", "")
+            ) == 1:
+                yield short
+                at = end
+                break
 
 
 @dataclass(frozen=True)
@@ -249,22 +294,23 @@ class Kind:
     valid: Callable[[re.Match], bool]
     replace: Callable[[Pseudonyms, re.Match], str]
     hint: str = ""
+    find: Callable[[re.Pattern, str], Iterator[re.Match]] = re.Pattern.finditer
 
 
 #: Of values that overlap, the first counts; of values that begin together, the first of these kinds.
 KINDS = (
     Kind("email", re.compile(r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?=@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,})"),
          lambda m: True, lambda p, m: p.characters("email", m[0]), "@"),
-    Kind("secret", re.compile(r"(?i:\b(?:password|passwd|secret|token|api[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<value>[A-Za-z0-9+/_.~-]{8,200})"),
+    Kind("secret", re.compile(r"(?i:\b(?:password|passwd|secret|token|api[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<value>[A-Za-z0-9+/_.~-]{8,})"),
          lambda m: any(c.isdigit() for c in m["value"]), _secret),
     Kind("key", re.compile(r"\b(?:AKIA|ASIA)(?P<value>[A-Z0-9]{16})\b"), lambda m: True, _secret),
     Kind("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b"),
-         lambda m: _mod97((m[0][4:] + m[0][:4]).replace(" ", "")) == 1, lambda p, m: p.iban(m[0])),
+         lambda m: True, lambda p, m: p.iban(m[0]), find=_ibans),
     Kind("card", re.compile(r"(?<![\w.+-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![\w-])"),
          _card_ok, lambda p, m: p.card(m[0])),
     Kind("address", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[\w])"),
          lambda m: True, lambda p, m: p.address(m[0])),
-    Kind("date", re.compile(r"(?<![\w/.-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![\w/-])"),
+    Kind("date", re.compile(r"(?<![\w/.-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?!(?!T[0-9]{2})[\w/-])"),
          lambda m: _date_order(m[0]) is not None, lambda p, m: p.date(m[0], _date_order(m[0]))),
     Kind("social", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
          lambda m: _social(m[0].replace("-", "")), lambda p, m: p.number("social", m[0], _social)),
@@ -282,7 +328,7 @@ def pseudonymised(text: str | None, names: Pseudonyms) -> tuple[str | None, int]
     digits, found = ANY_DIGIT.search(text) is not None, []
     for order, kind in enumerate(KINDS):
         if (kind.hint in text) if kind.hint else digits:
-            found += [(m.start(), order, m.end(), kind, m) for m in kind.pattern.finditer(text) if kind.valid(m)]
+            found += [(m.start(), order, m.end(), kind, m) for m in kind.find(kind.pattern, text) if kind.valid(m)]
     if not found:
         return text, 0
     parts, at, n = [], 0, 0
