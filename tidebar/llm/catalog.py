@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import ann, bpe, chat, langid, mixing, pii, quality, simhash, topk, toxicity
+from tidebar.llm import ann, bpe, chat, divergence, langid, mixing, pii, quality, simhash, topk, toxicity
 from tidebar.llm.common import held_out, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -84,6 +84,10 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), k=5)
 
 
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def llm_queries() -> dict:
     return {
         "op1_byte_bpe": byte_bpe,
@@ -96,6 +100,7 @@ def llm_queries() -> dict:
         "op8_tool_calls": tool_calls,
         "op9_toxicity": toxicity_scores,
         "op10_vector_search": vector_search,
+        "op11_source_divergence": source_divergence,
     }
 
 
@@ -119,6 +124,45 @@ WITH rows AS (
 SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
 """
 
+DIVERGENCE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source
+  FROM documents
+), words AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), cells AS (
+  SELECT w.lang, w.source, w.term, count(*) AS n FROM words w JOIN kept k USING (lang, term) GROUP BY ALL
+), langs AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+), groups AS (
+  SELECT g.lang, g.source, coalesce(l.v, 0) AS v,
+         coalesce((SELECT sum(n) FROM cells c WHERE c.lang = g.lang AND c.source = g.source), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN langs l USING (lang)
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         CAST(1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.total + g.v) AS HUGEINT) AS p,
+         CAST(1 + 1000000000::HUGEINT * (k.n + 1) // (l.total + l.v) AS HUGEINT) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN cells c USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM found
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 
 def llm_sql() -> dict[str, str]:
-    return {"op4_code_search": CODE_SEARCH_SQL}
+    return {"op4_code_search": CODE_SEARCH_SQL, "op11_source_divergence": DIVERGENCE_SQL}
