@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import ann, bpe, chat, divergence, langid, mixing, pii, quality, simhash, topk, toxicity
+from tidebar.llm import alignment, ann, bpe, chat, divergence, langid, mixing, pii, quality, simhash, topk, toxicity
 from tidebar.llm.common import held_out, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
@@ -88,6 +89,15 @@ def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def tokenizer_alignment(spark: SparkSession, sf_dir: str, files: tuple[str, str] | None = None) -> DataFrame:
+    contents = []
+    for path in files or map(public_tokenizers.path, ALIGNED):
+        with open(path, "rb") as file:
+            contents.append(file.read())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, *contents, keep=["doc_id"])
+
+
 def llm_queries() -> dict:
     return {
         "op1_byte_bpe": byte_bpe,
@@ -101,6 +111,7 @@ def llm_queries() -> dict:
         "op9_toxicity": toxicity_scores,
         "op10_vector_search": vector_search,
         "op11_source_divergence": source_divergence,
+        "op13_tokenizer_alignment": tokenizer_alignment,
     }
 
 
