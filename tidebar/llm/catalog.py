@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import alignment, ann, bpe, chat, divergence, langid, mixing, pii, quality, simhash, topk, toxicity
+from tidebar.llm import alignment, ann, bpe, chat, divergence, langid, mixing, pagetext, pii, quality, simhash, topk, toxicity
 from tidebar.llm.common import held_out, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -89,6 +89,11 @@ def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pagetext.extract(pages, keep=["page_id", "url"])
+
+
 def tokenizer_alignment(spark: SparkSession, sf_dir: str, files: tuple[str, str] | None = None) -> DataFrame:
     contents = []
     for path in files or map(public_tokenizers.path, ALIGNED):
@@ -111,6 +116,7 @@ def llm_queries() -> dict:
         "op9_toxicity": toxicity_scores,
         "op10_vector_search": vector_search,
         "op11_source_divergence": source_divergence,
+        "op12_page_text": page_text,
         "op13_tokenizer_alignment": tokenizer_alignment,
     }
 
