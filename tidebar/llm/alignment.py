@@ -31,6 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +39,9 @@ from pyspark.sql import types as T
 from tidebar.llm.common import packed, unpacked, written
 
 #: Bytes of pieces and their ids, about, that a worker remembers before it starts anew.
-REMEMBERED = 40_000_000
+REMEMBERED = 24_000_000
+#: Characters of texts that are aligned at once; a longer text is one unit.
+AT_ONCE = 500_000
 #: Characters of new pieces that are encoded together.
 TOGETHER = 50_000
 _CUT = re.compile("(?<=[^\\s▁]) (?=[^\\s▁])")
@@ -272,9 +275,7 @@ def aligned(
         vocabularies = [pa.array(x, pa.large_binary()) for x in (both.a_bytes, both.b_bytes)]
         names = _names(len(both.a_bytes), len(both.b_bytes))
         pairs = possible_pairs(both.a_bytes, both.b_bytes)
-        for batch in source:
-            if not batch.num_rows:
-                continue
+        for batch in slices(source):
             found = Aligned(both, batch.column(1).to_pylist(), *vocabularies)
             one, two = found.links
             n_links = found.per_doc(one)
@@ -299,6 +300,17 @@ def aligned(
     return unpacked(packs.mapInArrow(run, schema), kept, **{c: F.col(c) for c in schema.names[1:]})
 
 
+def slices(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut by the characters of their texts, the second column."""
+    for batch in source:
+        upto = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + AT_ONCE, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def _overlap_lists(found: Aligned) -> pa.Array:
     one, two = found.overlaps
     order = np.lexsort((two, one))
