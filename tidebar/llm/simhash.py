@@ -23,19 +23,18 @@ columns are carried along and one with the name of an output column is replaced.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebar.llm.common import BROADCAST_IDS, packed, small, unpacked, written
+from tidebar.llm.common import packed, unpacked, written
 
 SEED = 42
 LEAF = 16_384
@@ -283,7 +282,7 @@ def block_links(a: np.ndarray, b: np.ndarray | None, budget: Budget) -> tuple[np
 
 # -- the join -------------------------------------------------------------------------------------
 
-def links(codes: DataFrame, budget: Budget, leaf: int = LEAF) -> DataFrame:
+def links(codes: DataFrame, budget: Budget, leaf: int = LEAF, linked: Callable = block_links) -> DataFrame:
     """``codes`` (t, code; distinct): links t, a, b within each trie t, see ``block_links``."""
     spark = codes.sparkSession
     tree = subtrees(codes, leaf)
@@ -336,7 +335,7 @@ def links(codes: DataFrame, budget: Budget, leaf: int = LEAF) -> DataFrame:
                     batch.column(c)[k].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in (2, 3)
                 )
                 inside = batch.column(0)[k].as_py() == batch.column(1)[k].as_py()
-                u, v = block_links(one, None if inside else two, budget)
+                u, v = linked(one, None if inside else two, budget)
                 t = pa.array(np.full(len(u), batch.column(4)[k].as_py(), np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [t, pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["t", "a", "b"]
@@ -400,262 +399,3 @@ def grouped(marked: DataFrame, doc_id: str, kept: list[str], budget: int, leaf:
         packs.join(named, "code", "left"), kept,
         fingerprint=F.col("code"), component_id=F.col("component"),
     )
-
-
-# -- near copies by the similarity of their shingles ------------------------------------------------
-
-#: Independent 64-bit fingerprints of ``sketch``.
-SKETCH = 4
-#: About so many texts are read for common shingles, and at most so many of these are shipped.
-COMMON_FROM, COMMON = 10_000, 100_000
-#: Rounds of pivots, made while more pairs than ``OPEN`` an entry are open.
-PIVOTS, OPEN = 8, 4
-#: Members of a bucket in one piece.
-NEAR_LEAF = 256
-#: Candidate pairs in one Arrow batch.
-PAIRS = 500_000
-
-
-def sketch(text: bytes | None, size: int) -> np.ndarray:
-    """``SKETCH`` fingerprints of the set of shingles, each from hashes mixed anew."""
-    hashes = np.unique(shingle_hashes(text, size))
-    out = np.zeros(SKETCH, np.uint64)
-    if not len(hashes):
-        return out
-    for k in range(SKETCH):
-        ones = np.zeros(64, np.int64)
-        for lo in range(0, len(hashes), 65536):
-            h = hashes[lo : lo + 65536]
-            if k:  # two multiplications by odd constants with shifts between: a new function of the hash
-                h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-                h = h ^ (h >> np.uint64(32))
-            bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones += bits.sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]
-    return out
-
-
-def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
-    """The first of the sorted distinct ``hashes``, common ones last, that a set as similar must share one of."""
-    n = len(hashes)
-    if len(common) and n:
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        hashes = hashes[np.argsort(np.where(common[at] == hashes, rank[at], 0), kind="stable")]
-    return hashes[: n - math.ceil(similarity * n - 1e-9) + 1] if n else hashes
-
-
-def without_near_copies(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8,
-    leaf: int = NEAR_LEAF,
-) -> DataFrame:
-    """The rows that stay: of each group the one with the smallest id.
-
-    Texts with equal shingle sets are one class. Classes are linked where their sets have the given Jaccard
-    similarity; groups are what links connect, and no link is missed (but for collisions of 64-bit hashes):
-    sets ordered in one way share a shingle of their prefixes where they are similar enough, so each
-    class is put into a bucket for each shingle of its prefix. A pair of a bucket is compared unless its places
-    in the order bound the similarity below the given one, or its ends are connected already. Large
-    buckets are first compared with one pivot a round, which connects a group of copies in proportion
-    to its size; then all pairs that are still open are compared. Common shingles, as counted
-    in a sample of texts, come last in the order, so they make buckets of near copies alone; the sample has
-    no influence on the result. Texts without words are one class.
-    """
-    packs = docs.select(
-        packed(docs), F.col(text).cast("binary").alias("t"), F.col(doc_id).alias("id"),
-        F.monotonically_increasing_id().alias("rid"),
-    )
-
-    def digested(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            found = np.frombuffer(
-                b"".join(
-                    xxhash.xxh128_digest(np.unique(shingle_hashes(t, size)).tobytes()) for t in batch.column(1).to_pylist()
-                ),
-                np.int64,
-            ).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), *[pa.array(found[:, k].copy()) for k in (0, 1)]],
-                ["row", "id", "rid", "d0", "d1"],
-            )
-
-    schema = T.StructType(
-        [packs.schema["row"], packs.schema["id"]] + [T.StructField(n, T.LongType()) for n in ("rid", "d0", "d1")]
-    )
-    rows = written(packs.mapInArrow(digested, schema), "digested")
-    classes = written(
-        rows.groupBy("d0", "d1").agg(
-            F.min("rid").alias("class"), F.min("id").alias("best"),
-            F.coalesce(F.min_by("rid", "id"), F.min("rid")).alias("stays"),
-        ),
-        "classes",
-    )
-    texts = rows.select("rid", F.col(f"row.{text}").cast("binary").alias("t"))
-    # of the rows of a class one is read on; the others are few or are many short longs
-    extra = written(rows.select("rid").join(classes.select(F.col("class").alias("rid")), "rid", "left_anti"), "extra")
-    single = texts.join(small(extra, BROADCAST_IDS), "rid", "left_anti")
-    entries = _entries(single, classes.count(), size, similarity)
-    found = _connected(entries, texts, size, similarity, leaf)
-    groups_ = classes.join(found, F.col("class") == F.col("node"), "left").select(
-        F.coalesce("root", "class").alias("root"), "best", "stays"
-    )
-    staying = groups_.groupBy("root").agg(F.coalesce(F.min_by("stays", "best"), F.min("stays")).alias("rid"))
-    # the rows that go are few: as single longs they can meet the texts where these lie
-    going = written(rows.select("rid").join(staying.select("rid"), "rid", "left_anti"), "going")
-    return unpacked(rows.join(small(going, BROADCAST_IDS), "rid", "left_anti"), docs.columns)
-
-
-def _entries(texts: DataFrame, n_texts: int, size: int, similarity: float) -> DataFrame:
-    """(token, rid, pos, n) of each shingle of a prefix that others share, with its place and the size of the set."""
-
-    def tokens(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            for t in batch.column(1).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, size)).view(np.int64))], ["token"])
-
-    every = max(1, n_texts // COMMON_FROM)
-    counted = (
-        texts.filter(F.pmod(F.xxhash64("rid"), F.lit(every)) == 0).mapInArrow(tokens, "token long")
-        .groupBy("token").agg(F.count("*").alias("k")).filter("k > 2")
-        .orderBy(F.desc("k"), "token").limit(COMMON).toArrow()
-    )
-    common = counted.column("token").to_numpy().view(np.uint64)
-    rank = np.arange(len(common), 0, -1)  # the most common last
-    order = np.argsort(common)
-    shipped = texts.sparkSession.sparkContext.broadcast((common[order], rank[order]))
-
-    def indexed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            kept, sizes = [], []
-            for t in batch.column(1).to_pylist():
-                hashes = np.unique(shingle_hashes(t, size))
-                kept.append(prefix(hashes, *shipped.value, similarity))
-                sizes.append(len(hashes))
-            lengths = [len(x) for x in kept]
-            pos = [np.arange(x, dtype=np.int32) for x in lengths]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.empty(0, np.uint64), *kept]).view(np.int64)),
-                 pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lengths)),
-                 pa.array(np.concatenate([np.empty(0, np.int32), *pos])),
-                 pa.array(np.repeat(np.array(sizes, np.int32), lengths))],
-                ["token", "rid", "pos", "n"],
-            )
-
-    every_one = written(texts.mapInArrow(indexed, "token long, rid long, pos int, n int"), "prefixes")
-    shared = every_one.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
-    return written(every_one.join(written(shared, "shared"), "token"), "entries")
-
-
-def _possible(pos_a, n_a, pos_b, n_b, similarity: float, least, ceil):
-    """Whether sets that share a shingle at these places, and none before, may be similar enough."""
-    shared = ceil((n_a + n_b) * (similarity / (1 + similarity)) - 1e-6)
-    return least(n_a - pos_a, n_b - pos_b) >= shared
-
-
-def _connected(entries: DataFrame, texts: DataFrame, size: int, similarity: float, leaf: int) -> DataFrame:
-    """(node, root) of the classes that similar pairs connect, see ``components``."""
-    total = entries.count()
-    links_ = tested = found = None
-    idle = False
-    for k in range(PIVOTS + 1):
-        if found is None:
-            state = entries.withColumn("root", F.col("rid"))
-        else:
-            state = entries.join(found, entries.rid == found.node, "left").select(
-                *[entries[c] for c in entries.columns], F.coalesce("root", "rid").alias("root")
-            )
-            mixed = written(
-                state.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token"),
-                "mixed",
-            )
-            state = written(state.join(mixed, "token"), "state")
-        cells = state.groupBy("token", "root").agg(F.count("*").cast("double").alias("c"))
-        per = cells.groupBy("token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
-        pairs = per.agg(F.sum("pairs")).first()[0] or 0
-        last = idle or k == PIVOTS or pairs <= OPEN * total
-        if not pairs:
-            break
-        new = (_all_pairs(state, similarity, leaf) if last else _pivot_pairs(state, k, similarity)).distinct()
-        if tested is not None:
-            new = new.join(tested, ["a", "b"], "left_anti")
-        new = written(new, "candidates")
-        similar = written(_similar(new, texts, size, similarity), "similar")
-        tested = new if tested is None else tested.unionByName(new)
-        idle = not similar.limit(1).count()
-        links_ = similar if links_ is None else links_.unionByName(similar)
-        found = written(components(links_), "connected")
-        if last:
-            break
-    return found if found is not None else entries.select(F.col("rid").alias("node"), F.col("rid").alias("root")).limit(0)
-
-
-def _pivot_pairs(state: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs of one member of each bucket, another one each round, with those it is not connected to."""
-    pivots = state.groupBy("token").agg(
-        F.min(F.struct(F.xxhash64("rid", F.lit(k)).alias("h"), "rid", "pos", "n", "root")).alias("p")
-    )
-    near_ = _possible(F.col("pos"), F.col("n"), F.col("p.pos"), F.col("p.n"), similarity, F.least, F.ceil)
-    return state.join(pivots, "token").filter((F.col("root") != F.col("p.root")) & near_).select(
-        F.least("rid", "p.rid").alias("a"), F.greatest("rid", "p.rid").alias("b")
-    )
-
-
-def _all_pairs(state: DataFrame, similarity: float, leaf: int) -> DataFrame:
-    """All pairs of each bucket that are not connected; a large bucket is cut and its pieces meet in pairs."""
-    pieces = F.ceil(F.col("m") / leaf).cast("int")
-    cut = state.select("token", "rid", "pos", "n", "root", pieces.alias("pieces")).withColumn(
-        "c", F.pmod(F.xxhash64("rid"), F.col("pieces")).cast("int")
-    )
-    units = (
-        cut.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        .groupBy("token", F.least("c", "d").alias("x"), F.greatest("c", "d").alias("y"))
-        .agg(*[F.collect_list(c).alias(c) for c in ("rid", "pos", "n", "root", "c")])
-    )
-
-    def met(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            inside = pc.equal(batch.column(1), batch.column(2)).to_pylist()
-            made: list[tuple[np.ndarray, np.ndarray]] = []
-            for k in range(batch.num_rows):
-                rid, pos, n, root, c = (batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i in range(3, 8))
-                if inside[k]:
-                    i, j = np.triu_indices(len(rid), 1)
-                else:  # one piece may be empty
-                    i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(c == c.min()), np.flatnonzero(c > c.min())))
-                ok = (root[i] != root[j]) & _possible(pos[i], n[i], pos[j], n[j], similarity, np.minimum, np.ceil)
-                i, j = i[ok], j[ok]
-                made.append((np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j])))
-                if k == batch.num_rows - 1 or sum(len(x) for x, _ in made) > PAIRS:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made)], ["a", "b"])
-                    made = []
-
-    return units.mapInArrow(met, "a long, b long")
-
-
-def _similar(candidates: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The candidate pairs a, b whose shingle sets are similar enough; ``texts``: (rid, t)."""
-    ends = written(candidates.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "ends")
-
-    def shingled(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            sets = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rid", "set"])
-
-    sets = written(texts.join(small(ends, BROADCAST_IDS), "rid", "left_semi").mapInArrow(shingled, "rid long, set array<long>"), "sets")
-    both = (
-        candidates.join(sets.select(F.col("rid").alias("a"), F.col("set").alias("one")), "a")
-        .join(sets.select(F.col("rid").alias("b"), F.col("set").alias("two")), "b")
-        .select("a", "b", "one", "two")
-    )
-
-    def compared(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            kept = []
-            for k in range(batch.num_rows):
-                x, y = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (2, 3))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(shared >= similarity * (len(x) + len(y) - shared))
-            mask = pa.array(kept, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
-
-    return both.mapInArrow(compared, "a long, b long")
