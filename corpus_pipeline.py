@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe, mixing, pii, simhash, toxicity
+from tidebar.llm import bpe, mixing, nearcopies, pii, toxicity
 from tidebar.llm.catalog import VOCABULARY
 from tidebar.llm.common import new_folder, packed, recorded, remove, table, tuned, unpacked
 
@@ -49,8 +49,11 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
-    return simhash.without_near_copies(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more).
+
+    Documents without words, null texts among them, are one group.
+    """
+    return nearcopies.without_near_copies(docs)
 
 
 @_stage
@@ -62,7 +65,10 @@ def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, in whole documents (a part counts from one half on)."""
+    """Each document as often as the mix takes it, in whole documents (a part counts from one half on).
+
+    A document without words has no part in a mix and does not come back.
+    """
     taken = mixing.mix(docs.select(packed(docs, "document"), "doc_id", "text", "source"), keep=["document"])[0]
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     copies = taken.filter("size > 0").withColumn("times", times).filter("times > 0")
