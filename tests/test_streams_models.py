@@ -130,9 +130,7 @@ def test_ensemble_save_load_and_registry(spark, frame, tmp_path):
 def test_walk_forward_and_validation(frame):
     cfg = tr.EnsembleConfig(boost_rounds=1, boost_depth=2, forest_trees=3, forest_depth=3,
                             calibration="sigmoid")
-    folds, summary = tr.walk_forward(
-        frame, lambda t: tr.fit_ensemble(t, FEATURES, cfg), lambda m, t: m.score(t),
-        n_splits=2, gap=8, min_train=100)
+    folds, summary = tr.walk_forward_ensemble(frame, FEATURES, cfg, n_splits=2, gap=8, min_train=100)
     rows = folds.collect()
     assert len(rows) == 4 and all(0 <= r["accuracy"] <= 1 for r in rows)
     assert summary.count() == 2

@@ -41,9 +41,7 @@ def model_queries() -> dict[str, Query]:
     q["model_holdout_scores"] = scored
 
     def forward(s: SparkSession, d: str) -> DataFrame:
-        folds, _ = tr.walk_forward(
-            frame(s, d), lambda t: tr.fit_ensemble(t, ft.FEATURES, CONFIG),
-            lambda m, t: m.score(t))
+        folds, _ = tr.walk_forward_ensemble(frame(s, d), ft.FEATURES, CONFIG)
         return folds.selectExpr(
             "symbol", "fold", "n", *rounded("accuracy f1_macro sharpe win_rate", 4))
 

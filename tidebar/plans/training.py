@@ -6,10 +6,10 @@ import json
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
     LogisticRegression,
     RandomForestClassificationModel,
     RandomForestClassifier,
@@ -29,6 +29,7 @@ from tidebar.operators import ledger as lg
 from tidebar.operators import outcomes as oc
 from tidebar.operators.indicators import with_indicators
 from tidebar.operators.timeline import KEYS, LAYOUT, core_rows, positioned
+from tidebar.plans.boosting import BoostConfig, BoostedTrees, boost
 from tidebar.session import cut_lineage
 
 CLASSES = (0, 1, 2)
@@ -94,15 +95,7 @@ class Ensemble:
     def _member(self, df: DataFrame, name: str, model, out: str) -> DataFrame:
         made = ("rawPrediction", "probability", "prediction")
         if name == "boosted":
-            # one model per class against the rest; their probabilities are normalised
-            for k, one in enumerate(model):
-                if one is None:
-                    df = df.withColumn(f"_b{k}", F.lit(0.0))
-                else:
-                    df = one.transform(df).withColumn(
-                        f"_b{k}", vector_to_array("probability")[1]).drop(*made)
-            p = F.array(*[f"_b{k}" for k in CLASSES])
-            return df.withColumn(out, normalised(p)).drop(*[f"_b{k}" for k in CLASSES])
+            return df.withColumn(out, model.probabilities())
         df = model.transform(df).withColumn(out, normalised(pad_classes(vector_to_array("probability"))))
         return df.drop(*made)
 
@@ -165,42 +158,51 @@ def normalised(p: Column) -> Column:
     return F.transform(p, lambda x: F.when(s > 0, x / s).otherwise(1.0 / len(CLASSES)))
 
 
-def fit_ensemble(train: DataFrame, features: list[str], cfg: EnsembleConfig | None = None,
-                 by=("symbol",), order: str = "row_ix") -> Ensemble:
-    """Scale on the training rows only, fit both members with balanced class weights, and
-    calibrate each on the chronological tail of the training rows."""
-    cfg = cfg or EnsembleConfig()
+def marked_rows(train: DataFrame, cfg: EnsembleConfig, by=("symbol",), order: str = "row_ix") -> DataFrame:
+    """Training rows with balanced class weights and ``_tail``, the chronological end of each key."""
     lo = train.groupBy(*by).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
     rows = train.join(lo, list(by))
     tail = F.col(order) > F.col("_hi") - F.floor((F.col("_hi") - F.col("_lo") + 1) * cfg.holdout)
-    rows = lb.with_weights(rows.withColumn("_tail", tail), by=by)
-    vec = VectorAssembler(inputCols=features, outputCol="_raw").transform(rows).select(
-        "_raw", "_tail", "weight", F.col("label").cast("double").alias("label"))
-    head = vec.filter("NOT _tail")
-    scaler = RobustScaler(inputCol="_raw", outputCol="_scaled", withCentering=True,
-                          withScaling=True).fit(head)
-    scaled = scaler.transform(vec).select("_scaled", "_tail", "label", "weight").persist()
-    held = vec.filter("_tail")
+    return lb.with_weights(rows.withColumn("_tail", tail), by=by).drop("_lo", "_hi")
+
+
+def boosted_members(marked: DataFrame, features: list[str], cfg: EnsembleConfig, model: str,
+                    by=("symbol",), order: str = "row_ix", cut_rows: DataFrame | None = None) -> dict[int, BoostedTrees]:
+    """The boosting member of every model at once, see ``boost``."""
+    rows = marked.withColumn("id", F.xxhash64(*by, order))
+    settings = BoostConfig(rounds=cfg.boost_rounds, rate=cfg.boost_rate, depth=cfg.boost_depth,
+                           tolerance=cfg.boost_tolerance, seed=cfg.seed)
+    return boost(rows, features, settings, model, cut_rows)
+
+
+def fit_ensemble(train: DataFrame, features: list[str], cfg: EnsembleConfig | None = None,
+                 by=("symbol",), order: str = "row_ix", boosted: BoostedTrees | None = None) -> Ensemble:
+    """Scale on the training rows only, fit both members with balanced class weights, and
+    calibrate each on the chronological tail of the training rows.
+
+    ``boosted``: the boosting member, where it was trained together with those of other models.
+    """
+    cfg = cfg or EnsembleConfig()
+    rows = marked_rows(train, cfg, by, order).persist()
     try:
-        common = dict(featuresCol="_scaled", weightCol="weight", minInstancesPerNode=5)
-        counts = {r["label"]: r["count"] for r in scaled.filter("NOT _tail").groupBy("label").count().collect()}
-        boosted: list[GBTClassificationModel | None] = []
-        for k in CLASSES:
-            own = scaled.withColumn("_own", (F.col("label") == k).cast("double"))
-            gbt = GBTClassifier(
-                labelCol="_own", maxIter=cfg.boost_rounds, maxDepth=cfg.boost_depth,
-                stepSize=cfg.boost_rate, subsamplingRate=0.8, seed=cfg.seed,
-                validationIndicatorCol="_tail", validationTol=cfg.boost_tolerance, **common)
-            boosted.append(gbt.fit(own) if 0 < counts.get(k, 0) < sum(counts.values()) else None)
+        if boosted is None:
+            one = rows.withColumn("_model", F.lit(0))
+            boosted = boosted_members(one, features, cfg, "_model", by, order).get(0)
+        vec = VectorAssembler(inputCols=features, outputCol="_raw").transform(rows).select(
+            "_raw", *features, "_tail", "weight", F.col("label").cast("double").alias("label"))
+        head = vec.filter("NOT _tail")
+        scaler = RobustScaler(inputCol="_raw", outputCol="_scaled", withCentering=True,
+                              withScaling=True).fit(head)
         forest = RandomForestClassifier(
-            labelCol="label", numTrees=cfg.forest_trees, maxDepth=cfg.forest_depth,
-            seed=cfg.seed, **common).fit(scaled.filter("NOT _tail"))
+            featuresCol="_scaled", labelCol="label", weightCol="weight", minInstancesPerNode=5,
+            numTrees=cfg.forest_trees, maxDepth=cfg.forest_depth, seed=cfg.seed,
+        ).fit(scaler.transform(head).select("_scaled", "label", "weight"))
+        model = Ensemble(features, scaler, [("boosted", boosted, cfg.weights[0]),
+                                            ("forest", forest, cfg.weights[1])], {})
+        if cfg.calibration != "none":
+            model.calibrators = _calibrate(model, vec.filter("_tail"), cfg.calibration)
     finally:
-        scaled.unpersist()
-    model = Ensemble(features, scaler, [("boosted", boosted, cfg.weights[0]),
-                                        ("forest", forest, cfg.weights[1])], {})
-    if cfg.calibration != "none":
-        model.calibrators = _calibrate(model, held, cfg.calibration)
+        rows.unpersist()
     return model
 
 
@@ -240,7 +242,7 @@ def money_report(pred: DataFrame, keys=("symbol", "fold")) -> DataFrame:
 
 def walk_forward(
     frame: DataFrame,
-    fit: Callable[[DataFrame], object],
+    fit: Callable[[DataFrame, object], object],
     score: Callable[[object, DataFrame], DataFrame],
     n_splits: int = 5,
     gap: int = 12,
@@ -248,26 +250,32 @@ def walk_forward(
     min_train: int = 200,
     rolling: int | None = None,
     by=("symbol",),
+    together: Callable[[DataFrame], dict] | None = None,
+    threads: int = 5,
 ) -> tuple[DataFrame, DataFrame]:
     """Train and test on each fold in time order; returns (fold metrics, summary).
 
-    ``fit(train)`` and ``score(model, test)`` are the caller's hooks.  Only the loop over the
-    (at most ten) folds runs on the driver; every fit and transform is a Spark job, and the
-    predictions of all folds are united and written once before the reports read them.
+    ``together(train rows of all folds)`` gives what the models of all folds are trained for in common jobs,
+    by fold; ``fit(train, that of its fold)`` and ``score(model, test)`` are the caller's hooks. The rows of
+    the folds are written once, the folds (ten at most) are fitted at the same time, and the predictions of
+    all folds are united and written once before the reports read them.
     """
-    rows = ev.assign_folds(frame, by, n_splits, gap, test_size, min_train, rolling, "row_ix")
+    rows = cut_lineage(
+        ev.assign_folds(frame, by, n_splits, gap, test_size, min_train, rolling, "row_ix"), "folds")
     keep = [*by, "fold", "row_ix", "close", "y_true", "y_pred", "confidence"]
-    pred: DataFrame | None = None
     present = sorted(r[0] for r in rows.select("fold").distinct().collect())
     if not present:
         raise ValueError("not enough rows for a single fold")
-    for fold in present:
+    common = together(rows.filter("role = 'train'")) if together else {}
+
+    def run(fold: int) -> DataFrame:
         part = rows.filter(F.col("fold") == fold)
-        model = fit(part.filter("role = 'train'"))
-        scored = score(model, part.filter("role = 'test'")).withColumnRenamed(
-            "label", "y_true").select(*keep)
-        pred = scored if pred is None else pred.unionByName(scored)
-    pred = cut_lineage(pred, "predictions")
+        model = fit(part.filter("role = 'train'"), common.get(fold))
+        return score(model, part.filter("role = 'test'")).withColumnRenamed("label", "y_true").select(*keep)
+
+    with ThreadPool(threads) as pool:
+        scored = pool.map(run, present)
+    pred = cut_lineage(reduce(DataFrame.unionByName, scored), "predictions")
     keys = [*by, "fold"]
     empty = {c: 0.0 for c in ("sharpe", "profit_factor", "win_rate", "total_return",
                               "max_drawdown")}
@@ -276,6 +284,24 @@ def walk_forward(
     return folds, ev.fold_summary(folds, by)
 
 
+def walk_forward_ensemble(frame: DataFrame, features: list[str], cfg: EnsembleConfig | None = None,
+                          by=("symbol",), **folds) -> tuple[DataFrame, DataFrame]:
+    """The ensemble over folds: boosting for all folds in common jobs, forests and calibration fold by fold.
+
+    Cut points come from the training rows of the first fold, which are past rows in every later one.
+    """
+    cfg = cfg or EnsembleConfig()
+
+    def together(train: DataFrame) -> dict[int, BoostedTrees]:
+        marked = cut_lineage(marked_rows(train, cfg, [*by, "fold"]), "marked")
+        first = marked.agg(F.min("fold")).first()[0]
+        return boosted_members(marked, features, cfg, "fold", by, cut_rows=marked.filter(F.col("fold") == first))
+
+    return walk_forward(
+        frame, lambda train, boosted: fit_ensemble(train, features, cfg, by, boosted=boosted),
+        lambda model, test: model.score(test), by=by, together=together, **folds)
+
+
 def train_symbol(frame: DataFrame, symbol: str, features: list[str],
                  cfg: EnsembleConfig | None = None, min_rows: int = 800, **folds) -> dict:
     """End-to-end training of one symbol: guards, walk-forward verdict, final fit."""
@@ -285,8 +311,7 @@ def train_symbol(frame: DataFrame, symbol: str, features: list[str],
         return {"symbol": symbol, "status": "too few rows"}
     if dist["hold_pct"] < 20:
         return {"symbol": symbol, "status": "too few hold labels"}
-    _, summary = walk_forward(
-        rows, lambda t: fit_ensemble(t, features, cfg), lambda m, t: m.score(t), **folds)
+    _, summary = walk_forward_ensemble(rows, features, cfg, **folds)
     line = summary.first().asDict()
     model = fit_ensemble(rows, features, cfg)
     return {"symbol": symbol, "status": "trained", "model": model, "rows": dist["n_total"],
@@ -309,10 +334,8 @@ def save_model(model: Ensemble, path: str) -> None:
     meta: dict = {"features": model.features, "members": [], "calibrators": {}}
     for name, member, weight in model.members:
         if name == "boosted":
-            for k, one in enumerate(member):
-                if one is not None:
-                    one.write().overwrite().save(f"{path}/{name}-{k}")
-            meta["boosted"] = [one is not None for one in member]
+            spark.createDataFrame([(member.to_json(),)], "model string").coalesce(1).write.mode(
+                "overwrite").text(f"{path}/{name}")
         else:
             member.write().overwrite().save(f"{path}/{name}")
         meta["members"].append([name, weight])
@@ -332,8 +355,7 @@ def save_model(model: Ensemble, path: str) -> None:
 def load_model(spark: SparkSession, path: str) -> Ensemble:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     members = [
-        (n, [GBTClassificationModel.load(f"{path}/{n}-{k}") if there else None
-             for k, there in enumerate(meta["boosted"])]
+        (n, BoostedTrees.from_json(spark.read.text(f"{path}/{n}", wholetext=True).first()[0])
          if n == "boosted" else RandomForestClassificationModel.load(f"{path}/{n}"), w)
         for n, w in meta["members"]
     ]
