@@ -237,5 +237,5 @@ def hybrid_signals(s: SparkSession, d: str, with_regime: bool = False) -> DataFr
     df = rg.confirmed_regime(rg.raw_regime_columns(df)) if with_regime else core_rows(df)
     keep = ["symbol", "timeframe", "ts", "pos", "open", "high", "low", "close", "volume", "atr",
             "adx", "tech_signal", "tech_long", "tech_short",
-            *(["regime"] if with_regime else [])]
+            *(["raw_regime", "regime"] if with_regime else [])]
     return sg.smooth(sg.hybrid(df.selectExpr(*keep, *STAND_IN_MODEL)))

@@ -29,6 +29,8 @@ from tidebar.sources import journal as jr
 
 Query = Callable[[SparkSession, str], DataFrame]
 OHLC = ["open", "high", "low", "close", "volume"]
+#: Words that occur in the given texts: those of a warning, then those of caution.
+HEADLINE_WORDS = (["ond", "zz"], ["ation", "the"])
 
 
 def scored_bars(s: SparkSession, d: str, regime: bool = False) -> DataFrame:
@@ -413,7 +415,7 @@ def trade_queries() -> dict[str, Query]:
 
     q["records_trade_close"] = closes
 
-    words = (["ond", "zz"], ["ation", "the"])
+    words = HEADLINE_WORDS
 
     def headlines(s: SparkSession, d: str) -> DataFrame:
         docs = src.table(s, d, "documents")

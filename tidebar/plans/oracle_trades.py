@@ -6,6 +6,7 @@ from __future__ import annotations
 from tidebar.functions.params import AVOID_WORDS, CAUTION_WORDS
 from tidebar.plans.oracle_series import (
     DIST,
+    HYBRID,
     KEY,
     REGIME,
     REGIME_FLAGS,
@@ -333,7 +334,28 @@ def stream_sql() -> dict[str, str]:
     """Append-mode streams emit a window once the watermark (newest stamp minus delay) passes."""
     closed = f"""{bars()}, wm AS (SELECT max(ts) - INTERVAL 2 hour AS w FROM events WHERE value > 0),
 cb AS MATERIALIZED (SELECT bars.*, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS pos FROM bars, wm WHERE ts + INTERVAL 1 hour <= w)"""
+    at = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
     return {
+        "stream_trade_clock": f"""WITH {JOURNAL}, {STREAK}, wm AS (SELECT max(ts)::TIMESTAMP - INTERVAL 1 day AS w FROM j),
+t1 AS (SELECT sb.*, CASE WHEN pnl < 0 THEN exit_bar END AS lb FROM sb),
+t2 AS (SELECT *, max(lb) OVER (PARTITION BY symbol ORDER BY ts, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pl FROM t1),
+t3 AS (SELECT *, sum(CASE WHEN exit_bar - pl >= 6 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts, trade_id) AS episode FROM t2),
+t4 AS (SELECT *, sum(-pnl) OVER (PARTITION BY symbol, episode ORDER BY ts, trade_id) AS s FROM t3),
+t5 AS MATERIALIZED (SELECT *, s - least(0, min(s) OVER (PARTITION BY symbol, episode ORDER BY ts, trade_id)) AS to_recover,
+  max(CASE WHEN streak <= -3 THEN exit_bar END) OVER (PARTITION BY symbol, side ORDER BY ts, trade_id) AS block_day FROM t4),
+unblocked AS (SELECT symbol, side, ts + INTERVAL 8 day AS ts FROM (SELECT *, lead(ts) OVER (PARTITION BY symbol, side ORDER BY ts, trade_id) AS nx FROM t5 WHERE streak <= -3) WHERE nx IS NULL OR nx >= ts + INTERVAL 8 day),
+lost AS (SELECT symbol, ts + INTERVAL 6 day AS ts FROM (SELECT *, lead(ts) OVER (PARTITION BY symbol ORDER BY ts, trade_id) AS nx FROM t5 WHERE pnl < 0) WHERE nx IS NULL OR nx >= ts + INTERVAL 6 day),
+owed AS (SELECT lost.symbol, lost.ts, arg_max(t5.to_recover, (t5.ts, t5.trade_id)) AS to_recover FROM lost JOIN t5 ON t5.symbol = lost.symbol AND t5.ts < lost.ts GROUP BY 1, 2),
+every_row AS (SELECT symbol, 'CLOSE' AS kind, side, ts::TIMESTAMP AS ts, trade_id, coalesce(exit_bar < block_day + 8, false) AS blocked, to_recover FROM t5
+  UNION ALL SELECT symbol, 'UNBLOCKED', side, ts, -1, false, NULL FROM unblocked
+  UNION ALL SELECT symbol, 'WRITTEN_OFF', '', ts, -1, false, to_recover FROM owed WHERE to_recover > 0)
+SELECT symbol, kind, side, {at}, CAST(trade_id AS BIGINT) AS trade_id, blocked, round(to_recover, 2) + 0.0 AS to_recover FROM every_row, wm WHERE ts < w""",
+        "stream_bar_sentiment": f"""WITH {bars()}, {news('source')}, nr AS (SELECT ['click', 'error', 'purchase', 'signup', 'view'][doc_id % 5 + 1] AS symbol, TIMESTAMP '2024-01-01' + INTERVAL 1500 second * doc_id AS nts, news_state FROM hl),
+wm AS (SELECT least((SELECT max(ts) FROM bars), (SELECT max(nts) FROM nr)) - INTERVAL 1 hour AS w)
+SELECT b.symbol, strftime(b.ts, '%Y-%m-%d %H:%M:%S') AS ts, nr.news_state, strftime(nr.nts, '%Y-%m-%d %H:%M:%S') AS read_at, round(close, 5) + 0.0 AS close
+FROM bars b CROSS JOIN wm ASOF LEFT JOIN nr ON b.symbol = nr.symbol AND b.ts >= nr.nts WHERE b.ts < w""",
+        "stream_signals_resumed": f"""WITH {bars()}, {ind()}, {REGIME}, {VOTES.replace('SRC', 'reg')}, {HYBRID}, wm AS (SELECT max(ts) - INTERVAL 2 hour AS w FROM hyb WHERE ts >= TIMESTAMP '2024-01-15')
+SELECT symbol, {at}, regime, round(ema_long, 4) + 0.0 AS ema_long, round(ema_short, 4) + 0.0 AS ema_short FROM hyb, wm WHERE ts >= TIMESTAMP '2024-01-15' AND ts < w""",
         "stream_closed_bars": f"WITH {closed} SELECT {KEY}, open, high, low, close, volume FROM cb",
         "stream_deduped_candles": "SELECT event_type AS symbol, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT DISTINCT event_type, ts, value FROM events) GROUP BY 1",
         "stream_averages": f"WITH {closed}, a AS (SELECT *, {ema('close', span(9))} AS ema_9, {ema('close', span(21))} AS ema_21, {ema('close', span(50))} AS ema_50 FROM cb) SELECT {KEY}, {r('ema_9 ema_21 ema_50')} FROM a",

@@ -42,6 +42,13 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, bytes_per_trigger:
     )
 
 
+def stored_stream(df: DataFrame, name: str) -> DataFrame:
+    """A frame written to the shared folder once and read as a stream of its files."""
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
 def stream_bars(ticks: DataFrame, symbol: Column | str, price: Column | str, ts: Column | str,
                 tie: Column | str, timeframe: str, delay: str = "2 hours") -> DataFrame:
     """Closed bars only: a bar is emitted once the watermark has passed its end.
