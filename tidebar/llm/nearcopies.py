@@ -12,7 +12,7 @@ collisions of 64-bit hashes:
    ordered by how often they occur in all texts (rarest first, counted in a table of fixed size), so that a
    bucket of one prefix shingle seldom holds other texts than near copies. One exchange brings the buckets
    together; a bucket of one class, or of classes that are connected already, is left.
-4. What is still apart is compared as sets. Buckets with the same smallest member are one unit of work, so a
+4. What is still apart, and may be similar by the places of the shared shingle, is compared as sets. Buckets with the same smallest member are one unit of work, so a
    set travels to few units; a large unit is cut into pieces that meet in pairs. In a unit a pair is skipped
    where its places bound the similarity below 0.8 or its ends have been connected meanwhile, so a group of
    n copies costs about n comparisons.
@@ -267,6 +267,42 @@ def possible(pos_a, n_a, pos_b, n_b, similarity: float) -> np.ndarray:
     return np.minimum(n_a - pos_a, n_b - pos_b) >= shared
 
 
+def _bucket_pairs(entries: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rid, i, j) for each bucket of a unit: its members, and the pairs of them that may be similar.
+
+    Only pairs with two labels; of two pieces, only pairs between them.
+    """
+    token, rid, pos, n, label, c = (entries.column(x).to_numpy() for x in ("token", "rid", "pos", "n", "label", "c"))
+    within = entries.num_rows and entries.column("x")[0] == entries.column("y")[0]
+    by = np.argsort(token, kind="stable")
+    rid, pos, n, label, c = rid[by], pos[by].astype(np.int64), n[by].astype(np.int64), label[by], c[by]
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(token[by]) != 0])) if len(by) else np.empty(0, np.int64)
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(by)]):
+        if (label[lo:hi] == label[lo]).all():
+            continue
+        if within:
+            i, j = np.triu_indices(hi - lo, 1)
+        else:
+            first = c[lo:hi] == c[lo:hi].min()
+            i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(first), np.flatnonzero(~first)))
+        x, y = i + lo, j + lo
+        ok = (label[x] != label[y]) & possible(pos[x], n[x], pos[y], n[y], similarity)
+        if ok.any():
+            yield rid[lo:hi], i[ok], j[ok]
+
+
+def _unit_members(similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """The members of a unit that have a pair to compare, once each."""
+
+    def run(entries: pa.Table) -> pa.Table:
+        found = [rid[np.unique(np.concatenate([i, j]))] for rid, i, j in _bucket_pairs(entries, similarity)]
+        rids = np.unique(np.concatenate([np.empty(0, np.int64), *found]))
+        return pa.table({k: pa.array([entries.column(k)[0].as_py()] * len(rids), entries.schema.field(k).type) for k in ("unit", "x", "y")}
+                        | {"rid": pa.array(rids, pa.int64())})
+
+    return run
+
+
 def _unit_links(similarity: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(entries: pa.Table, members: pa.Table) -> pa.Table:
         rid = members.column("rid").to_numpy()
@@ -274,29 +310,18 @@ def _unit_links(similarity: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
         rid = rid[order]
         lists = members.column("set").combine_chunks()
         sets = [lists[int(k)].values.to_numpy(zero_copy_only=False) for k in order]
-        token, at, pos, n, label, c = (entries.column(x).to_numpy() for x in ("token", "rid", "pos", "n", "label", "c"))
-        within = entries.num_rows and entries.column("x")[0] == entries.column("y")[0]
-        by = np.argsort(token, kind="stable")
-        at, pos, n, label, c = (v[by] for v in (np.searchsorted(rid, at), pos.astype(np.int64), n.astype(np.int64), label, c))
+        at, label = entries.column("rid").to_numpy(), entries.column("label").to_numpy()
+        known = np.isin(at, rid)
         labels = np.zeros(len(rid), np.int64)
-        labels[at] = label
+        labels[np.searchsorted(rid, at[known])] = label[known]
         unit = Unit(sets, labels, similarity)
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(token[by]) != 0])) if len(by) else np.empty(0, np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         room = PAIRS
-        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(by)]):
-            root = unit.roots(at[lo:hi])
-            if (root == root[0]).all():
-                continue
-            if within:
-                i, j = np.triu_indices(hi - lo, 1)
-            else:
-                first = c[lo:hi] == c[lo:hi].min()
-                i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(first), np.flatnonzero(~first)))
-            i, j, root_i, root_j = i + lo, j + lo, root[i], root[j]
-            ok = (root_i != root_j) & possible(pos[i], n[i], pos[j], n[j], similarity)
-            held.append((at[i[ok]], at[j[ok]]))
-            room -= int(ok.sum())
+        for own, i, j in _bucket_pairs(entries, similarity):
+            i, j = np.searchsorted(rid, own[i]), np.searchsorted(rid, own[j])
+            apart = unit.roots(i) != unit.roots(j)
+            held.append((i[apart], j[apart]))
+            room -= int(apart.sum())
             if room < 0:
                 unit.connect(*(np.concatenate(x) for x in zip(*held)))
                 held, room = [], PAIRS
@@ -325,7 +350,10 @@ def similar_pairs(buckets: DataFrame, texts: DataFrame, size: int, similarity: f
         .select("unit", F.least("c", "d").alias("x"), F.greatest("c", "d").alias("y"), "token", "rid", "pos", "n", "label", "c"),
         "laid",
     )
-    wanted = written(laid.select("unit", "x", "y", "rid").distinct(), "wanted")
+    keys = ["unit", "x", "y"]
+    wanted = written(
+        laid.groupBy(*keys).applyInArrow(_unit_members(similarity), "unit long, x int, y int, rid long"), "wanted"
+    )
 
     def shingled(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -334,9 +362,9 @@ def similar_pairs(buckets: DataFrame, texts: DataFrame, size: int, similarity: f
 
     ends = written(wanted.select("rid").distinct(), "ends")
     sets = texts.join(small(ends, BROADCAST_IDS), "rid", "left_semi").mapInArrow(shingled, "rid long, set array<long>")
-    keys = ["unit", "x", "y"]
+    left = laid.join(wanted, [*keys, "rid"], "left_semi")
     return written(
-        laid.groupBy(*keys).cogroup(wanted.join(sets, "rid").groupBy(*keys)).applyInArrow(_unit_links(similarity), "a long, b long"),
+        left.groupBy(*keys).cogroup(wanted.join(sets, "rid").groupBy(*keys)).applyInArrow(_unit_links(similarity), "a long, b long"),
         "similar",
     )
 
