@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.functions.scalar import normal_symbol
+from tidebar.operators import book as bk
 from tidebar.operators import evaluation as ev
 from tidebar.operators import features as ft
 from tidebar.operators import labels as lb
@@ -252,6 +253,28 @@ def trade_queries() -> dict[str, Query]:
             "symbol", "entry_bar", "episode", *rounded("to_recover", 3), "in_recovery")
 
     q["risk_recovery_ledger"] = recovery
+
+    def book_candidates(s: SparkSession, d: str) -> DataFrame:
+        """The rule signals of all symbols as candidates of one book, in hours."""
+        ends = src.numbered(src.event_bars(s, d)).selectExpr(
+            "symbol", "pos AS exit_bar", "unix_seconds(ts) div 3600 AS exit_at")
+        return oc.intrabar_exits(scored_bars(s, d)).join(ends, ["symbol", "exit_bar"], "left").selectExpr(
+            "'all' AS book", "symbol", "ts", "unix_seconds(ts) div 3600 AS at", "exit_at", "direction",
+            "pnl_net", "confidence")
+
+    booking = ["symbol", stamp(), "entered", "coalesce(reject_reason, '') AS reject_reason", "open_trades"]
+    q["risk_book_entries"] = lambda s, d: bk.booked(book_candidates(s, d)).selectExpr(*booking)
+    q["risk_book_capacity"] = lambda s, d: bk.booked(
+        book_candidates(s, d), bk.BookRules(max_open=3, per_direction=2, losses=0)).selectExpr(*booking)
+
+    def closed_loop(s: SparkSession, d: str) -> DataFrame:
+        rows = oc.intrabar_exits(scored_bars(s, d)).selectExpr(
+            "symbol", "entry_bar AS at", "exit_bar AS exit_at", "direction", "pnl_net", "confidence")
+        return bk.booked(rows, bk.BookRules(recovery=True), keys=["symbol"], order=["at"]).selectExpr(
+            "symbol", "at AS entry_bar", "entered", "coalesce(reject_reason, '') AS reject_reason",
+            *rounded("size_factor", 4), *rounded("to_recover pnl_taken", 3))
+
+    q["risk_closed_loop"] = closed_loop
     q["risk_kelly_inputs"] = lambda s, d: rk.kelly_inputs(order_trades(s, d)).selectExpr(
         "symbol", "trade_id", *rounded("win_rate", 5), *rounded("avg_win avg_loss", 7))
 

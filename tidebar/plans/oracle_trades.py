@@ -330,6 +330,53 @@ FROM b WHERE level <> 'debug' AND NOT contains(m, '[Reporter]') AND NOT contains
     return q
 
 
+BOOK = f"""{HEAD}, {ATR}, bc AS MATERIALIZED (SELECT o.symbol, o.ts, CAST(epoch(o.ts) // 3600 AS BIGINT) AS t0, CAST(epoch(e.ts) // 3600 AS BIGINT) AS xt, o.direction AS d, o.pnl_net AS p, o.confidence AS cf,
+  row_number() OVER (ORDER BY o.ts, o.symbol) AS rn FROM ox o JOIN ind e ON e.symbol = o.symbol AND e.pos = o.exit_bar)"""
+BOOK_ROW = "symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, reason = '' AS entered, reason AS reject_reason, CAST(held AS INTEGER) AS open_trades"
+
+
+def book_sql() -> dict[str, str]:
+    """Recursion over the candidates, one row at a time."""
+    def side(k: str) -> str:
+        return (f"CASE WHEN {k}x <= t0 THEN CASE WHEN {k}p < 0 THEN {k}n + 1 ELSE 0 END ELSE {k}n END AS {k}n1, "
+                f"CASE WHEN {k}x <= t0 AND {k}p < 0 AND {k}n + 1 >= 3 THEN {k}x + 8 ELSE {k}u END AS {k}u1, "
+                f"CASE WHEN {k}x > t0 THEN {k}x END AS {k}x1")
+
+    def slot(k: str, sign: int) -> str:
+        mine = f"reason = '' AND d = {sign}"
+        return (f"CASE WHEN {mine} THEN xt ELSE {k}x1 END, CASE WHEN {mine} THEN p ELSE {k}p END, "
+                f"CASE WHEN {mine} THEN symbol ELSE {k}s END, {k}n1, {k}u1")
+
+    return {
+        "risk_book_entries": f"""{BOOK}, st AS (SELECT 0::BIGINT AS rn, ''::VARCHAR AS symbol, NULL::TIMESTAMP AS ts, ''::VARCHAR AS reason, 0::BIGINT AS held,
+  NULL::BIGINT AS lx, 0::DOUBLE AS lp, ''::VARCHAR AS ls, 0::BIGINT AS ln, 0::BIGINT AS lu, NULL::BIGINT AS sx, 0::DOUBLE AS sp, ''::VARCHAR AS ss, 0::BIGINT AS sn, 0::BIGINT AS su
+ UNION ALL SELECT rn, symbol, ts, reason, held, {slot('l', 1)}, {slot('s', -1)} FROM (
+  SELECT *, CASE WHEN (lx1 IS NOT NULL AND ls = symbol) OR (sx1 IS NOT NULL AND ss = symbol) THEN 'symbol is open' WHEN CASE WHEN d = 1 THEN lx1 ELSE sx1 END IS NOT NULL THEN 'direction is open'
+    WHEN t0 < CASE WHEN d = 1 THEN lu1 ELSE su1 END THEN 'loss streak' ELSE '' END AS reason, CAST(lx1 IS NOT NULL AS BIGINT) + CAST(sx1 IS NOT NULL AS BIGINT) AS held FROM (
+   SELECT c.*, st.* EXCLUDE (rn, symbol, ts, reason, held), {side('l')}, {side('s')} FROM st JOIN bc c ON c.rn = st.rn + 1)))
+SELECT {BOOK_ROW} FROM st WHERE rn > 0""",
+        "risk_book_capacity": f"""{BOOK}, st AS (SELECT 0::BIGINT AS rn, ''::VARCHAR AS symbol, NULL::TIMESTAMP AS ts, ''::VARCHAR AS reason, 0::BIGINT AS held, CAST([] AS STRUCT(x BIGINT, s VARCHAR, d INTEGER)[]) AS o
+ UNION ALL SELECT rn, symbol, ts, reason, held, CASE WHEN reason = '' THEN list_append(o1, {{'x': xt, 's': symbol, 'd': d::INTEGER}}) ELSE o1 END FROM (
+  SELECT *, len(o1) AS held, CASE WHEN len(o1) >= 3 THEN 'max open trades' WHEN len(list_filter(o1, lambda q: q.s = symbol)) > 0 THEN 'symbol is open' WHEN len(list_filter(o1, lambda q: q.d = d)) >= 2 THEN 'direction is open' ELSE '' END AS reason FROM (
+   SELECT c.*, list_filter(st.o, lambda q: q.x > c.t0) AS o1 FROM st JOIN bc c ON c.rn = st.rn + 1)))
+SELECT {BOOK_ROW} FROM st WHERE rn > 0""",
+        "risk_closed_loop": f"""{HEAD}, {ATR}, bc AS MATERIALIZED (SELECT symbol, entry_bar AS t0, exit_bar AS xt, direction AS d, pnl_net AS p, confidence AS cf, row_number() OVER (PARTITION BY symbol ORDER BY entry_bar) AS rn FROM ox),
+st AS (SELECT DISTINCT symbol, 0::BIGINT AS rn, NULL::BIGINT AS t0, ''::VARCHAR AS reason, 1::DOUBLE AS factor, 0::DOUBLE AS shown, 0::DOUBLE AS taken, NULL::BIGINT AS ox_, 0::BIGINT AS od_, 0::DOUBLE AS op_,
+  0::BIGINT AS ln, 0::BIGINT AS lu, 0::BIGINT AS sn, 0::BIGINT AS su, 0::DOUBLE AS owed, 0::BIGINT AS since, 0::BIGINT AS att FROM bc
+ UNION ALL SELECT symbol, rn, t0, reason, factor, owed3, CASE WHEN reason = '' THEN p * factor ELSE 0 END, CASE WHEN reason = '' THEN xt WHEN NOT cl THEN ox_ END, CASE WHEN reason = '' THEN d ELSE od_ END, CASE WHEN reason = '' THEN p * factor ELSE op_ END,
+   ln1, lu1, sn1, su1, owed3, CASE WHEN reason = '' AND owed3 > 0 THEN t0 ELSE since2 END, CASE WHEN reason = '' AND owed3 > 0 THEN att3 + 1 ELSE att3 END FROM (
+  SELECT *, CASE WHEN reason = '' AND owed3 > 0 THEN least(power(1.5, att3), 3) ELSE 1 END AS factor FROM (
+   SELECT *, CASE WHEN owed3 > 0 THEN att2 ELSE 0 END AS att3, CASE WHEN ox_ IS NOT NULL AND NOT cl THEN 'symbol is open' WHEN t0 < CASE WHEN d = 1 THEN lu1 ELSE su1 END THEN 'loss streak' WHEN owed3 > 0 AND cf < 0.7 THEN 'recovery wait' ELSE '' END AS reason FROM (
+    SELECT *, CASE WHEN owed2 > 0 AND since2 + 6 <= t0 THEN 0 ELSE owed2 END AS owed3 FROM (
+     SELECT *, CASE WHEN lost THEN owed1 - op_ WHEN cl THEN greatest(0, owed1 - op_) ELSE owed1 END AS owed2, CASE WHEN lost THEN ox_ ELSE since END AS since2, CASE WHEN lost OR owed1 = 0 THEN 0 ELSE att END AS att2,
+       CASE WHEN cl AND od_ = 1 THEN CASE WHEN lost THEN ln + 1 ELSE 0 END ELSE ln END AS ln1, CASE WHEN lost AND od_ = 1 AND ln + 1 >= 3 THEN ox_ + 8 ELSE lu END AS lu1,
+       CASE WHEN cl AND od_ = -1 THEN CASE WHEN lost THEN sn + 1 ELSE 0 END ELSE sn END AS sn1, CASE WHEN lost AND od_ = -1 AND sn + 1 >= 3 THEN ox_ + 8 ELSE su END AS su1 FROM (
+      SELECT *, cl AND op_ < 0 AS lost, CASE WHEN owed > 0 AND since + 6 <= CASE WHEN cl THEN ox_ ELSE t0 END THEN 0 ELSE owed END AS owed1 FROM (
+       SELECT c.*, st.* EXCLUDE (symbol, rn, t0, reason, factor, shown, taken), coalesce(st.ox_ <= c.t0, false) AS cl FROM st JOIN bc c ON c.symbol = st.symbol AND c.rn = st.rn + 1)))))))
+SELECT symbol, t0 AS entry_bar, reason = '' AS entered, reason AS reject_reason, round(factor, 4) + 0.0 AS size_factor, round(shown, 3) + 0.0 AS to_recover, round(taken, 3) + 0.0 AS pnl_taken FROM st WHERE rn > 0""",
+    }
+
+
 def stream_sql() -> dict[str, str]:
     """Append-mode streams emit a window once the watermark (newest stamp minus delay) passes."""
     closed = f"""{bars()}, wm AS (SELECT max(ts) - INTERVAL 2 hour AS w FROM events WHERE value > 0),
