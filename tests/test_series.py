@@ -73,6 +73,23 @@ def test_block_size_does_not_matter(spark):
     close_to(got[0]["y"], got[1]["y"], 1e-11)
 
 
+@pytest.mark.parametrize("alpha,rows,block", [(0.2, 32768, 2048), (0.2, 4400, 256), (1 / 14, 32768, 2048)])
+def test_averages_over_missing_values(spark, alpha, rows, block):
+    pdf = walk(n=1500, symbols=("A",))
+    x = pdf.close.to_numpy().copy()
+    rng = np.random.default_rng(3)
+    x[rng.random(1500) < 0.1] = np.nan
+    x[:4] = np.nan
+    x[700:760] = np.nan
+    pdf["x"] = x
+    lay = Layout(rows=rows, back=4352, ahead=0, block=block)
+    df = spark.createDataFrame(pdf).withColumn("x", F.nanvl("x", F.lit(None)))
+    df = chunked(positioned(df, KEYS, F.lit(0), ["ts"]), lay)
+    got = series(core_rows(ewm(df, {"y": ("x", alpha, 2, 5)}, layout=lay, gaps=("y",))))
+    y = pdf.x.where(pdf.index >= 2).ewm(alpha=alpha, adjust=False, min_periods=5).mean()
+    close_to(got["y"], y)
+
+
 def test_no_feature_sees_the_future(spark):
     pdf = walk(n=260, symbols=("A",))
     full = series(ft.with_features(bars(spark, pdf)))

@@ -114,6 +114,7 @@ def indicator_columns(df: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
             "obv_ema": ("obv", span(20), 0, 1),
         },
         layout=layout,
+        gaps=("atr", "_su", "_sd"),  # a bar without a high or low has no range or move
     )
     df = df.selectExpr(
         "*",
@@ -129,6 +130,7 @@ def indicator_columns(df: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
         df,
         {"macd_signal": ("macd", span(9), 0, 1), "adx": ("_dx", WILDER, 14, 14)},
         layout=layout,
+        gaps=("adx",),
     )
     df = df.selectExpr(
         "*",

@@ -196,6 +196,7 @@ def ewm(
     specs: dict[str, tuple[str, float, int, int]],
     keys: Sequence[str] = KEYS,
     layout: Layout = LAYOUT,
+    gaps: Sequence[str] = (),
 ) -> DataFrame:
     """Recursive averages y[t] = (1-a) y[t-1] + a x[t], y[first] = x[first], on chunked rows.
 
@@ -203,6 +204,12 @@ def ewm(
     With q = 1-a, y is q^j times the running sum of a*x*q^-j, which is an ordinary window
     sum.  For fast decay the sum restarts every block of rows (so q^-j stays in range) and
     the end value of the block before is carried in; older blocks weigh less than 1e-18.
+
+    ``gaps`` names the outputs whose inputs may be null. Over null inputs their value is carried
+    along, and the next input, g rows after the last one, is weighted against what is left of the
+    average: y = (q^g y' + a x) / (q^g + a). The exponent j is then a running sum of what each row
+    decays, and the values needed before non-null are counted. A block of rows that are nearly all
+    null forgets what lies before the block in front of it.
     """
     part = ", ".join(keys)
     upto = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
@@ -217,6 +224,7 @@ def ewm(
     in_block = f"(pos - block * {layout.block})"
     in_chunk = f"(pos - greatest(chunk * {layout.rows} - {layout.back}, 0))"
 
+    kept, gap_specs = df.columns, []
     sums, carries, finals = [], [], []
     for out, (x, alpha, first, warm) in specs.items():
         decay = -math.log(1.0 - alpha)
@@ -226,6 +234,9 @@ def ewm(
             raise ValueError(f"smoothing factor {alpha} needs a longer look-back than {layout.back}")
         if not wide and not (42 / decay <= layout.block <= 650 / decay):
             raise ValueError(f"smoothing factor {alpha} does not fit blocks of {layout.block}")
+        if out in gaps:
+            gap_specs.append((out, x, alpha, first, warm, wide))
+            continue
         j = in_chunk if wide else in_block
         term = f"CASE WHEN pos = {first} THEN {x} WHEN pos > {first} THEN {x} * {num(alpha)} END"
         sums.append(
@@ -240,7 +251,27 @@ def ewm(
             tail = f"coalesce(__p_{out}, double(0)) * exp(-({j} + 1) * {num(decay)})"
             value = f"coalesce(__s_{out}, double(0)) + {tail}"
         finals.append(f"CASE WHEN pos >= {first + max(warm, 1) - 1} THEN {value} END AS {out}")
-    kept = df.columns
+    since, decays, ages = [], [], []
+    for out, x, alpha, first, warm, wide in gap_specs:
+        decay, frame = -math.log(1.0 - alpha), by_chunk if wide else by_block
+        has = f"({x} IS NOT NULL AND pos >= {first})"
+        since += [f"pos - last(CASE WHEN {has} THEN pos END, true) {before} AS __g_{out}",
+                  f"count(CASE WHEN {has} THEN 1 END) {by_chunk} AS __n_{out}"]
+        left = f"exp(-__g_{out} * {num(decay)})"
+        decays += [f"CASE WHEN {has} AND __g_{out} IS NOT NULL THEN __g_{out} * {num(decay)} + ln({left} + {num(alpha)}) "
+                   f"ELSE double(0) END AS __d_{out}",
+                   f"CASE WHEN {has} THEN CASE WHEN __g_{out} IS NULL THEN {x} ELSE {x} * {num(alpha)} / ({left} + {num(alpha)}) END "
+                   f"END AS __x_{out}"]
+        ages.append(f"sum(__d_{out}) {frame} AS __a_{out}")
+        sums.append(f"sum(__x_{out} * exp(__a_{out})) {frame} * exp(-__a_{out}) AS __s_{out}")
+        value = f"__s_{out}"
+        if not wide:
+            carries.append(
+                f"last(CASE WHEN {ends} THEN coalesce(__s_{out}, double(0)) END, true) {before} AS __p_{out}")
+            value = f"coalesce(__s_{out}, double(0)) + coalesce(__p_{out}, double(0)) * exp(-__a_{out})"
+        finals.append(f"CASE WHEN __n_{out} >= {max(warm, 1)} THEN {value} END AS {out}")
+    if gap_specs:
+        df = df.selectExpr("*", *since).selectExpr("*", *decays).selectExpr("*", *ages)
     return df.selectExpr("*", *sums).selectExpr("*", *carries).selectExpr(*kept, *finals)
 
 
