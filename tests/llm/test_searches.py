@@ -71,6 +71,30 @@ def test_vector_search(spark):
     assert [i for i, _ in found[2050]] == [3, 2000, 2001, 2002, 2003]
 
 
+def test_an_id_that_comes_many_times_loses_no_answer(spark):
+    schema = "vec_id long, embedding array<float>"
+    one, near = [1.0, 0.5, 0.25, 0.125], [-1.0, 2.0, 1.0, 1.0]
+    rows = [(0, one)] * 12 + [(i, one) for i in range(1, 21)] + [(3, one)] * 4 + [(i, near) for i in range(21, 40)]
+    rows += [(50, [1.0 + i, -3.0 * i, 2.0, -1.0]) for i in range(1, 9)] + [(51, [1.0, -3.0, 2.0, -1.0])]  # an id with many vectors
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    for found, k in ((ann.nearest(df, k=5), 5), (topk.nearest_codes(df, k=10), 10)):
+        of = {}
+        for r in found.orderBy("rank").collect():
+            of.setdefault(r["query_id"], []).append(r["vec_id"])
+        want = [1, 2, 3, 3, 3, 3, 3, 4, 5, 6][:k]
+        assert len(of[0]) == 12 * k and sorted(of[0]) == sorted(want * 12)
+        assert len(of[50]) == 8 * k and 50 not in of[50]
+
+
+def test_small_leaves_give_all_answers(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(300, 16))
+    rows = [(i, (centres[i % 300] + rng.normal(size=16) * 1e-3).astype(np.float32).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = ann.nearest(df, settings=ann.Settings(leaf_rows=2)).groupBy("query_id").count().collect()
+    assert len(out) == 120 and {r["count"] for r in out} == {5}
+
+
 def test_few_or_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     assert ann.nearest(spark.createDataFrame([], schema)).count() == 0

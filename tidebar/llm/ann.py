@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidebar.llm.common import parts_for, written
-from tidebar.llm.vectors import answers, asked, matrix, ranked_answers, usable, with_first_ids
+from tidebar.llm.vectors import answers, asked, matrix, own_classes, ranked_answers, usable, with_first_ids
 
 
 @dataclass(frozen=True)
@@ -95,15 +95,19 @@ class Tree:
             open_nodes = following
         return self.leaf[node]
 
-    def visits(self, row: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order in which a priority queue of nodes, nearest centre first, meets them."""
+    def visits(self, row: np.ndarray, most: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """Leaves in the order in which a priority queue of nodes, nearest centre first, meets them.
+
+        ``most`` leaves, and more until these hold ``least`` vectors by their ``sizes``.
+        """
         near = self.centres @ row
-        queue, found = [(-near[0], 0)], []
-        while queue and len(found) < most:
+        queue, found, held = [(-near[0], 0)], [], 0
+        while queue and (len(found) < most or held < least):
             _, node = heapq.heappop(queue)
             first, count = self.children[node]
             if not count:
                 found.append(int(self.leaf[node]))
+                held += sizes.get(found[-1], 0) if sizes else 0
             for child in range(first, first + count):
                 heapq.heappush(queue, (-near[child], child))
         return found
@@ -161,7 +165,8 @@ def nearest(
     s = settings or Settings()
     rows, width = usable(table, vec_id, embedding, zeros=False)
     classes = written(
-        with_first_ids(rows, "v", k + 1).select(F.col("ids")[0].alias("first"), "v", "ids"), "vectors"
+        with_first_ids(rows, "v", k + 1).select(
+            F.monotonically_increasing_id().alias("key"), F.col("ids")[0].alias("first"), "v", "ids"), "vectors"
     )
     total = classes.count()
     sample = classes.select("first", "v").orderBy(F.xxhash64("first"), "first").limit(s.sample).toArrow()
@@ -172,16 +177,17 @@ def nearest(
     def placed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             if batch.num_rows:
-                leaf = shipped.value.assign(unit(matrix(batch.column(1))))
+                leaf = shipped.value.assign(unit(matrix(batch.column(2))))
                 yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), *batch.columns], ["leaf", *batch.schema.names])
 
     kind = rows.schema["v"].dataType.simpleString()
-    index = written(classes.mapInArrow(placed, f"leaf long, first long, v {kind}, ids array<long>"), "index")
-    # a query's key is the first id of its vector; the vectors of the queries are a 50th of all
-    mine = index.select(F.col("first").alias("q"), "v")
+    index = written(classes.mapInArrow(placed, f"leaf long, key long, first long, v {kind}, ids array<long>"), "index")
+    # a query's key is that of its vector; the vectors of the queries are a 50th of all
+    mine = index.select(F.col("key").alias("q"), "v")
     queries = written(asked(rows, every).join(mine, "v").select("id", "q"), "asked")
     keys = written(queries.select("q").distinct().join(mine, "q").select("q", "v"), "keys")
     visits = _calibrated(index, keys, tree, k, s)
+    most = k + own_classes(rows, "v", every)
 
     # neighbouring leaves share a unit of work; a leaf beyond the size of a block has units of its own
     sizes = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf
@@ -191,10 +197,10 @@ def nearest(
         [(leaf, u[0], len(u)) for leaf, u in units.items()], "leaf long, first_unit int, parts int"
     ))
     laid = index.join(where, "leaf").select(
-        (F.col("first_unit") + F.pmod(F.xxhash64("first"), F.col("parts")).cast("int")).alias("unit"),
+        (F.col("first_unit") + F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).alias("unit"),
         F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("c"), "leaf", "first", "v", "ids",
     )
-    placing = table.sparkSession.sparkContext.broadcast(units)
+    placing = table.sparkSession.sparkContext.broadcast((units, sizes))
 
     def walked(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -203,8 +209,9 @@ def nearest(
             at, unit_of, met = [], [], []
             for i, x in enumerate(unit(matrix(batch.column(1)))):
                 by_unit: dict[int, list[int]] = {}
-                for leaf in shipped.value.visits(x, visits):
-                    for u in placing.value.get(leaf, ()):
+                unit_of_leaf, held = placing.value
+                for leaf in shipped.value.visits(x, visits, held, most):
+                    for u in unit_of_leaf.get(leaf, ()):
                         by_unit.setdefault(u, []).append(leaf)
                 for u, leaves_met in by_unit.items():
                     at.append(i)
@@ -233,7 +240,7 @@ def nearest(
             of_query = np.repeat(np.arange(len(names)), np.diff(met.offsets.to_numpy()))
             visited[of_query[known], place[known]] = True
             rows = matrix(left.column("v"))
-            for i, found, cosines in best(matrix(right.column("v")), rows, firsts, k + 1, (visited, of)):
+            for i, found, cosines in best(matrix(right.column("v")), rows, firsts, most, (visited, of)):
                 q.append(np.full(len(found), names[i]))
                 score.append(cosines)
                 at.append(found)
@@ -249,7 +256,7 @@ def nearest(
         laid.groupBy("unit", "c").cogroup(sent.groupBy("unit", "c"))
         .applyInArrow(compared, "q long, score double, first long, ids array<long>")
     )
-    lists = written(answers(found, k + 1, "score", True), "answers")
+    lists = written(answers(found, most, "score", True), "answers")
     return ranked_answers(queries, lists, k, "score")
 
 
@@ -281,24 +288,24 @@ def _calibrated(index: DataFrame, keys: DataFrame, tree: Tree, k: int, s: Settin
         for batch in source:
             if not batch.num_rows:
                 continue
-            leaf, first = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            found = list(best(shipped.value, matrix(batch.column(2)), first, k + 1))
+            leaf, key, first = (batch.column(c).to_numpy() for c in range(3))
+            found = list(best(shipped.value, matrix(batch.column(3)), first, k + 1))
             at = np.concatenate([f for _, f, _ in found])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat([i for i, _, _ in found], [len(f) for _, f, _ in found]), pa.int64()),
-                 pa.array(np.concatenate([c for _, _, c in found])), pa.array(first[at]), pa.array(leaf[at])],
-                ["q", "score", "first", "leaf"],
+                 pa.array(np.concatenate([c for _, _, c in found])), pa.array(first[at]), pa.array(key[at]), pa.array(leaf[at])],
+                ["q", "score", "first", "key", "leaf"],
             )
 
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "first"))
     near = (
-        index.select("leaf", "first", "v").mapInArrow(true, "q long, score double, first long, leaf long")
-        .withColumn("n", rank).filter(F.col("n") <= k + 1).select("q", "first", "leaf").toArrow()
+        index.select("leaf", "key", "first", "v").mapInArrow(true, "q long, score double, first long, key long, leaf long")
+        .withColumn("n", rank).filter(F.col("n") <= k + 1).select("q", "key", "leaf").toArrow()
     )
     needed = []
     orders = [{leaf: i for i, leaf in enumerate(tree.visits(x, tree.leaves))} for x in unit(rows)]
-    for q, first, leaf in zip(*(near.column(c).to_pylist() for c in ("q", "first", "leaf")), strict=True):
-        if first != names[q]:
+    for q, key, leaf in zip(*(near.column(c).to_pylist() for c in ("q", "key", "leaf")), strict=True):
+        if key != names[q]:
             needed.append(orders[q][leaf] + 1)
     if not needed:
         return tree.leaves

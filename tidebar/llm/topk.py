@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm.common import parts_for, written
-from tidebar.llm.vectors import answers, asked, matrix, ranked_answers, usable, with_first_ids
+from tidebar.llm.vectors import answers, asked, matrix, own_classes, ranked_answers, usable, with_first_ids
 
 #: Distinct codes of a block, about.
 BLOCK = 8192
@@ -107,6 +107,7 @@ def nearest_codes(
     """query_id, rank, vec_id, distance: the k nearest by differing bits of every query of the set."""
     rows = written(codes_of(table, vec_id, embedding), "codes")
     index = written(with_first_ids(rows, "code", k + 1), "distinct")
+    most = k + own_classes(rows, "code", every)
     queries = asked(rows, every).select("id", F.col("code").alias("q"))
     keys = written(queries.select("q").distinct(), "keys")
     blocks = parts_for(index.count(), block)
@@ -126,9 +127,9 @@ def nearest_codes(
         if len(codes) and right.num_rows:
             tree = SegmentIndex(codes)
             for q in right.column("q").to_numpy():
-                at, distance = tree.nearest(int(np.uint64(q.view(np.uint64))), k + 1)
+                at, distance = tree.nearest(int(np.uint64(q.view(np.uint64))), most)
                 # of codes at the same distance those with the smallest first ids
-                order = np.lexsort((firsts(left)[at], distance))[: k + 1]
+                order = np.lexsort((firsts(left)[at], distance))[:most]
                 found[0].append(np.full(len(order), q))
                 found[1].append(at[order])
                 found[2].append(distance[order])
@@ -149,5 +150,5 @@ def nearest_codes(
         laid.groupBy("b", "c").cogroup(sent.groupBy("b", "c"))
         .applyInArrow(searched, "q long, distance long, first long, ids array<long>")
     )
-    lists = written(answers(found, k + 1, "distance", False), "answers")
+    lists = written(answers(found, most, "distance", False), "answers")
     return ranked_answers(queries, lists, k, "distance")

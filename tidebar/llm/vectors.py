@@ -33,13 +33,22 @@ def asked(rows: DataFrame, every: int) -> DataFrame:
 
 
 def with_first_ids(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """(key, ids): the ``most`` smallest ids of each distinct key, sorted.
+    """(key, ids): the ``most`` smallest different ids of each distinct key, sorted, each as often as it comes
+    but ``most`` times at most.
 
-    The rank filter also runs before the shuffle, so a key with a third of all rows sends ``most`` ids
-    from each task.
+    Equal rows are counted first, in each task before the shuffle, so a key with a third of all rows sends a row for each id
+    from each task; the rank filter also runs before the second shuffle.
     """
-    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("id"))).filter(F.col("n") <= most)
-    return ranked.groupBy(key).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    counted = rows.groupBy(key, "id").agg(F.least(F.count("*"), F.lit(most)).cast("int").alias("times"))
+    ranked = counted.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("id"))).filter(F.col("n") <= most)
+    lists = ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("id", "times"))).alias("list"))
+    return lists.select(key, F.flatten(F.transform("list", lambda x: F.array_repeat(x["id"], x["times"]))).alias("ids"))
+
+
+def own_classes(rows: DataFrame, key: str, every: int) -> int:
+    """How many distinct keys one id of the query set has at most: so many may drop out of its answers."""
+    many = asked(rows, every).groupBy("id").agg(F.count_distinct(key).alias("n")).agg(F.max("n")).first()
+    return many[0] or 1
 
 
 def answers(found: DataFrame, per_query: int, score: str, descending: bool) -> DataFrame:
