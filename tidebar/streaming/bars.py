@@ -17,11 +17,12 @@ from tidebar.functions.scalar import col
 from tidebar.operators import news as nw
 from tidebar.operators.evaluation import last_rows
 from tidebar.operators.indicators import with_indicators
-from tidebar.operators.timeline import LAYOUT
+from tidebar.operators.timeline import KEYS, LAYOUT
 from tidebar.plans.training import Ensemble, active_models, load_model
-from tidebar.session import checkpoint_folder
-from tidebar.sources.bars import BAR_SCHEMA, OHLCV, event_order, numbered, write_bars
+from tidebar.session import checkpoint_folder, cut_lineage
+from tidebar.sources.bars import BAR_SCHEMA, OHLCV, event_order, numbered, upsert
 from tidebar.sources.journal import route_logs
+from tidebar.streaming.publish import Published
 
 LOG = logging.getLogger(__name__)
 
@@ -114,38 +115,55 @@ def for_each(df: DataFrame, name: str, fn: Callable[[DataFrame, int], None], onc
     return w.start()
 
 
-def bars_sink(bars: DataFrame, path: str, **kw) -> StreamingQuery:
-    """Append each micro-batch of closed bars to the partitioned bar table."""
-    return for_each(bars, "bars", lambda df, _: write_bars(df, path, "append"), **kw)
+def bars_sink(bars: DataFrame, path: str, query: str = "bars", **kw) -> StreamingQuery:
+    """Publish each micro-batch of closed bars once; ``Published(...).read`` gives the table."""
+    def write(df: DataFrame, batch: int) -> None:
+        Published(df.sparkSession, path).publish(df.select(*BAR_SCHEMA.fieldNames()), query, batch)
 
+    return for_each(bars, query, write, **kw)
 
-def log_sink(logs: DataFrame, path: str, batch_rows: int = 15, **kw) -> StreamingQuery:
-    """Route log records and write them in files of at most ``batch_rows`` records."""
-    def write(df: DataFrame, _: int) -> None:
-        route_logs(df).write.mode("append").option("maxRecordsPerFile", batch_rows).json(path)
 
-    return for_each(logs, "logs", write, every=kw.pop("every", "3 seconds"), **kw)
+def log_sink(logs: DataFrame, path: str, query: str = "logs", **kw) -> StreamingQuery:
+    """Route log records and publish each micro-batch once, as JSON."""
+    def write(df: DataFrame, batch: int) -> None:
+        Published(df.sparkSession, path, "json").publish(route_logs(df), query, batch)
 
+    return for_each(logs, query, write, every=kw.pop("every", "3 seconds"), **kw)
 
-def scored_sink(bars: DataFrame, history: str, out: str,
-                score: Callable[[DataFrame], DataFrame], **kw) -> StreamingQuery:
-    """Evaluate every newly closed bar with the batch operators.
 
-    Each micro-batch joins the tail of the stored bars that an exact indicator needs (the
-    look-back of the chunk layout), so a bar is evaluated once, with full-history values.
-    ``score`` is called per micro-batch, so a model taken from the registry inside it is
-    swapped without a restart.
+def scored_sink(bars: DataFrame, path: str, score: Callable[[DataFrame], DataFrame],
+                history: DataFrame | None = None, query: str = "scores", **kw) -> StreamingQuery:
+    """Evaluate every newly closed bar once, with the batch operators.
+
+    A micro-batch needs the look-back of the chunk layout in front of its bars. That tail, a bounded
+    number of bars a series, is published with each batch, so the next one reads it and the new bars and
+    nothing else; ``history`` (stored bars) is read by the first batch only. ``score`` is called per
+    micro-batch, so a model taken from the registry inside it is swapped without a restart. Bars, tails and scores
+    are published in ``path``/bars, /tails and /scores; a replayed batch changes nothing.
     """
-    def step(df: DataFrame, _: int) -> None:
+    names = BAR_SCHEMA.fieldNames()
+
+    def step(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
-        fresh = df.select("symbol", "timeframe", "ts").distinct()
-        write_bars(df, history, "append")
-        stored = numbered(spark.read.schema(BAR_SCHEMA).parquet(history))
-        tail = last_rows(stored, LAYOUT.back).drop("pos")
-        rows = with_indicators(tail).join(fresh, ["symbol", "timeframe", "ts"], "left_semi")
-        score(rows).write.mode("append").parquet(out)
-
-    return for_each(bars, "scores", step, **kw)
+        stored, tails, scores = (Published(spark, f"{path}/{t}") for t in ("bars", "tails", "scores"))
+        if scores.committed(query, batch):
+            return
+        stored.publish(df.select(*names), query, batch)
+        fresh = stored.read(BAR_SCHEMA, [(query, batch)])
+        before = tails.newest(query, batch)
+        if before is not None:
+            old = tails.read(BAR_SCHEMA, [before])
+        else:
+            old = spark.createDataFrame([], BAR_SCHEMA) if history is None else last_rows(
+                numbered(history.select(*names)), LAYOUT.back).drop("pos")
+        rows = cut_lineage(upsert(old, fresh), "tail")
+        tails.publish(last_rows(numbered(rows), LAYOUT.back).select(*names), query, batch)
+        done = with_indicators(rows).join(fresh.select(*KEYS, "ts"), [*KEYS, "ts"], "left_semi")
+        scores.publish(score(done), query, batch)
+        if before is not None:
+            tails.forget(query, before[1])
+
+    return for_each(bars, query, step, **kw)
 
 
 def registry_scorer(registry: str, prepare_rows: Callable[[DataFrame], DataFrame] | None = None
