@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebar.llm.common import packed, unpacked
+from tidebar.llm.common import packed, tidy, unpacked
 
 #: Bytes of words and their ids that a worker remembers before it starts anew.
 REMEMBERED = 30_000_000
@@ -219,7 +219,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
             )
 
     schema = T.StructType([packs.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return unpacked(packs.mapInArrow(run, schema), kept, **{ids: F.col("ids")})
+    return unpacked(packs.mapInArrow(tidy(run), schema), kept, **{ids: F.col("ids")})
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded",
@@ -238,4 +238,4 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["row", "decoded"])
 
     schema = T.StructType([packs.schema["row"], T.StructField("decoded", T.BinaryType())])
-    return unpacked(packs.mapInArrow(run, schema), kept, **{out: F.col("decoded")})
+    return unpacked(packs.mapInArrow(tidy(run), schema), kept, **{out: F.col("decoded")})

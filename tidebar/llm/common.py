@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,6 +102,19 @@ def batches(source: Iterable[pa.RecordBatch], names: Sequence[str]) -> Iterator[
             yield [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A function for ``mapInArrow`` that hands its memory back to the system at its end, as its worker lives on."""
+
+    @functools.wraps(fn)
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(source)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # not everywhere there is this C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def ordered_scan(
     df: DataFrame, order: Sequence[Column], sums: Sequence[str] = (), name: str = "scan",
     partitions: int | None = None,

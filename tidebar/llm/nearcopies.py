@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidebar.llm.common import BROADCAST_IDS, packed, small, unpacked, written
+from tidebar.llm.common import BROADCAST_IDS, packed, small, tidy, unpacked, written
 from tidebar.llm.simhash import LEAF as TRIE_LEAF
 from tidebar.llm.simhash import Block, Budget, Forest, components, links, near, shingle_hashes
 
@@ -162,8 +162,8 @@ def count_levels(texts: DataFrame, size: int, bits: int) -> np.ndarray:
 
     names = ["lo", *[f"p{level}" for level in LEVELS]]
     rows = (
-        texts.mapInArrow(counted, "lo int, " + ", ".join(f"{n} binary" for n in names[1:]))
-        .repartition("lo").sortWithinPartitions("lo").mapInArrow(summed, "lo int, level binary")
+        texts.mapInArrow(tidy(counted), "lo int, " + ", ".join(f"{n} binary" for n in names[1:]))
+        .repartition("lo").sortWithinPartitions("lo").mapInArrow(tidy(summed), "lo int, level binary")
     )
     out = np.zeros(1 << bits, np.uint8)
     for row in rows.toArrow().to_pylist():  # 2^bits bytes
@@ -203,7 +203,7 @@ def shared_entries(texts: DataFrame, n_texts: int, size: int, similarity: float)
 
     bucket = Window.partitionBy("token")
     return written(
-        texts.mapInArrow(indexed, "token long, rid long, pos int, n int")
+        texts.mapInArrow(tidy(indexed), "token long, rid long, pos int, n int")
         .withColumn("m", F.count("*").over(bucket)).withColumn("unit", F.min("rid").over(bucket))
         .filter("m > 1").drop("m"),
         "entries",
@@ -361,7 +361,7 @@ def similar_pairs(buckets: DataFrame, texts: DataFrame, size: int, similarity: f
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rid", "set"])
 
     ends = written(wanted.select("rid").distinct(), "ends")
-    sets = texts.join(small(ends, BROADCAST_IDS), "rid", "left_semi").mapInArrow(shingled, "rid long, set array<long>")
+    sets = texts.join(small(ends, BROADCAST_IDS), "rid", "left_semi").mapInArrow(tidy(shingled), "rid long, set array<long>")
     left = laid.join(wanted, [*keys, "rid"], "left_semi")
     return written(
         left.groupBy(*keys).cogroup(wanted.join(sets, "rid").groupBy(*keys)).applyInArrow(_unit_links(similarity), "a long, b long"),
@@ -393,7 +393,7 @@ def without_near_copies(
             )
 
     schema = T.StructType([packs.schema["row"], packs.schema["id"]] + [T.StructField(c, T.LongType()) for c in ("rid", "d0", "d1", "code")])
-    rows = written(packs.mapInArrow(digested, schema.add("n", T.IntegerType())), "digested")
+    rows = written(packs.mapInArrow(tidy(digested), schema.add("n", T.IntegerType())), "digested")
     classes = written(
         rows.groupBy("d0", "d1").agg(
             F.min("rid").alias("class"), F.min("id").alias("best"),

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebar.llm.common import packed, unpacked
+from tidebar.llm.common import packed, tidy, unpacked
 
 ROUNDS = 8
 DEFAULT_KEY = b"replace this key"
@@ -359,4 +359,4 @@ def pseudonymise(
 
     schema = T.StructType([packs.schema["row"], T.StructField("t", T.StringType()), T.StructField("n", T.LongType())])
     new = {text: F.col("t")} | ({count: F.col("n")} if count else {})
-    return unpacked(packs.mapInArrow(run, schema), docs.columns, **new)
+    return unpacked(packs.mapInArrow(tidy(run), schema), docs.columns, **new)

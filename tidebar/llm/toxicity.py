@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebar.llm.common import label_sample, packed, unpacked
+from tidebar.llm.common import label_sample, packed, tidy, unpacked
 
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 #: Characters of words that a worker remembers before it starts anew.
@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, settings: Settings | N
             )
 
     schema = "id long, y int, at array<int>, weight array<float>"
-    sample = rows.mapInArrow(bag, schema).toArrow()
+    sample = rows.mapInArrow(tidy(bag), schema).toArrow()
     y = sample.column("y").to_numpy()
     order = np.lexsort((y, sample.column("id").to_numpy()))
     bags = _slices(sample)
@@ -222,4 +222,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["row", "score"])
 
     schema = T.StructType([packs.schema["row"], T.StructField("score", T.DoubleType())])
-    return unpacked(packs.mapInArrow(run, schema), docs.columns, **{out: F.col("score")})
+    return unpacked(packs.mapInArrow(tidy(run), schema), docs.columns, **{out: F.col("score")})
