@@ -45,13 +45,13 @@ from tidebar.llm.simhash import Block, Budget, Forest, components, links, near,
 #: Of two fingerprints with seven differing bits one half has three at most.
 NEAR = Budget(((32, 3), (64, 7)))
 #: Members of a piece of a unit of work, and shingles of a piece.
-PIECE, PIECE_SHINGLES = 1024, 4_000_000
+PIECE, PIECE_SHINGLES = 512, 2_000_000
 #: Bits of the place of a shingle in the table of counts: by the number of texts, within these bounds.
 COUNT_BITS = (22, 24)
 #: Counts of a task that are told apart, and counters in a row of them.
 LEVELS, COUNTERS = (1, 2, 4, 16), 1 << 15
 #: Shingles that a task counts at once, and candidate pairs that a unit holds at once.
-COUNTED, PAIRS = 1_000_000, 1_000_000
+COUNTED, PAIRS = 500_000, 100_000
 
 
 def shingle_set(text: bytes | None, size: int) -> np.ndarray:
