@@ -30,7 +30,7 @@ from tidebar.session import cut_lineage
 
 CLASSES = 3
 UNIT = float(1 << 24)
-WRITE_EVERY = 25
+WRITE_EVERY = 4
 #: Rows of a model that one task takes, about.
 SLICE = 50_000
 STATE = "g int, id long, y int, w double, tail boolean, bins binary, s0 double, s1 double, s2 double"
