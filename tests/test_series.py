@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidebar.operators import features as ft
 from tidebar.operators import labels as lb
 from tidebar.operators.indicators import REGISTRY, with_indicators
+from tidebar.operators.quantiles import exact_quantiles
 from tidebar.operators.selection import greedy_select
 from tidebar.operators.timeline import (
     KEYS,
@@ -235,3 +236,21 @@ def test_last_of_several_new_bars_wins(spark):
         old.limit(1).withColumn("close", F.lit(2.0)).withColumn("seq", F.lit(7)))
     rows = src.upsert(old, new, seq="seq").orderBy("ts").collect()
     assert len(rows) == 3 and rows[0]["close"] == 2.0
+
+
+@pytest.mark.parametrize("together", [20_000, 300])
+def test_quantiles_of_any_span(spark, together):
+    rng = np.random.default_rng(6)
+    pdf = pd.concat([
+        pd.DataFrame({"k": "wide", "x": rng.normal(size=6000) ** 3}), pd.DataFrame({"k": "ties", "x": rng.integers(0, 4, 5000) * 1.5}),
+        pd.DataFrame({"k": "spike", "x": np.r_[np.zeros(3000), rng.normal(size=2000)]}), pd.DataFrame({"k": "few", "x": [3.0, 1.0, np.nan]}),
+        pd.DataFrame({"k": "none", "x": [np.nan]}),
+    ])
+    probs = {"a": 0.0, "b": 0.05, "c": 0.3, "d": 0.5, "e": 0.999, "f": 1.0}
+    df = spark.createDataFrame(pdf).withColumn("x", F.nanvl("x", F.lit(None))).repartition(7)
+    got = {r["k"]: r for r in exact_quantiles(df, ["k"], "x", probs, together).collect()}
+    want = pdf.dropna().groupby("k").x.quantile(list(probs.values())).unstack()
+    assert set(got) == {"wide", "ties", "spike", "few"}
+    for k in got:
+        np.testing.assert_allclose([got[k][n] for n in probs], want.loc[k], rtol=1e-12, atol=1e-15)
+    assert exact_quantiles(df.limit(0), ["k"], "x", probs).collect() == []
