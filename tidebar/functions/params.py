@@ -30,6 +30,7 @@ ATR_SPIKE = 1.5
 # --- fixed values: symbol -> label width, confidence threshold --------------------------
 LABEL_ATR_MULT = {"BTCUSDT": 3.0, "ETHUSDT": 3.0, "BNBUSDT": 2.5, "SOLUSDT": 2.8}
 CONF_THRESHOLD = {"BTCUSDT": 0.42, "ETHUSDT": 0.38, "BNBUSDT": 0.42, "SOLUSDT": 0.38}
+CONF_DEFAULT = 0.42
 
 # --- fixed values: symbol -> exchange lot step ------------------------------------------
 LOT_STEP = {

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebar.functions.params import CONF_DEFAULT, CONF_THRESHOLD
+from tidebar.functions.scalar import sql_lookup
 from tidebar.operators import features as ft
 from tidebar.operators import labels as lb
 from tidebar.operators import regime as rg
 from tidebar.operators import signals as sg
 from tidebar.operators.indicators import chunked_indicators, with_indicators
 from tidebar.operators.timeline import core_rows, rolling
+from tidebar.session import checkpoint_folder
 from tidebar.sources import bars as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -213,6 +217,28 @@ def series_queries() -> dict[str, Query]:
 
     q["signals_entry_gate"] = entry_gate
 
+    def symbol_gate(s: SparkSession, d: str) -> DataFrame:
+        """Thresholds of the symbols themselves; the events' symbols stand for four known ones and another."""
+        known = "map('click', 'BTCUSDT', 'error', 'ETHUSDT', 'purchase', 'BNBUSDT', 'signup', 'SOLUSDT')"
+        df = hybrid_signals(s, d, with_regime=True).withColumn("coin", F.expr(f"coalesce({known}[symbol], symbol)"))
+        df = sg.signal_gate(df, sql_lookup(CONF_THRESHOLD, "coin", CONF_DEFAULT))
+        return df.groupBy("coin", F.coalesce("signal_skip", F.lit("enter")).alias("outcome")).agg(
+            F.count(F.lit(1)).alias("n"))
+
+    q["signals_symbol_gate"] = symbol_gate
+
+    def landed(s: SparkSession, d: str) -> DataFrame:
+        """Series that are expected but not among the files of a landing folder, and what the others hold."""
+        folder = f"{checkpoint_folder(s).rstrip('/')}/landing-{uuid.uuid4().hex}"
+        bars = src.event_bars(s, d).unionByName(src.event_bars(s, d, "4h"))
+        src.write_bars(bars.filter("symbol <> 'signup' AND NOT (symbol = 'view' AND timeframe = '4h')"), folder)
+        wanted = src.table(s, d, "events").select(F.col("event_type").alias("symbol")).distinct().crossJoin(
+            F.broadcast(s.createDataFrame([("1h",), ("4h",)], "timeframe string")))
+        files = src.landed_files(s, folder)
+        return src.missing_files(wanted, files).selectExpr("symbol", "timeframe", "missing", "files > 0 AS landed", "bytes > 0 AS filled")
+
+    q["bars_landed_files"] = landed
+
     def ranges(s: SparkSession, d: str) -> DataFrame:
         df = chunked_indicators(src.event_bars(s, d))
         df = df.selectExpr("*", f"atr / {rolling('avg(atr)', 20, 13)} AS atr_ratio_20")

@@ -228,6 +228,11 @@ def trade_queries() -> dict[str, Query]:
 
     q["positions_reconciled"] = reconciled
 
+    q["equity_annualised"] = lambda s, d: lg.equity_metrics(hourly_equity(s, d), periods=8760).selectExpr(
+        "symbol", "n_bars", "least(annualized_return_pct, 1e6D) AS annualized_return_pct",
+        "least(calmar_ratio, 1e6D) AS calmar_ratio", "initial_capital", "total_return_x").selectExpr(
+        "symbol", "n_bars", *rounded("annualized_return_pct calmar_ratio initial_capital", 2), *rounded("total_return_x", 6))
+
     # --- risk ---------------------------------------------------------------------------
     q["risk_rolling_win_rate"] = lambda s, d: rk.rolling_win_rate(order_trades(s, d)).selectExpr(
         "symbol", "side", "trade_id", "n_recent", *rounded("win_rate threshold_adj"))
@@ -243,6 +248,7 @@ def trade_queries() -> dict[str, Query]:
         return df.groupBy("symbol", "side", "blocked").agg(F.count(F.lit(1)).alias("n"))
 
     q["risk_blocked_entries"] = blocked
+    q["risk_loss_blocks"] = lambda s, d: rk.loss_blocks(order_trades(s, d))
     q["risk_session_loss"] = lambda s, d: rk.session_loss(
         order_trades(s, d).withColumn("session", F.to_date("ts")), balance=10_000_000.0
     ).selectExpr("symbol", "trade_id", *rounded("open_loss", 3), "limit_hit")

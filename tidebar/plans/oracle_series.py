@@ -313,6 +313,10 @@ SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, regime, round(CAST(0.55
 SELECT {KEY}, {r('gate_atr_ratio')}, CASE WHEN gate_atr_ratio < 0.9 THEN 'too quiet' WHEN gate_atr_ratio > 2.5 THEN 'extreme spike' WHEN adx > 0 AND adx < 16 THEN 'adx too low' WHEN m20 IS NOT NULL AND atr > 0 AND abs(close - c3) < 0.25 * atr THEN 'no momentum' END AS market_skip FROM s""",
         "signals_entry_gate": f"""{head}, {REGIME}, {VOTES.replace('SRC', 'reg')}, {HYBRID}, gate AS (SELECT symbol, CASE WHEN signal = 'HOLD' THEN 'hold' WHEN confidence < 0.45 THEN 'low confidence' WHEN regime = 'TRENDING' AND agreement <> 'AGREE' AND confidence < 0.65 THEN 'trend needs agreement' ELSE 'enter' END AS outcome, regime FROM hyb)
 SELECT symbol, regime, outcome, count(*) AS n FROM gate GROUP BY 1, 2, 3""",
+        "signals_symbol_gate": f"""{head}, {REGIME}, {VOTES.replace('SRC', 'reg')}, {HYBRID}, named AS (SELECT *, CASE symbol WHEN 'click' THEN 'BTCUSDT' WHEN 'error' THEN 'ETHUSDT' WHEN 'purchase' THEN 'BNBUSDT' WHEN 'signup' THEN 'SOLUSDT' ELSE symbol END AS coin FROM hyb),
+thr AS (SELECT *, CASE WHEN coin IN ('ETHUSDT', 'SOLUSDT') THEN 0.38 ELSE 0.42 END AS t FROM named)
+SELECT coin, CASE WHEN signal = 'HOLD' THEN 'hold' WHEN confidence < t THEN 'low confidence' WHEN regime = 'TRENDING' AND agreement <> 'AGREE' AND confidence < t + 0.2 THEN 'trend needs agreement' ELSE 'enter' END AS outcome, count(*) AS n FROM thr GROUP BY 1, 2""",
+        "bars_landed_files": "SELECT symbol, timeframe, symbol = 'signup' OR (symbol = 'view' AND timeframe = '4h') AS missing, NOT (symbol = 'signup' OR (symbol = 'view' AND timeframe = '4h')) AS landed, NOT (symbol = 'signup' OR (symbol = 'view' AND timeframe = '4h')) AS filled FROM (SELECT DISTINCT event_type AS symbol FROM events), (SELECT unnest(['1h', '4h']) AS timeframe)",
         "signals_range_setup": f"{head}, {RANGE} SELECT {KEY}, CASE WHEN lq >= 0.55 THEN 'LONG' WHEN sq >= 0.55 THEN 'SHORT' ELSE 'NONE' END AS range_direction, round(CASE WHEN lq >= 0.55 THEN lq WHEN sq >= 0.55 THEN sq ELSE 0 END, 4) + 0.0 AS range_quality, CASE WHEN lq >= 0.55 OR sq >= 0.55 THEN CAST(1.5 AS DOUBLE) END AS range_sl_mult FROM zc",
     }
     return q

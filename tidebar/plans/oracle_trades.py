@@ -262,6 +262,11 @@ SELECT symbol, state, CASE WHEN state = 'B' THEN CASE WHEN sg * (price - tp) >=
         "risk_rolling_win_rate": f"WITH {JOURNAL}, {ROLL20} SELECT symbol, side, trade_id, n_recent, round(wr, 5) + 0.0 AS win_rate, round(adj, 5) + 0.0 AS threshold_adj FROM ka",
         "risk_recalibration": f"WITH {JOURNAL}, {ROLL20} SELECT symbol, side, arg_max(n_recent, rn) AS n_recent, round(arg_max(wr, rn), 5) + 0.0 AS win_rate, round(arg_max(adj, rn), 5) + 0.0 AS threshold_adj FROM ka GROUP BY 1, 2",
         "risk_streaks": f"WITH {JOURNAL}, {STREAK} SELECT symbol, side, trade_id, streak FROM sb",
+        "risk_loss_blocks": f"WITH {JOURNAL}, {STREAK} SELECT symbol, side, exit_bar AS block_from, exit_bar + 8 AS block_to FROM sb WHERE streak <= -3",
+        "equity_annualised": f"""{EQ}, am AS (SELECT symbol, count(*) AS n_bars, arg_min(equity, bar_ix) AS initial_capital, arg_max(equity, bar_ix) AS final_capital, min(drawdown) * 100 AS mdd FROM dx2 GROUP BY 1),
+an AS (SELECT *, final_capital / initial_capital AS total_return_x, power(final_capital / initial_capital, 1.0 / greatest(n_bars / 8760.0, 1e-6)) - 1 AS ann FROM am),
+ao AS (SELECT *, least(ann * 100, 1e6) AS annualized_return_pct, least(ann / (abs(mdd / 100) + 1e-10), 1e6) AS calmar_ratio FROM an)
+SELECT symbol, n_bars, {r('annualized_return_pct calmar_ratio initial_capital', 2)}, {r('total_return_x', 6)} FROM ao""",
         "risk_blocked_entries": f"""WITH {JOURNAL}, {STREAK}, cl AS (SELECT DISTINCT symbol, side, exit_bar + i AS pos FROM sb, (SELECT unnest(range(8)) AS i) WHERE streak <= -9)
 SELECT j.symbol, j.side, cl.pos IS NOT NULL AS blocked, count(*) AS n FROM j LEFT JOIN cl ON j.symbol = cl.symbol AND j.side = cl.side AND j.exit_bar = cl.pos GROUP BY 1, 2, 3""",
         "risk_session_loss": f"""WITH {JOURNAL}, a AS (SELECT *, sum(-pnl) OVER w AS s FROM j WINDOW w AS (PARTITION BY symbol, ts::DATE ORDER BY ts, trade_id ROWS UNBOUNDED PRECEDING)),

@@ -256,6 +256,36 @@ def inventory(bars: DataFrame, asof: Column, stale_days: int = 2) -> DataFrame:
     )
 
 
+def landed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of a bar folder as a table: symbol, timeframe, path, bytes, modified; no file is opened.
+
+    Spark lists the folder; ``write_bars`` names the series in the folders of its files.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.parquet").load(folder)
+    part = r"symbol=([^/]*)/timeframe=([^/]*)/"
+    return files.select(
+        F.url_decode(F.regexp_extract("path", part, 1)).alias("symbol"),
+        F.url_decode(F.regexp_extract("path", part, 2)).alias("timeframe"),
+        "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
+def missing_files(wanted: DataFrame, files: DataFrame, asof: Column | None = None, stale_days: int = 2) -> DataFrame:
+    """Each wanted series (symbol, timeframe) with its number of files, their bytes, and whether it is to be fetched.
+
+    A series is ``missing`` without a file that holds anything, or with ``asof`` where its newest file is older
+    than ``stale_days``.
+    """
+    have = files.groupBy("symbol", "timeframe").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.max("modified").alias("modified"))
+    df = wanted.join(have, ["symbol", "timeframe"], "left").fillna(0, ["files", "bytes"])
+    missing = F.col("bytes") == 0
+    if asof is not None:
+        age = F.unix_seconds(asof) - F.unix_seconds("modified")
+        missing = missing | (age > stale_days * 86400)
+    return df.withColumn("missing", F.coalesce(missing, F.lit(True)))
+
+
 def roll_up(bars: DataFrame, timeframe: str) -> DataFrame:
     """Coarser bars from finer ones."""
     seconds = TIMEFRAME_SECONDS[timeframe]
