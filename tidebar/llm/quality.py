@@ -53,6 +53,9 @@ class Settings:
     seed: int = 5
 
 
+_ROW = re.compile(r"(.)\1{3,}", re.DOTALL)
+
+
 class Buckets(dict):
     """token -> bucket, from its text in lower case and the way it is written."""
 
@@ -65,12 +68,15 @@ class Buckets(dict):
             kind = "u" if token.isupper() and len(token) > 1 else "l"
         elif token[0].isalnum():
             kind = "n"
-        else:  # of a run of signs its length tells little beyond three
-            kind, token = "s", token[:3]
-        value = zlib.crc32(f"{kind}{token.lower()[:40]}".encode()) % self._n
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[token] = value
+        else:
+            kind = "s"
+        # of a sign that comes in a row the length tells little beyond three
+        written = _ROW.sub(r"\1\1\1", token) if kind == "s" else token.lower()
+        value = zlib.crc32(f"{kind}{written}".encode()) % self._n
+        if len(token) < 100:
+            if len(self) > REMEMBERED:
+                self.clear()
+            self[token] = value
         return value
 
 
