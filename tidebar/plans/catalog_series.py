@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.params import CONF_DEFAULT, CONF_THRESHOLD
 from tidebar.functions.scalar import sql_lookup
+from tidebar.operators import evaluation as ev
 from tidebar.operators import features as ft
 from tidebar.operators import labels as lb
 from tidebar.operators import regime as rg
@@ -18,6 +19,7 @@ from tidebar.operators.indicators import chunked_indicators, with_indicators
 from tidebar.operators.timeline import core_rows, rolling
 from tidebar.session import checkpoint_folder
 from tidebar.sources import bars as src
+from tidebar.sources import journal as jr
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -226,6 +228,12 @@ def series_queries() -> dict[str, Query]:
             F.count(F.lit(1)).alias("n"))
 
     q["signals_symbol_gate"] = symbol_gate
+    q["records_signals"] = lambda s, d: jr.signal_records(
+        hybrid_signals(s, d, with_regime=True).withColumnRenamed("regime_atr_ratio", "atr_ratio")).selectExpr(
+        "symbol", "signal", "signal_type", "regime", "signaled_at", *rounded("confidence ema_long ema_short", 2),
+        *rounded("adx atr_ratio", 4), *rounded("price_at_signal"))
+    q["bars_first_rows"] = lambda s, d: ev.first_rows(src.numbered(src.event_bars(s, d)), 200).selectExpr(
+        "symbol", stamp(), *rounded("close"))
 
     def landed(s: SparkSession, d: str) -> DataFrame:
         """Series that are expected but not among the files of a landing folder, and what the others hold."""
@@ -263,5 +271,5 @@ def hybrid_signals(s: SparkSession, d: str, with_regime: bool = False) -> DataFr
     df = rg.confirmed_regime(rg.raw_regime_columns(df)) if with_regime else core_rows(df)
     keep = ["symbol", "timeframe", "ts", "pos", "open", "high", "low", "close", "volume", "atr",
             "adx", "tech_signal", "tech_long", "tech_short",
-            *(["raw_regime", "regime"] if with_regime else [])]
+            *(["raw_regime", "regime", "regime_atr_ratio"] if with_regime else [])]
     return sg.smooth(sg.hybrid(df.selectExpr(*keep, *STAND_IN_MODEL)))

@@ -443,6 +443,12 @@ def trade_queries() -> dict[str, Query]:
             F.max("closed_at").alias("last_close"))
 
     q["records_trade_close"] = closes
+    q["records_trade_open"] = lambda s, d: jr.trade_open_records(hourly_trades(s, d).selectExpr(
+        "symbol", "CASE WHEN direction = 1 THEN 'LONG' ELSE 'SHORT' END AS side", "entry_price", "quantity", "leverage",
+        "entry_price * (1 + direction * 0.02D) AS take_profit", "entry_price * (1 - direction * 0.01D) AS stop_loss",
+        "confidence", "exit_reason AS regime", "ts")).selectExpr(
+        "symbol", "side", "leverage", "regime", "opened_at", *rounded("entry_price quantity tp_price sl_price", 7),
+        *rounded("confidence", 2))
 
     words = HEADLINE_WORDS
 

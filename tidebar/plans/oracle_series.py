@@ -313,6 +313,9 @@ SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, regime, round(CAST(0.55
 SELECT {KEY}, {r('gate_atr_ratio')}, CASE WHEN gate_atr_ratio < 0.9 THEN 'too quiet' WHEN gate_atr_ratio > 2.5 THEN 'extreme spike' WHEN adx > 0 AND adx < 16 THEN 'adx too low' WHEN m20 IS NOT NULL AND atr > 0 AND abs(close - c3) < 0.25 * atr THEN 'no momentum' END AS market_skip FROM s""",
         "signals_entry_gate": f"""{head}, {REGIME}, {VOTES.replace('SRC', 'reg')}, {HYBRID}, gate AS (SELECT symbol, CASE WHEN signal = 'HOLD' THEN 'hold' WHEN confidence < 0.45 THEN 'low confidence' WHEN regime = 'TRENDING' AND agreement <> 'AGREE' AND confidence < 0.65 THEN 'trend needs agreement' ELSE 'enter' END AS outcome, regime FROM hyb)
 SELECT symbol, regime, outcome, count(*) AS n FROM gate GROUP BY 1, 2, 3""",
+        "records_signals": f"""{head}, {REGIME}, {VOTES.replace('SRC', 'reg')}, {HYBRID} SELECT symbol, lower(signal) AS signal, CASE WHEN agreement = 'AGREE' THEN 'AGREE' ELSE 'SPLIT' END AS signal_type, regime, strftime(ts, '%Y-%m-%d %H:%M:%S') AS signaled_at,
+  round(confidence, 2) + 0.0 AS confidence, round(ema_long, 2) + 0.0 AS ema_long, round(ema_short, 2) + 0.0 AS ema_short, round(adx, 4) + 0.0 AS adx, round(regime_atr_ratio, 4) + 0.0 AS atr_ratio, round(close, 5) + 0.0 AS price_at_signal FROM hyb""",
+        "bars_first_rows": f"WITH {bars()}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM bars) SELECT {KEY}, round(close, 5) + 0.0 AS close FROM n WHERE k <= 200",
         "signals_symbol_gate": f"""{head}, {REGIME}, {VOTES.replace('SRC', 'reg')}, {HYBRID}, named AS (SELECT *, CASE symbol WHEN 'click' THEN 'BTCUSDT' WHEN 'error' THEN 'ETHUSDT' WHEN 'purchase' THEN 'BNBUSDT' WHEN 'signup' THEN 'SOLUSDT' ELSE symbol END AS coin FROM hyb),
 thr AS (SELECT *, CASE WHEN coin IN ('ETHUSDT', 'SOLUSDT') THEN 0.38 ELSE 0.42 END AS t FROM named)
 SELECT coin, CASE WHEN signal = 'HOLD' THEN 'hold' WHEN confidence < t THEN 'low confidence' WHEN regime = 'TRENDING' AND agreement <> 'AGREE' AND confidence < t + 0.2 THEN 'trend needs agreement' ELSE 'enter' END AS outcome, count(*) AS n FROM thr GROUP BY 1, 2""",

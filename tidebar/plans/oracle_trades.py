@@ -318,6 +318,8 @@ SELECT symbol, bars, days, CAST(0 AS BIGINT) AS null_values, bad_prices, CAST(0
   round(sum(CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1.5 END)::DOUBLE, 2) AS pnl_r, CAST(0 AS DOUBLE) AS confidence FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 3 < 2 GROUP BY 1, 2""",
         "journal_retrain_due": f"""WITH {JOURNAL}, t AS (SELECT symbol, count(*) AS n_trades, CASE WHEN symbol = '5-LOW' THEN 9999 WHEN symbol = '1-URGENT' THEN 2 ELSE CAST(floor((epoch(TIMESTAMP '2001-08-12') - epoch(max(ts))) / 86400) AS BIGINT) END AS days_since FROM j GROUP BY 1)
 SELECT symbol, days_since, n_trades, days_since >= 7 AND n_trades >= 30 AS due, CASE WHEN days_since < 7 THEN 'not due' WHEN n_trades < 30 THEN 'too few trades' ELSE 'scheduled' END AS reason FROM t""",
+        "records_trade_open": f"""{LED} SELECT symbol, CASE WHEN direction = 1 THEN 'long' ELSE 'short' END AS side, 10 AS leverage, exit_reason AS regime, strftime(ts, '%Y-%m-%d %H:%M:%S') AS opened_at, round(entry_price, 7) + 0.0 AS entry_price, round(quantity, 7) + 0.0 AS quantity,
+  round(entry_price * (1 + direction * 0.02), 7) + 0.0 AS tp_price, round(entry_price * (1 - direction * 0.01), 7) + 0.0 AS sl_price, round(confidence, 2) + 0.0 AS confidence FROM led""",
         "records_trade_close": f"WITH {JOURNAL} SELECT symbol, side, count(*) AS n, max(round(greatest(-9999, least(9999, pnl / 7)), 4)) AS max_r, min(round(greatest(-9999, least(9999, pnl / 7)), 4)) AS min_r, round(sum(round(pnl - abs(pnl) / 1000, 4)), 2) AS net_pnl, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_close FROM j GROUP BY 1, 2",
         "news_headlines": f"WITH {news('source')} SELECT doc_id, news_state, news_word FROM hl",
         "news_default_words": f"WITH {news('', AVOID_WORDS, CAUTION_WORDS, 'lower(text)')} SELECT news_state, coalesce(news_word, '') AS news_word, count(*) AS n FROM hl GROUP BY 1, 2",
