@@ -258,17 +258,18 @@ def ewm(
         since += [f"pos - last(CASE WHEN {has} THEN pos END, true) {before} AS __g_{out}",
                   f"count(CASE WHEN {has} THEN 1 END) {by_chunk} AS __n_{out}"]
         left = f"exp(-__g_{out} * {num(decay)})"
-        decays += [f"CASE WHEN {has} AND __g_{out} IS NOT NULL THEN __g_{out} * {num(decay)} + ln({left} + {num(alpha)}) "
-                   f"ELSE double(0) END AS __d_{out}",
-                   f"CASE WHEN {has} THEN CASE WHEN __g_{out} IS NULL THEN {x} ELSE {x} * {num(alpha)} / ({left} + {num(alpha)}) END "
-                   f"END AS __x_{out}"]
-        ages.append(f"sum(__d_{out}) {frame} AS __a_{out}")
+        # what a row decays more or less than one step; rows without gaps add exact zeros
+        decays += [f"CASE WHEN NOT {has} THEN {num(-decay)} WHEN __g_{out} > 1 THEN (__g_{out} - 1) * {num(decay)} "
+                   f"+ ln({left} + {num(alpha)}) ELSE double(0) END AS __d_{out}",
+                   f"CASE WHEN {has} THEN CASE WHEN __g_{out} IS NULL THEN {x} WHEN __g_{out} = 1 THEN {x} * {num(alpha)} "
+                   f"ELSE {x} * {num(alpha)} / ({left} + {num(alpha)}) END END AS __x_{out}"]
+        ages.append(f"{in_chunk if wide else in_block} * {num(decay)} + sum(__d_{out}) {frame} AS __a_{out}")
         sums.append(f"sum(__x_{out} * exp(__a_{out})) {frame} * exp(-__a_{out}) AS __s_{out}")
         value = f"__s_{out}"
         if not wide:
             carries.append(
                 f"last(CASE WHEN {ends} THEN coalesce(__s_{out}, double(0)) END, true) {before} AS __p_{out}")
-            value = f"coalesce(__s_{out}, double(0)) + coalesce(__p_{out}, double(0)) * exp(-__a_{out})"
+            value = f"coalesce(__s_{out}, double(0)) + coalesce(__p_{out}, double(0)) * exp(-__a_{out} - {num(decay)})"
         finals.append(f"CASE WHEN __n_{out} >= {max(warm, 1)} THEN {value} END AS {out}")
     if gap_specs:
         df = df.selectExpr("*", *since).selectExpr("*", *decays).selectExpr("*", *ages)
