@@ -7,6 +7,7 @@ from helpers import walk
 from tidebar.operators import signals as sg
 from tidebar.streaming import bars as sb
 from tidebar.streaming import eventtime as et
+from tidebar.streaming import state as st
 
 DAY = pd.Timedelta(days=1)
 START = pd.Timestamp("2024-01-01")
@@ -140,3 +141,59 @@ def test_signals_continue_from_stored_history(spark, tmp_path):
     np.testing.assert_allclose(got.ema_long, want.ema_long, rtol=1e-9)
     np.testing.assert_allclose(got.ema_short, want.ema_short, rtol=1e-9)
     assert got.regime.tolist() == want.regime.tolist()
+
+
+class Cell:
+    """Value or map state in memory that counts its calls."""
+
+    def __init__(self):
+        self.data, self.calls = {}, 0
+
+    def exists(self):
+        return bool(self.data)
+
+    def get(self):
+        return self.data.get(None)
+
+    def update(self, value):
+        self.updateValue(None, value)
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.data[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.data[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.data[key]
+
+    def clear(self):
+        self.data.clear()
+
+
+class Handle:
+    def __init__(self):
+        self.cells, self.timers = {}, []
+
+    def getMapState(self, name, *schemas):
+        return self.cells.setdefault(name, Cell())
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_rows_of_a_batch_are_held_without_their_strings_and_leave_in_slices():
+    parts = [pd.DataFrame({"symbol": "A", "side": "long", "ts": START + i * DAY, "trade_id": range(9000), "won": True, "pnl_net": 1.0})
+             for i in (2, 0, 1)]
+    state, handle = st.TradeState(), Handle()
+    handle.getListState = lambda *a: type("Rows", (Cell,), {"put": Cell.update})()
+    state.init(handle)
+    out = list(state.handleInputRows(("A", "long"), iter(parts), None))
+    assert max(map(len, out)) <= st.SLICE and sum(map(len, out)) == 27_000
+    assert pd.concat(out).trade_id.tolist() == [*range(9000)] * 3
+    assert all("symbol" not in x for x in st.ordered(iter(parts), ["ts", "won"], ["ts"]))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Rows that are taken from a batch and emitted at once.
+SLICE = 10_000
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SPANS = (9, 21, 50)
 
@@ -21,10 +23,18 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
-def ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """All rows of one key in this micro-batch, in time order."""
-    parts = list(rows)
-    return pd.concat(parts).sort_values(by) if parts else pd.DataFrame()
+def ordered(rows: Iterator[pd.DataFrame], columns: list[str], by: list[str]) -> Iterator[pd.DataFrame]:
+    """Some columns of all rows of one key in this micro-batch, in time order, ``SLICE`` rows at a time.
+
+    Only these columns are held, a few bytes a row; what a row emits leaves with its slice.
+    """
+    parts = [pdf[columns] for pdf in rows]
+    pdf = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
+    parts.clear()
+    if len(pdf):
+        pdf = pdf.sort_values(by)
+    for lo in range(0, len(pdf), SLICE):
+        yield pdf.iloc[lo : lo + SLICE]
 
 
 class AverageState(StatefulProcessor):
@@ -35,16 +45,16 @@ class AverageState(StatefulProcessor):
             "averages", ", ".join(f"e{n} double" for n in SPANS))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = ordered(rows, ["ts"])
         state = list(self.value.get()) if self.value.exists() else None
-        seen = []
-        for close in pdf["close"]:
-            state = [close] * len(SPANS) if state is None else [
-                e + 2.0 / (n + 1) * (close - e) for e, n in zip(state, SPANS)]
-            seen.append(state)
+        for pdf in ordered(rows, ["symbol", "ts", "close"], ["ts"]):
+            seen = []
+            for close in pdf["close"]:
+                state = [close] * len(SPANS) if state is None else [
+                    e + 2.0 / (n + 1) * (close - e) for e, n in zip(state, SPANS)]
+                seen.append(state)
+            out = pd.DataFrame(seen, columns=[f"ema_{n}" for n in SPANS])
+            yield pd.concat([pdf.reset_index(drop=True), out], axis=1)
         self.value.update(tuple(float(x) for x in state))
-        out = pd.DataFrame(seen, columns=[f"ema_{n}" for n in SPANS])
-        yield pd.concat([pdf[["symbol", "ts", "close"]].reset_index(drop=True), out], axis=1)
 
     def close(self) -> None:
         pass
@@ -58,22 +68,23 @@ class SignalState(StatefulProcessor):
             "signal", "ema_long double, ema_short double, last_raw string, regime string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = ordered(rows, ["ts"])
         el, es, last, regime = (
             self.value.get() if self.value.exists() else (None, None, None, "RANGE"))
-        out = []
-        for r in pdf.itertuples():
-            hold = max(0.0, 1.0 - r.raw_long - r.raw_short)
-            if el is None:
-                el, es = r.raw_long, r.raw_short
-            elif r.raw_signal != "HOLD" and max(r.raw_long, r.raw_short) > hold:
-                el, es = 0.7 * r.raw_long + 0.3 * el, 0.7 * r.raw_short + 0.3 * es
-            if r.raw_regime == last:
-                regime = last
-            last = r.raw_regime
-            out.append((r.symbol, r.ts, float(el), float(es), regime))
+        columns = ["symbol", "ts", "raw_long", "raw_short", "raw_signal", "raw_regime"]
+        for pdf in ordered(rows, columns, ["ts"]):
+            out = []
+            for r in pdf.itertuples():
+                hold = max(0.0, 1.0 - r.raw_long - r.raw_short)
+                if el is None:
+                    el, es = r.raw_long, r.raw_short
+                elif r.raw_signal != "HOLD" and max(r.raw_long, r.raw_short) > hold:
+                    el, es = 0.7 * r.raw_long + 0.3 * el, 0.7 * r.raw_short + 0.3 * es
+                if r.raw_regime == last:
+                    regime = last
+                last = r.raw_regime
+                out.append((r.symbol, r.ts, float(el), float(es), regime))
+            yield pd.DataFrame(out, columns=["symbol", "ts", "ema_long", "ema_short", "regime"])
         self.value.update((float(el), float(es), last, regime))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "ema_long", "ema_short", "regime"])
 
     def close(self) -> None:
         pass
@@ -89,20 +100,20 @@ class TradeState(StatefulProcessor):
         self.money = handle.getValueState("money", "losses int, to_recover double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = ordered(rows, ["ts", "trade_id"])
         recent = [r[0] for r in self.recent.get()] if self.recent.exists() else []
         losses, owed = self.money.get() if self.money.exists() else (0, 0.0)
-        out = []
-        for r in pdf.itertuples():
-            recent = (recent + [bool(r.won)])[-self.window:]
-            losses = 0 if r.won else losses + 1
-            owed = max(0.0, owed - r.pnl_net)
-            out.append((r.symbol, r.side, r.trade_id, sum(recent) / len(recent), len(recent),
-                        losses, losses >= 3, owed))
+        for pdf in ordered(rows, ["ts", "trade_id", "won", "pnl_net"], ["ts", "trade_id"]):
+            out = []
+            for r in pdf.itertuples():
+                recent = (recent + [bool(r.won)])[-self.window:]
+                losses = 0 if r.won else losses + 1
+                owed = max(0.0, owed - r.pnl_net)
+                out.append((*key, r.trade_id, sum(recent) / len(recent), len(recent),
+                            losses, losses >= 3, owed))
+            yield pd.DataFrame(out, columns=["symbol", "side", "trade_id", "win_rate", "n_recent",
+                                             "losses", "blocked", "to_recover"])
         self.recent.put([(w,) for w in recent])
         self.money.update((int(losses), float(owed)))
-        yield pd.DataFrame(out, columns=["symbol", "side", "trade_id", "win_rate", "n_recent",
-                                         "losses", "blocked", "to_recover"])
 
     def close(self) -> None:
         pass
