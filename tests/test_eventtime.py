@@ -187,6 +187,26 @@ class Handle:
         self.timers.append(at)
 
 
+def test_waiting_rows_cost_few_state_calls_and_leave_in_slices():
+    n, day = 45_000, 86_400_000
+    rng = random.Random(2)
+    at = [rng.randrange(0, 500) * day for _ in range(n)]
+    pdf = pd.DataFrame({"at": at, "trade_id": range(n), "side": rng.choices(["long", "short"], k=n), "pnl_net": rng.choices([-5.0, 4.0], k=n)})
+    clock, handle = et.TradeClock(), Handle()
+    clock.init(handle)
+    times = type("Times", (), {"getCurrentWatermarkInMs": lambda self: 400 * day})()
+    parts = [pdf.iloc[lo : lo + 9000] for lo in range(0, n, 9000)]
+    assert list(clock.handleInputRows(("A",), iter(parts), times)) == []
+    out = list(clock.handleExpiredTimer(("A",), times, None))
+    assert sum(c.calls for c in handle.cells.values()) < 50
+    assert len(out) > 2 and max(map(len, out)) < 21_000
+    closed = pd.concat(out).query("kind == 'CLOSE'")
+    early = pdf[pdf["at"] < 400 * day].sort_values(["at", "trade_id"])
+    assert closed.trade_id.astype(int).tolist() == early.trade_id.tolist()
+    assert handle.timers[-1] <= min(a for a in at if a >= 400 * day)
+    assert clock._woken().num_rows == n - len(early)
+
+
 def test_rows_of_a_batch_are_held_without_their_strings_and_leave_in_slices():
     parts = [pd.DataFrame({"symbol": "A", "side": "long", "ts": START + i * DAY, "trade_id": range(9000), "won": True, "pnl_net": 1.0})
              for i in (2, 0, 1)]

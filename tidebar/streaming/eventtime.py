@@ -6,22 +6,26 @@ ends, a loss that is written off, ...), which has a timer too and so happens wit
 gives the rows of the batch operators for all times before its watermark, whatever files came first, as long
 as no row is later than the delay.
 
-A key's state is a few numbers and the rows younger than the watermark. It can be started from a table that
+A key's state is a few numbers and the rows younger than the watermark. These wait packed, some thousands to an
+entry of a map state in Arrow's format, as a state call takes about as long for an entry as for a row. It can be started from a table that
 the batch operators made of stored history, so a restarted stream reads new rows only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidebar.streaming.state import use_rocksdb
+from tidebar.streaming.state import SLICE, use_rocksdb
 
 DAY_MS = 86_400_000
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
 
 
 class Waiting(StatefulProcessor):
@@ -39,8 +43,10 @@ class Waiting(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._waiting = handle.getListState("waiting", self.row)
+        self._packs = handle.getMapState("packs", "n bigint", "rows binary")
+        self._n_packs = handle.getValueState("n_packs", "n bigint")
         self._value = handle.getValueState("value", self.held)
+        self._schema = pa.schema([(c, ARROW[kind]) for c, kind in (x.split() for x in self.row.split(", "))])
 
     def step(self, key: tuple, value: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
         """The value after a row, and what the row emits."""
@@ -64,16 +70,15 @@ class Waiting(StatefulProcessor):
         for _, row in initialState.iterrows():
             value = self.first(row)
             self._value.update(value)
-            self._set_timer([], value)
+            self._set_timer(None, value)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in self.row.split(", ")]
         earliest = None
         for pdf in rows:
-            new = [tuple(_plain(v) for v in r) for r in pdf[names].itertuples(index=False)]
-            if new:
-                self._waiting.appendList(new)
-                at = min(r[0] for r in new)
+            new = pa.Table.from_arrays([pa.array(pdf[f.name], f.type, from_pandas=True) for f in self._schema], schema=self._schema)
+            if new.num_rows:
+                self._laid_by(new)
+                at = _earliest(new)
                 earliest = at if earliest is None else min(at, earliest)
         if earliest is not None:
             self._handle.registerTimer(earliest)
@@ -81,8 +86,13 @@ class Waiting(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = [tuple(r) for r in self._waiting.get()] if self._waiting.exists() else []
-        ready = sorted((r for r in rows if r[0] < now), key=lambda r: r[: self.order])
+        rest = self._woken()
+        early = pc.less(rest.column("at"), now)
+        ready, rest = rest.filter(early), rest.filter(pc.invert(early))
+        self._laid_by(rest)
+        least = _earliest(rest)
+        del rest, early
+        ready = ready.sort_by([(c, "ascending") for c in self._schema.names[: self.order]])
         value = tuple(self._value.get()) if self._value.exists() else self.start
         out: list[tuple] = []
 
@@ -92,33 +102,57 @@ class Waiting(StatefulProcessor):
                 value, new = self.fall_due(key, value)
                 out.extend(new)
 
-        for row in ready:
-            fall(row[0], strictly=False)
-            value, new = self.step(key, value, row)
-            out.extend(new)
+        for lo in range(0, ready.num_rows, SLICE):
+            for row in zip(*(c.to_pylist() for c in ready.slice(lo, SLICE).columns)):
+                fall(row[0], strictly=False)
+                value, new = self.step(key, value, row)
+                out.extend(new)
+            if len(out) >= SLICE:
+                yield self._emitted(out)
+                out.clear()
         fall(now, strictly=True)
-        rest = [r for r in rows if r[0] >= now]
-        if ready:
-            self._waiting.put(rest) if rest else self._waiting.clear()
         self._value.update(value)
-        self._set_timer(rest, value)
+        self._set_timer(least, value)
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in self.out.split(", ")])
+            yield self._emitted(out)
 
     def close(self) -> None:
         pass
 
-    def _set_timer(self, rest: Sequence[tuple], value: tuple) -> None:
-        times = [r[0] for r in rest] + [t for t in (self.due(value),) if t is not None]
+    def _emitted(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=[c.split()[0] for c in self.out.split(", ")])
+
+    def _set_timer(self, least: int | None, value: tuple) -> None:
+        times = [t for t in (least, self.due(value)) if t is not None]
         if times:
             self._handle.registerTimer(min(times))
 
-
-def _plain(v):
-    """Values as the state store takes them."""
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
-        return None
-    return v.item() if hasattr(v, "item") else v
+    # -- waiting rows ---------------------------------------------------------------------------------
+
+    def _laid_by(self, rows: pa.Table) -> None:
+        """Put rows into the state, ``SLICE`` of them in an entry."""
+        if not rows.num_rows:
+            return
+        n = self._n_packs.get()[0] if self._n_packs.exists() else 0
+        for batch in rows.combine_chunks().to_batches(max_chunksize=SLICE):
+            self._packs.updateValue((n,), (batch.serialize().to_pybytes(),))
+            n += 1
+        self._n_packs.update((n,))
+
+    def _woken(self) -> pa.Table:
+        """All waiting rows in their order of arrival, taken out of the state."""
+        found = []
+        for n in range(self._n_packs.get()[0] if self._n_packs.exists() else 0):
+            found.append(pa.ipc.read_record_batch(pa.py_buffer(bytes(self._packs.getValue((n,))[0])), self._schema))
+            self._packs.removeKey((n,))
+        self._n_packs.clear()
+        return pa.Table.from_batches(found, self._schema)
+
+
+def _earliest(rows: pa.Table) -> int | None:
+    if rows.column("at").null_count:
+        raise ValueError("a row without a time")
+    return pc.min(rows.column("at")).as_py()
 
 
 def in_time(rows: DataFrame, keys: Sequence[str], ts: str, delay: str, processor: Waiting,
