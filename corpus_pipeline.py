@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidebar.llm import bpe, mixing, nearcopies, pii, toxicity
 from tidebar.llm.catalog import VOCABULARY
-from tidebar.llm.common import new_folder, packed, recorded, remove, table, tuned, unpacked
+from tidebar.llm.common import hand_back, new_folder, packed, recorded, remove, table, tuned, unpacked
 
 TOXIC_FROM = 0.5
 _left: list[str] = []
@@ -32,6 +32,7 @@ def _stage(fn: Callable) -> Callable:
     def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         remove(spark, _left)
         _left.clear()
+        hand_back()  # the driver's, of the sample that the stage before learned from
         with recorded(_left):
             return fn(tuned(spark), docs, sf_dir)
 

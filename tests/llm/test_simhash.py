@@ -73,3 +73,19 @@ def test_groups(spark):
     want = plain_roots(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 3, ids)
     assert [big if r["component_id"] is None else r["component_id"] for r in rows] == want
     assert simhash.groups(empty_docs(spark)).count() == 0
+
+
+def test_rounds_of_components_broadcast_nothing(spark, monkeypatch):
+    """A small table would be broadcast; each of these stays in the driver's memory for a while."""
+    plans = []
+    keep = simhash.written
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(simhash, "written", noted)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20) if i != 9], "a long, b long")
+    found = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert found == {i: 0 if i < 10 else 10 for i in range(21) if i not in (0, 10)}
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)

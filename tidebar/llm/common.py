@@ -102,15 +102,20 @@ def batches(source: Iterable[pa.RecordBatch], names: Sequence[str]) -> Iterator[
             yield [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+def hand_back() -> None:
+    """Give memory that is free in this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not everywhere there is this C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """A function for ``mapInArrow`` that hands its memory back to the system at its end, as its worker lives on."""
 
     @functools.wraps(fn)
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(source)
-        pa.default_memory_pool().release_unused()
-        with suppress(OSError, AttributeError):  # not everywhere there is this C library
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        hand_back()
 
     return run
 

@@ -348,7 +348,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): each linked node with the smallest node it is connected to.
 
     Alternating large stars and small stars; every round is written to the shared folder, and the
-    rounds end when one changes nothing.
+    rounds end when one changes nothing. The joins are merges also where a side is small: a broadcast of each
+    round would stay in the driver's memory until its next full collection.
     """
     pairs = written(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(),
@@ -363,9 +364,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        joined = large.join(low.hint("merge"), "u")
         small = (
             joined.select(F.col("u"), F.col("m").alias("v"))
             .unionByName(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
