@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -106,6 +108,36 @@ def test_margins_survive_written_states(spark, monkeypatch):
     assert bo.boost(spark.createDataFrame(pdf), NAMES, cfg)[0].to_json() == a.to_json()
 
 
+def test_models_of_several_blocks_are_the_same(spark, monkeypatch):
+    pdf, cfg = rows(900), bo.BoostConfig(rounds=3, depth=3, bins=8, tolerance=-1.0)
+    pdf.loc[::9, "id"] = 5  # an id that repeats
+    whole = bo.boost(spark.createDataFrame(pdf), NAMES, cfg)
+    monkeypatch.setattr(bo, "SLICE", 70)
+    parts = bo.boost(spark.createDataFrame(pdf).repartition(3), NAMES, cfg)
+    assert {g: m.to_json() for g, m in parts.items()} == {g: m.to_json() for g, m in whole.items()}
+
+
+def test_forests_do_not_wait_for_the_boosting(spark, monkeypatch):
+    begun, fit, boost = threading.Event(), tr.RandomForestClassifier.fit, tr.boost
+
+    def fitted(*args):
+        begun.set()
+        return fit(*args)
+
+    def boosted(*args):
+        assert begun.wait(120)
+        return boost(*args)
+
+    monkeypatch.setattr(tr.RandomForestClassifier, "fit", fitted)
+    monkeypatch.setattr(tr, "boost", boosted)
+    pdf = rows(700, models=1).drop(columns=["id", "weight", "_tail", "fold"])
+    pdf["symbol"], pdf["row_ix"], pdf["close"] = "A", np.arange(700), 100.0 + np.arange(700) % 7
+    pdf["timeframe"], pdf["ts"] = "5m", pd.Timestamp("2024-01-01") + pd.to_timedelta(pdf.row_ix * 5, unit="min")
+    cfg = tr.EnsembleConfig(boost_rounds=3, boost_depth=2, forest_trees=3, forest_depth=3)
+    folds, _ = tr.walk_forward_ensemble(spark.createDataFrame(pdf), NAMES, cfg, n_splits=2)
+    assert [r["fold"] for r in folds.orderBy("fold").collect()] == [1, 2]
+
+
 def test_scores_and_storage(spark):
     pdf = rows(300, models=1)
     df = spark.createDataFrame(pdf)

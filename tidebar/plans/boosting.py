@@ -1,16 +1,16 @@
 """Three-class gradient boosting of several models at once (one for each fold, or fold and symbol).
 
-Features are binned once; a row of the state holds its bins and its margins. Every level of every round is one
-Spark job for the trees of all classes and all models together: tasks add up (gradient, hessian, rows) by
-(model, class, node, feature, bin), the sums of a node meet in one reducer, and only the best split of each
-node reaches the driver. So the number of jobs does not grow with the number of models, and what travels
-depends on nodes and bins and not on rows.
+Features are binned once and kept as blocks: the rows of a model in a task, feature by feature, with their margins.
+Every level of every round is one Spark job for the trees of all classes and all models together: tasks add up
+(gradient, hessian, rows) by (model, class, node, feature, bin), the sums of a node meet in one reducer where a
+model has several blocks, and only the best split of each node reaches the driver. So the number of jobs does
+not grow with the number of models, and what travels depends on nodes and bins and not on rows.
 
 Gradients are those of the softmax of all classes; they and the losses are added up as whole multiples of 2^-24, so
 a model is the same whatever the partitions and the order of the rows. A model ends when a round improves
 the loss of its held-out tail by less than a share of it, and keeps its rounds up to the best one.
 
-Margins are kept between rounds as a persisted frame whose lineage is cut every ``WRITE_EVERY`` rounds; a lost
+Blocks are kept between rounds as a persisted RDD that is checkpointed every ``WRITE_EVERY`` rounds; a lost
 partition is made again from the last written one.
 """
 
@@ -18,22 +18,23 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.session import cut_lineage
+from tidebar.session import checkpoint_folder, cut_lineage
 
 CLASSES = 3
 UNIT = float(1 << 24)
-WRITE_EVERY = 4
+WRITE_EVERY = 16
 #: Rows of a model that one task takes, about.
 SLICE = 50_000
-STATE = "g int, id long, y int, w double, tail boolean, bins binary, s0 double, s1 double, s2 double"
+BINNED = "g int, id long, y int, w double, tail boolean, bins binary"
 
 
 @dataclass(frozen=True)
@@ -181,119 +182,128 @@ def quantile_cuts(rows: DataFrame, features: list[str], bins: int) -> list[np.nd
     return [np.unique(np.array(q if q is not None else [], float)) for q in found]
 
 
-def _state(rows: DataFrame, features: list[str], cuts: list[np.ndarray]) -> DataFrame:
+def _binned(rows: DataFrame, features: list[str], cuts: list[np.ndarray]) -> DataFrame:
     packed = rows.select("g", "id", "y", "w", "tail", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x"))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             x = batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(features))
             own = [r.tobytes() for r in binned(x, cuts)]
-            zero = pa.array(np.zeros(batch.num_rows))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], pa.array(own, pa.binary()), zero, zero, zero],
-                ["g", "id", "y", "w", "tail", "bins", "s0", "s1", "s2"],
+                [*batch.columns[:5], pa.array(own, pa.binary())], ["g", "id", "y", "w", "tail", "bins"]
             )
 
-    return packed.mapInArrow(run, STATE)
+    return packed.mapInArrow(run, BINNED)
 
 
-def _columns(batch: pa.RecordBatch, width: int):
-    g, ids, y, w, tail = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-    bins = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(batch.num_rows, width)
-    margins = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (6, 7, 8)], axis=1)
-    return g, ids, y, w, tail.astype(bool), bins, margins
+@dataclass
+class Block:
+    """Rows of one model: what is learned from them, bins (feature, row) and margins (row, class)."""
+
+    g: int
+    ids: np.ndarray
+    y: np.ndarray
+    w: np.ndarray
+    tail: np.ndarray
+    bins: np.ndarray
+    margins: np.ndarray
+
+
+def _blocks(rows: DataFrame, width: int) -> RDD:
+    """One block for each model that a partition has rows of; a partition is a slice of a model, about."""
+
+    def pack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[tuple]] = {}
+        for batch in source:
+            g, ids, y, w, tail = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            bins = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(batch.num_rows, width)
+            for one in np.unique(g).tolist():
+                at = np.flatnonzero(g == one)
+                parts.setdefault(one, []).append((ids[at], y[at], w[at], tail[at].astype(bool), bins[at]))
+        for one, found in parts.items():
+            ids, y, w, tail, bins = (np.concatenate(x) for x in zip(*found, strict=True))
+            data = [x.tobytes() for x in (ids.astype(np.int64), y.astype(np.int32), w.astype(float), tail, bins.T)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([one], pa.int32()), *[pa.array([x], pa.binary()) for x in data]], ["g", "id", "y", "w", "tail", "bins"]
+            )
+
+    def unpack(r) -> Block:
+        ids, y, w, tail, bins = (
+            np.frombuffer(x, t) for x, t in zip(r[1:], (np.int64, np.int32, np.float64, np.bool_, np.uint8), strict=True)
+        )
+        return Block(r[0], ids, y, w, tail, bins.reshape(width, len(ids)), np.zeros((len(ids), CLASSES)))
+
+    return rows.mapInArrow(pack, "g int, id binary, y binary, w binary, tail binary, bins binary").rdd.map(unpack)
 
 
 def level_sums(margins, y, w, ids, bins, trees: list[Tree], level: int, round_: int, cfg: BoostConfig) -> np.ndarray:
-    """Sums by (class, node of the level, [gradient, hessian, rows], feature, bin) of rows that are learned from."""
-    width, first = bins.shape[1], (1 << level) - 1
-    out = np.zeros((CLASSES, 1 << level, 3, width * cfg.bins))
+    """Sums by (class, node of the level, [gradient, hessian, rows], feature, bin) of rows that are learned from.
+
+    ``bins``: (feature, row). A feature at a time, so that the sums being added to stay in the processor's cache.
+    """
+    width, first, nodes = bins.shape[0], (1 << level) - 1, 1 << level
+    out = np.zeros((CLASSES, nodes, 3, width, cfg.bins))
     use = sampled(ids, round_, cfg)
-    grad, hess = (x[use] for x in gradients(margins, y, w))
-    bins = bins[use]
-    places = np.arange(width) * cfg.bins + bins
+    grad, hess = (x[use].astype(np.float64) for x in gradients(margins, y, w))
+    bins = bins[:, use]
     for k, tree in enumerate(trees):
-        node = tree.nodes(bins, level) - first  # negative where a branch has ended before
+        node = tree.nodes(bins.T, level) - first  # negative where a branch has ended before
         here = np.flatnonzero(node >= 0)
         if not len(here):
             continue
-        index = (node[here, None] * (width * cfg.bins) + places[here]).ravel()
-        for c, x in enumerate((grad[here, k], hess[here, k], np.ones(len(here)))):
-            found = np.bincount(index, np.repeat(x.astype(np.float64), width), minlength=(1 << level) * width * cfg.bins)
-            out[k, :, c] += found.reshape(1 << level, -1)
-    return out
+        start, own = node[here] * cfg.bins, bins[:, here]
+        g, h = grad[here, k], hess[here, k]
+        for f in range(width):
+            index = start + own[f]
+            for c, x in enumerate((g, h, None)):
+                out[k, :, c, f] = np.bincount(index, x, minlength=nodes * cfg.bins).reshape(nodes, cfg.bins)
+    return out.reshape(CLASSES, nodes, 3, width * cfg.bins)
 
 
-def _level(state: DataFrame, live: dict[int, list[Tree]], width: int, level: int, round_: int, cfg: BoostConfig) -> list:
-    """The best split of every node of a level, and with level 0 the loss of each model's tail (class -1)."""
+def _level(state: RDD, live: dict[int, list[Tree]], width: int, level: int, round_: int, cfg: BoostConfig, alone: bool) -> list:
+    """(model, class, node, best split) for every node of a level, and with level 0 the loss of each model's tail (class -1).
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        lost: dict[int, np.ndarray] = {}
-        for batch in source:
-            g, ids, y, w, tail, bins, margins = _columns(batch, width)
-            for one in np.unique(g).tolist():
-                if one not in live:
-                    continue
-                at = np.flatnonzero((g == one) & ~tail)
-                found = level_sums(margins[at], y[at], w[at], ids[at], bins[at], live[one], level, round_, cfg)
-                sums[one] = sums[one] + found if one in sums else found
-                held = np.flatnonzero((g == one) & tail)
-                if level == 0 and len(held):
-                    p = softmax(margins[held])[np.arange(len(held)), y[held]]
-                    loss = np.array([np.rint(-np.log(np.maximum(p, 1e-15)) * w[held] * UNIT).sum(), np.rint(w[held] * UNIT).sum()])
-                    lost[one] = lost.get(one, 0) + loss
-        for one, found in sums.items():
-            for k in range(CLASSES):
-                for node in range(1 << level):
-                    if found[k, node, 2].any():
-                        yield row(one, k, node, found[k, node])
-        for one, loss in lost.items():
-            yield row(one, -1, 0, loss)
-
-    def row(g: int, k: int, node: int, sums: np.ndarray) -> pa.RecordBatch:
-        data = sums.astype(np.int64).tobytes()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([g], pa.int32()), pa.array([k], pa.int32()), pa.array([node], pa.int32()), pa.array([data])],
-            ["g", "k", "node", "sums"],
-        )
+    ``alone``: a model has one block, whose sums are those of the model.
+    """
 
-    def best(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("sums"))
-        k = table.column("k")[0].as_py()
+    def sums(block: Block) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
+        if block.g not in live:
+            return
+        at, held = np.flatnonzero(~block.tail), np.flatnonzero(block.tail)
+        found = level_sums(
+            block.margins[at], block.y[at], block.w[at], block.ids[at], block.bins[:, at], live[block.g], level, round_, cfg)
+        for k in range(CLASSES):
+            for node in range(1 << level):
+                if found[k, node, 2].any():
+                    yield (block.g, k, node), found[k, node].astype(np.int64)
+        if level == 0 and len(held):
+            p = softmax(block.margins[held])[np.arange(len(held)), block.y[held]]
+            lost = np.rint(-np.log(np.maximum(p, 1e-15)) * block.w[held] * UNIT).sum(), np.rint(block.w[held] * UNIT).sum()
+            yield (block.g, -1, 0), np.array(lost).astype(np.int64)
+
+    def best(node: tuple[tuple[int, int, int], np.ndarray]) -> tuple:
+        (g, k, at), total = node
         if k < 0:
-            found = (-1, 0, float(total[0] / total[1]) if total[1] else 0.0, 0.0, 0.0)
-        else:
-            found = best_split(total.reshape(3, width, cfg.bins), cfg)
-        names = ["feature", "bin", "value", "left", "right"]
-        return pa.table({c: table.column(c)[:1] for c in ("g", "k", "node")} | {
-            n: pa.array([v], pa.int32() if n in ("feature", "bin") else pa.float64()) for n, v in zip(names, found)
-        })
+            return g, k, at, (-1, 0, float(total[0] / total[1]) if total[1] else 0.0, 0.0, 0.0)
+        return g, k, at, best_split(total.reshape(3, width, cfg.bins), cfg)
 
-    return (
-        state.mapInArrow(run, "g int, k int, node int, sums binary").groupBy("g", "k", "node")
-        .applyInArrow(best, "g int, k int, node int, feature int, bin int, value double, left double, right double")
-        .collect()  # a short row for each node of the level
-    )
+    found = state.flatMap(sums)
+    if not alone:
+        found = found.reduceByKey(np.add, max(1, min(state.context.defaultParallelism, len(live) * CLASSES << level)))
+    return found.map(best).collect()  # a short row for each node of the level
 
 
-def _advanced(state: DataFrame, done: dict[int, list[Tree]], width: int, depth: int) -> DataFrame:
+def _advanced(state: RDD, done: dict[int, list[Tree]], depth: int) -> RDD:
     """The state with the trees of a round added to the margins."""
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            g, _, _, _, _, bins, margins = _columns(batch, width)
-            for one, trees in done.items():
-                at = np.flatnonzero(g == one)
-                if len(at):
-                    own = margins[at]
-                    add(own, trees, bins[at], depth)
-                    margins[at] = own
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:6], *[pa.array(np.ascontiguousarray(margins[:, k])) for k in range(CLASSES)]], batch.schema.names
-            )
+    def run(block: Block) -> Block:
+        if block.g not in done:
+            return block
+        margins = block.margins.copy()
+        add(margins, done[block.g], block.bins.T, depth)
+        return replace(block, margins=margins)
 
-    return state.mapInArrow(run, STATE)
+    return state.map(run)
 
 
 def boost(
@@ -312,13 +322,16 @@ def boost(
         F.col(model).cast("int").alias("g"), "id", F.col("label").cast("int").alias("y"), F.col("weight").cast("double").alias("w"),
         F.col("_tail").alias("tail"), *[F.col(f"`{c}`") for c in features],
     )
-    state = cut_lineage(_state(named, features, cuts), "boosting")
-    sizes = {r["g"]: r["n"] for r in state.groupBy("g").agg(F.count("*").alias("n")).collect()}
+    rows = cut_lineage(_binned(named, features, cuts), "boosting")
+    sizes = {r["g"]: r["n"] for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {}
     slices = max(1, -(-max(sizes.values()) // SLICE))
-    state = state.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(slices))).repartitionByRange(
-        len(sizes) * slices, "g", "_slice").drop("_slice").persist()
+    dealt = rows.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(slices))).repartitionByRange(
+        len(sizes) * slices, "g", "_slice").drop("_slice")
+    state = _blocks(dealt, len(features)).persist(StorageLevel.MEMORY_AND_DISK)
+    if not state.context.getCheckpointDir():
+        state.context.setCheckpointDir(checkpoint_folder(rows.sparkSession))
     width = len(features)
     models = {g: BoostedTrees(features, cuts, cfg.depth) for g in sizes}
     live, before = set(models), None
@@ -326,18 +339,18 @@ def boost(
         trees = {g: [Tree.empty(cfg.depth) for _ in range(CLASSES)] for g in live}
         for level in range(cfg.depth):
             split, first = False, (1 << level) - 1
-            for r in _level(state, trees, width, level, round_, cfg):
-                g, k, at = r["g"], r["k"], first + r["node"]
+            for r in _level(state, trees, width, level, round_, cfg, slices == 1):
+                g, k, at, (feature, cut, value, left, right) = r[0], r[1], first + r[2], r[3]
                 if k < 0:
-                    models[g].losses.append(r["value"])
+                    models[g].losses.append(value)
                     continue
                 tree = trees[g][k]
-                tree.feature[at], tree.bin[at] = r["feature"], r["bin"]
+                tree.feature[at], tree.bin[at] = feature, cut
                 if level == 0:
-                    tree.value[at] = r["value"]
-                if r["feature"] >= 0:
+                    tree.value[at] = value
+                if feature >= 0:
                     split = True
-                    tree.value[2 * at + 1], tree.value[2 * at + 2] = r["left"], r["right"]
+                    tree.value[2 * at + 1], tree.value[2 * at + 2] = left, right
             if level == 0:
                 if before is not None:
                     before.unpersist()
@@ -352,9 +365,9 @@ def boost(
             break
         for g in live:
             models[g].rounds.append(trees[g])
-        before, state = state, _advanced(state, {g: trees[g] for g in live}, width, cfg.depth)
-        state = cut_lineage(state, "boosting") if (round_ + 1) % WRITE_EVERY == 0 else state
-        state = state.persist()
+        before, state = state, _advanced(state, {g: trees[g] for g in live}, cfg.depth).persist(StorageLevel.MEMORY_AND_DISK)
+        if (round_ + 1) % WRITE_EVERY == 0:
+            state.checkpoint()
     state.unpersist()
     for one in models.values():
         if one.losses:

@@ -176,11 +176,13 @@ def boosted_members(marked: DataFrame, features: list[str], cfg: EnsembleConfig,
 
 
 def fit_ensemble(train: DataFrame, features: list[str], cfg: EnsembleConfig | None = None,
-                 by=("symbol",), order: str = "row_ix", boosted: BoostedTrees | None = None) -> Ensemble:
+                 by=("symbol",), order: str = "row_ix",
+                 boosted: BoostedTrees | Callable[[], BoostedTrees] | None = None) -> Ensemble:
     """Scale on the training rows only, fit both members with balanced class weights, and
     calibrate each on the chronological tail of the training rows.
 
-    ``boosted``: the boosting member, where it was trained together with those of other models.
+    ``boosted``: the boosting member, where it is trained together with those of other models, or a call that
+    waits for it; the other member is fitted meanwhile.
     """
     cfg = cfg or EnsembleConfig()
     rows = marked_rows(train, cfg, by, order).persist()
@@ -197,6 +199,7 @@ def fit_ensemble(train: DataFrame, features: list[str], cfg: EnsembleConfig | No
             featuresCol="_scaled", labelCol="label", weightCol="weight", minInstancesPerNode=5,
             numTrees=cfg.forest_trees, maxDepth=cfg.forest_depth, seed=cfg.seed,
         ).fit(scaler.transform(head).select("_scaled", "label", "weight"))
+        boosted = boosted() if callable(boosted) else boosted
         model = Ensemble(features, scaler, [("boosted", boosted, cfg.weights[0]),
                                             ("forest", forest, cfg.weights[1])], {})
         if cfg.calibration != "none":
@@ -288,18 +291,23 @@ def walk_forward_ensemble(frame: DataFrame, features: list[str], cfg: EnsembleCo
                           by=("symbol",), **folds) -> tuple[DataFrame, DataFrame]:
     """The ensemble over folds: boosting for all folds in common jobs, forests and calibration fold by fold.
 
-    Cut points come from the training rows of the first fold, which are past rows in every later one.
+    The boosting runs in a thread of its own while the forests are fitted; a fold waits for it before calibration. Cut points come from the training rows of the first fold, which are past rows in every later one.
     """
     cfg = cfg or EnsembleConfig()
 
-    def together(train: DataFrame) -> dict[int, BoostedTrees]:
-        marked = cut_lineage(marked_rows(train, cfg, [*by, "fold"]), "marked")
-        first = marked.agg(F.min("fold")).first()[0]
-        return boosted_members(marked, features, cfg, "fold", by, cut_rows=marked.filter(F.col("fold") == first))
+    pool = ThreadPoolExecutor(max_workers=1)
 
-    return walk_forward(
-        frame, lambda train, boosted: fit_ensemble(train, features, cfg, by, boosted=boosted),
-        lambda model, test: model.score(test), by=by, together=together, **folds)
+    def together(train: DataFrame) -> dict[int, Callable[[], BoostedTrees]]:
+        marked = cut_lineage(marked_rows(train, cfg, [*by, "fold"]), "marked")
+        present = [r[0] for r in marked.select("fold").distinct().collect()]
+        past = marked.filter(F.col("fold") == min(present))
+        found = pool.submit(boosted_members, marked, features, cfg, "fold", by, cut_rows=past)
+        return {fold: lambda fold=fold: found.result().get(fold) for fold in present}
+
+    with pool:
+        return walk_forward(
+            frame, lambda train, boosted: fit_ensemble(train, features, cfg, by, boosted=boosted),
+            lambda model, test: model.score(test), by=by, together=together, **folds)
 
 
 def train_symbol(frame: DataFrame, symbol: str, features: list[str],
