@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -36,6 +37,28 @@ def test_encoder_agrees_with_the_library(ranks, reference, spaced, monkeypatch):
     assert back == [t.encode() for t in [*TEXTS, ""]]
 
 
+def peak(fn, *args):
+    tracemalloc.start()
+    try:
+        return fn(*args), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_batch_takes_little_more_memory_than_its_texts(ranks):
+    """Texts of a batch are cut and gathered in groups of bounded size, whatever they and their lists are."""
+    texts = ["", *[" ".join(f"word{i % 7} of{j % 50}" for j in range(2000)) for i in range(200)], "", "x y " * 300_000, ""]
+    size = sum(len(t) for t in texts)
+    coder = bpe.Encoder(ranks, public_tokenizers.PATTERN, True)
+    found, most = peak(coder.encode, texts[:-2])
+    assert most < 4 * size
+    found += coder.encode(texts[-2:])
+    ids, counts = np.frombuffer(b"".join(found), np.int32), np.array([len(x) // 4 for x in found])
+    back, most = peak(bpe.Decoder(ranks).decode, ids, counts)
+    assert back == [t.encode() for t in texts] and most < 5 * size
+    assert bpe.Decoder(ranks).decode(ids[:0], counts[:0]) == [] and bpe.Decoder(ranks).decode(ids[:0], counts[:1]) == [b""]
+
+
 def test_unknown_ids_and_vocabularies_are_refused(ranks, tmp_path):
     with pytest.raises(ValueError):
         bpe.Decoder(ranks).decode(np.array([10**6]), np.array([1]))

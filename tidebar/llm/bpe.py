@@ -27,8 +27,11 @@ from tidebar.llm.common import packed, tidy, unpacked
 
 #: Bytes of words and their ids that a worker remembers before it starts anew.
 REMEMBERED = 30_000_000
-#: Texts whose new words are learned together.
+#: Texts whose new words are learned together, and the letters at which such a group is closed.
 TOGETHER = 500
+GROUP_LETTERS = 250_000
+#: Ids whose bytes are gathered at once, wherever a list begins or ends.
+GATHERED = 50_000
 #: byte b is written as the letter U+0100 + b: 256 letters, none of them white space
 LETTERS = {b: 0x100 + b for b in range(256)}
 
@@ -158,9 +161,15 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
-        for lo in range(0, len(texts), TOGETHER):
-            out += self._encode_some([t or "" for t in texts[lo : lo + TOGETHER]])
-        return out
+        some: list[str] = []
+        size = 0
+        for text in texts:
+            some.append(text or "")
+            size += len(some[-1])
+            if len(some) == TOGETHER or size >= GROUP_LETTERS:
+                out += self._encode_some(some)
+                some, size = [], 0
+        return out + self._encode_some(some) if some else out
 
 
 class Decoder:
@@ -175,21 +184,21 @@ class Decoder:
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes of each list; ``counts`` has the number of ids of each."""
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self._length) or self._length[ids].min() < 0):
-            raise ValueError("an id is not in the vocabulary")
-        out, at = [], 0
-        ends = np.cumsum(counts)
-        for lo in range(0, len(counts), TOGETHER):
-            some = ids[at : ends[min(lo + TOGETHER, len(counts)) - 1]]
+        ends, parts, size = np.cumsum(counts), [], 0
+        cuts = np.zeros(len(counts), dtype=np.int64)
+        for lo in range(0, len(ids), GATHERED):
+            some = ids[lo : lo + GATHERED]
+            if some.min() < 0 or some.max() >= len(self._length) or self._length[some].min() < 0:
+                raise ValueError("an id is not in the vocabulary")
             lengths = self._length[some]
             stops = np.cumsum(lengths)
-            total = int(stops[-1]) if len(stops) else 0
-            places = np.arange(total) + np.repeat(self._start[some] - (stops - lengths), lengths)
-            joined = self._bytes[places].tobytes()
-            cuts = [0, *np.concatenate([[0], stops])[ends[lo : lo + TOGETHER] - at].tolist()]
-            out += [joined[a:b] for a, b in zip(cuts, cuts[1:])]
-            at += len(some)
-        return out
+            places = np.arange(stops[-1]) + np.repeat(self._start[some] - (stops - lengths), lengths)
+            parts.append(self._bytes[places].tobytes())
+            here = slice(*np.searchsorted(ends, [lo, lo + len(some)], side="right"))  # the lists that end among these ids
+            cuts[here] = size + stops[ends[here] - lo - 1]
+            size += len(parts[-1])
+        joined, at = b"".join(parts), [0, *cuts.tolist()]
+        return [joined[a:b] for a, b in zip(at, at[1:])]
 
 
 def _shipped(df: DataFrame, ranks: dict[bytes, int]):
