@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from tidebar.llm import bpe, mixing, nearcopies, pii, toxicity
 from tidebar.llm.catalog import VOCABULARY
-from tidebar.llm.common import hand_back, new_folder, packed, recorded, remove, table, tuned, unpacked
+from tidebar.llm.common import hand_back, new_folder, packed, recorded, remove, table, tuned, unpacked, written
 
 TOXIC_FROM = 0.5
+#: Rows that a task reads from Parquet at once; thousands of whole texts are one array of many megabytes in an executor's heap.
+READ_ROWS = "256"
 _left: list[str] = []
 
 
@@ -34,7 +36,8 @@ def _stage(fn: Callable) -> Callable:
         _left.clear()
         hand_back()  # the driver's, of the sample that the stage before learned from
         with recorded(_left):
-            return fn(tuned(spark), docs, sf_dir)
+            tuned(spark).conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
+            return fn(spark, docs, sf_dir)
 
     return begin
 
@@ -79,11 +82,14 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and whether they decode to exactly that text."""
+    """Token ids of every text, and whether they decode to exactly that text.
+
+    The ids are written in between, so that a task has one worker at a time: it encodes, or it decodes.
+    """
     ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
     texts = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     ids = bpe.encode(texts, ranks, public_tokenizers.PATTERN, spaced=True, keep=["doc_id", "lang", "source", "sha"])
-    return bpe.decode(ids, ranks).select(
+    return bpe.decode(written(ids, "ids"), ranks).select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
         (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"),
     )

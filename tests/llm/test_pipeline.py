@@ -64,6 +64,21 @@ def test_stages(spark, tmp_path):
     assert sorted(map(tuple, (r["ids"] for r in after))) == sorted(tuple(plain.encode_ordinary(r["text"] or "")) for r in before)
 
 
+def test_a_task_of_the_last_stage_has_one_worker_at_a_time(spark, tmp_path):
+    """Encoding and decoding workers side by side took an executor beyond its memory; so did arrays of thousands of texts."""
+    rows = [(1, "two words", "en", "a", 9), (1, "two words", "en", "a", 9), (2, "", None, "b", 0), (None, None, "en", None, None)]
+    docs = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c in ('doc_id', 'n_chars') else 'string'}" for c in COLUMNS))
+    out = corpus_pipeline.encoded(spark, docs, str(tmp_path))
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 500
+    ranks = bpe.read_ranks(public_tokenizers.path(corpus_pipeline.VOCABULARY))
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = [(r[0], r[2], r[3], plain.encode_ordinary(r[1] or "")) for r in rows]
+    found = out.collect()
+    assert sorted((tuple(r)[:3] + (r["ids"],) for r in found), key=str) == sorted(want, key=str)
+    assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in found)
+
+
 def test_run_over_documents_alone(spark, tmp_path):
     docs = spark.createDataFrame([], ", ".join(f"{c} {'long' if c in ('doc_id', 'n_chars') else 'string'}" for c in COLUMNS))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
